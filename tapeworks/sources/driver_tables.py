@@ -1,0 +1,53 @@
+"""The library's input tables, stated as views over the star schema and events tables.
+
+Each is a plain projection or join of the given Parquet files, so its size
+grows with them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeworks.operators.bars import resample
+from tapeworks.plans.series import number_rows
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a timestamp without time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles of one price each: ``symbol, open_time (us), open..close, volume, seq``."""
+    price = F.col("value")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"),
+        micros(F.col("ts")).alias("open_time"),
+        *[price.alias(c) for c in ("open", "high", "low", "close")],
+        _k().cast("double").alias("volume"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def ticks_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks whose epoch unit differs by symbol."""
+    t = F.col("open_time")
+    scaled = (
+        F.when(F.col("symbol").isin("click", "view"), F.call_function("div", t, F.lit(1000)))
+        .when(F.col("symbol") == "error", t * 1000)
+        .otherwise(t)
+    )
+    return ticks(spark, sf_dir).withColumn("open_time", scaled)
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(ticks(spark, sf_dir), 60, tie="seq")
