@@ -6,12 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeworks.functions.numeric import safe_float
 from tapeworks.functions.text import last_line, last_match, lines
 from tapeworks.plans.medians import medians
-from tapeworks.plans.series import top_k
+from tapeworks.plans.series import number_rows, top_k
 
 # Summary patterns, score weights, trade bands, option names and defaults.
 SUMMARY = r"%s Trades:\s*(\d+)\s*\|\s*WR:\s*([\d.]+)%%\s*\|\s*Return:\s*([-\d.]+)%%"
@@ -140,15 +139,10 @@ RANKING = ["median_min_return_pct", "median_test_return_pct", "trade_band_ok_rat
 
 
 def rank_configs(aggregates: DataFrame) -> DataFrame:
-    """``rank`` by four figures, best first, the config name as last resort.
-
-    A range sort over all tasks, then positions from the partition sizes: the
-    number of configs is not bounded, so they are not numbered in one window.
-    """
+    """``rank`` by four figures, best first, the config name as last resort."""
     order = [F.col(c).desc() for c in RANKING] + [F.col("config").asc()]
-    ordered = aggregates.orderBy(*order)
-    ranked = ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + 1))
-    return ranked.toDF(T.StructType([*ordered.schema.fields, T.StructField("rank", T.LongType())]))
+    coarse = F.floor(-F.col(RANKING[0]) * 100).cast("bigint")
+    return number_rows(aggregates, [], order, name="rank", chunk=coarse)
 
 
 def gate_winners(aggregates: DataFrame, most: int = 3, floor: float = 0.0) -> DataFrame:

@@ -27,7 +27,7 @@ UNBOUNDED = Window.unboundedPreceding
 def number_rows(
     df: DataFrame,
     keys: list[str],
-    order: str,
+    order: str | list[Column],
     width: int = CHUNK,
     name: str = "rn",
     total: str | None = None,
@@ -35,10 +35,11 @@ def number_rows(
 ) -> DataFrame:
     """1-based position of each row in its series, and optionally the series length.
 
-    ``chunk`` replaces ``order div width`` where the ordering column is not a
-    number; it has to be monotone in it.
+    ``chunk`` replaces ``order div width`` where the ordering is not one integral
+    column; it has to be monotone in the ordering.
     """
     part = [*keys, "_chunk"]
+    sort = [F.col(order)] if isinstance(order, str) else order
     rows = df.withColumn("_chunk", floor_div(F.col(order), width) if chunk is None else chunk)
     sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(keys).orderBy("_chunk").rowsBetween(UNBOUNDED, -1)
@@ -46,7 +47,7 @@ def number_rows(
     if total:
         carried.append(F.sum("_size").over(Window.partitionBy(keys)).alias(total))
     offsets = sizes.select(*part, *carried)
-    local = F.row_number().over(Window.partitionBy(part).orderBy(order))
+    local = F.row_number().over(Window.partitionBy(part).orderBy(*sort))
     return (
         rows.withColumn("_local", local)
         .join(offsets, part)
