@@ -123,7 +123,7 @@ def fills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lots(spark: SparkSession, d: str) -> DataFrame:
-    return rebuild_lots(fills(spark, d))
+    return rebuild_lots(fills(spark, d), carry=["amount"])
 
 
 def lot_pnl(spark: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.numeric import hash_uniform, ratio
-from tapeworks.plans.series import CHUNK, Fold, running, settle, top_k
+from tapeworks.functions.numeric import floor_div, hash_uniform, ratio
+from tapeworks.plans.series import CHUNK, UNBOUNDED, attach, chunked, settle, summarize, top_k
 
 # Fee presets (buy and sell alike), account limits, ledger length.
 FEE_PRESETS = {"mexc_spot_mx": 0.0004, "legacy": 0.0010}
@@ -76,46 +78,90 @@ def size_buy(
     )
 
 
-def lots(fills: DataFrame, width: int = CHUNK) -> DataFrame:
-    """Rebuild positions from ``run, sym, step, side, pct, price, qty``.
+LOT_INPUT = ["run", "sym", "step", "side", "pct", "price", "qty"]
+
+
+def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> DataFrame:
+    """Rebuild positions from ``run, sym, step, side, pct, price, qty`` (and columns to ``carry``).
 
     Holdings are not added to: a buy counts only if the last earlier buy or full
     sell of the same ``(run, sym)`` was a full sell, or there was none; a sell
     counts only while something is held.  The result has the accepted buys and
     sells with ``lot, entry_step, entry_price, qty0, qty`` (bought or sold) and
     ``remaining``; ``dust`` marks a remainder below ``DUST`` after a partial sell.
+
+    The work is two passes over one shuffle by ``(run, sym, chunk of steps)``: the
+    first carries whether something is held into each chunk, the second carries
+    the number of lots, the open entry and the share of it that is left.
     """
+    keys, part = ["run", "sym"], ["run", "sym", "_chunk"]
     buy = F.col("side") == "buy"
     full = (F.col("side") == "sell") & (F.col("pct") >= 1.0)
     state = F.when(buy, F.lit(1)).when(full, F.lit(0))
-    rows = fills.where(F.col("side").isin("buy", "sell")).withColumnRenamed("qty", "_qty")
-    rows = running(rows, ["run", "sym"], "step", {"_open": Fold("last", state, False)}, width)
-    held = F.coalesce(F.col("_open"), F.lit(0))
-    rows = rows.where(F.when(buy, held == 0).otherwise(held == 1)).drop("_open")
+    columns = [*LOT_INPUT, *carry]
+    rows = fills.where(F.col("side").isin("buy", "sell")).select(*columns)
+    rows = chunked(rows, keys, floor_div(F.col("step"), width))
+    in_chunk = Window.partitionBy(part).orderBy("step")
+    chunks = Window.partitionBy(keys).orderBy("_chunk")
+    earlier = chunks.rowsBetween(UNBOUNDED, -1)
+
+    ends = summarize(rows, part, [F.max_by(state, F.when(state.isNotNull(), F.col("step"))).alias("_end")], columns)
+    held_in = ends.select(*part, "_touch", F.last("_end", True).over(earlier).alias("_held_in"))
+    known = F.last(state, True).over(in_chunk.rowsBetween(UNBOUNDED, -1))
+    rows = attach(rows.withColumn("_known", known), held_in, part)
+    held = F.coalesce(F.col("_known"), F.col("_held_in"), F.lit(0))
+    rows = rows.where(F.when(buy, held == 0).otherwise(held == 1)).drop("_known", "_held_in")
+
+    entry = {"entry_step": F.col("step"), "entry_price": F.col("price"), "qty0": F.col("qty")}
+    so_far = in_chunk.rowsBetween(UNBOUNDED, 0)
+    kept = F.when(buy, F.lit(1.0)).otherwise(F.greatest(1.0 - F.col("pct"), F.lit(0.0)))
+    rows = rows.select(
+        "*",
+        F.count_if(buy).over(so_far).alias("_lots"),
+        *[F.last(F.when(buy, c), True).over(so_far).alias(n) for n, c in entry.items()],
+    )
+    in_lot = Window.partitionBy(*part, "_lots").orderBy("step").rowsBetween(UNBOUNDED, -1)
+    rows = rows.withColumn("_share", F.coalesce(F.product(kept).over(in_lot), F.lit(1.0)))
 
-    rows = running(
+    bought = F.when(buy, F.col("step"))
+    sums = summarize(
         rows,
-        ["run", "sym"],
-        "step",
-        {
-            "lot": Fold("count", F.when(buy, 1)),
-            "entry_step": Fold("last", F.when(buy, F.col("step"))),
-            "entry_price": Fold("last", F.when(buy, F.col("price"))),
-            "qty0": Fold("last", F.when(buy, F.col("_qty"))),
-        },
-        width,
+        part,
+        [
+            F.count_if(buy).alias("_n"),
+            F.max_by(F.col("_share") * kept, "step").alias("_tail"),
+            *[F.max_by(c, bought).alias(f"_e_{n}") for n, c in entry.items()],
+        ],
+        columns,
+    )
+    sums = sums.withColumn("_run_of_chunks", F.count_if(F.col("_n") > 0).over(chunks.rowsBetween(UNBOUNDED, 0)))
+    one_lot = Window.partitionBy(*keys, "_run_of_chunks").orderBy("_chunk").rowsBetween(UNBOUNDED, 0)
+    sums = sums.withColumn("_open_share", F.product("_tail").over(one_lot))
+    carried = sums.select(
+        *part, "_touch",
+        F.sum("_n").over(earlier).alias("_lots_in"),
+        F.lag("_open_share").over(chunks).alias("_share_in"),
+        *[F.last(f"_e_{n}", True).over(earlier).alias(f"_in_{n}") for n in entry],
+    )
+    rows = attach(rows, carried, part)
+    carried_over = F.when(F.col("_lots") == 0, F.col("_share_in")).otherwise(F.lit(1.0))
+    rows = rows.select(
+        *[c for c in columns if c != "qty"],
+        (F.coalesce(F.col("_lots_in"), F.lit(0)) + F.col("_lots")).alias("lot"),
+        *[F.coalesce(F.col(n), F.col(f"_in_{n}")).alias(n) for n in entry],
+        (F.col("_share") * carried_over).alias("_share"),
     )
-    kept = F.when(~buy, F.greatest(1.0 - F.col("pct"), F.lit(0.0)))
-    rows = running(rows, ["run", "sym", "lot"], "step", {"_share": Fold("product", kept, False)}, width)
     before = F.col("qty0") * F.col("_share")
     sold = F.when(F.col("pct") >= 1.0, before).otherwise(before * F.col("pct"))
     rows = rows.withColumn("qty", F.when(buy, F.col("qty0")).otherwise(sold))
     rows = rows.withColumn("remaining", F.when(buy, F.col("qty0")).otherwise(before - F.col("qty")))
     dust = ~buy & (F.col("pct") < 1.0) & (F.col("remaining") < DUST)
-    return rows.withColumn("dust", dust).drop("_share", "_qty")
+    return rows.withColumn("dust", dust).drop("_share")
 
 
-def exact_lots(fills: DataFrame, width: int = CHUNK, scratch: str | None = None) -> DataFrame:
+def exact_lots(
+    fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = (), scratch: str | None = None
+) -> DataFrame:
     """:func:`lots` where partial sells that leave only dust close the lot.
 
     Each round turns the first such sell of every lot into a full sell and starts
@@ -123,7 +169,7 @@ def exact_lots(fills: DataFrame, width: int = CHUNK, scratch: str | None = None)
     """
     key = ["run", "sym", "step"]
     while True:
-        found = lots(fills, width)
+        found = lots(fills, width, carry)
         closing = found.where("dust").groupBy("run", "sym", "lot").agg(F.min("step").alias("step"))
         closing = settle(closing.select(*key), scratch)
         if closing.isEmpty():

@@ -6,6 +6,11 @@ helpers here cut every series into chunks of the ordering column, work inside
 ``(key, chunk)`` and carry a one-row summary per chunk to the chunks after it.
 The only thing ordered by key alone is that table of chunk summaries.
 
+The rows are shuffled once, by ``(key, chunk)``.  The summaries of plain numbering
+and running aggregates come from a second, column-pruned pass that is combined
+on the map side; an operator that needs several passes over the same columns
+shares the one shuffle between them (:func:`chunked`, :func:`summarize`).
+
 Ordering columns are integral and not null (bar start, step, position); where a
 series is unique in its ordering column, a chunk of width ``w`` holds at most
 ``w`` rows, however long the series is.  Key columns are not null.
@@ -24,6 +29,34 @@ CHUNK = 65_536
 UNBOUNDED = Window.unboundedPreceding
 
 
+def chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Rows with ``_chunk``, shuffled by ``(key, _chunk)``.
+
+    The null filter is what a later join on the keys would infer; stated here it
+    is the same in every plan that reads the shuffle.
+    """
+    part = [*[F.col(k) for k in keys], F.col("_chunk")]
+    rows = df.withColumn("_chunk", chunk)
+    for c in part:
+        rows = rows.where(c.isNotNull())
+    return rows.repartition(*part)
+
+
+def summarize(rows: DataFrame, part: list[str], aggregates: list[Column], columns: list[str]) -> DataFrame:
+    """One row per ``part`` of a :func:`chunked` table holding just ``columns``.
+
+    Its plan also reads all of ``columns`` (a cheap hash, kept by :func:`attach`),
+    so that column pruning leaves the shuffle below it identical to the one that
+    feeds the rows themselves, and Spark runs that shuffle once for both.
+    """
+    return rows.groupBy(part).agg(*aggregates, F.bit_xor(F.xxhash64(*columns)).alias("_touch"))
+
+
+def attach(rows: DataFrame, summary: DataFrame, part: list[str]) -> DataFrame:
+    """Join a summary back to its rows on the partitioning both already have."""
+    return rows.join(summary, part).where(F.col("_touch").isNotNull()).drop("_touch")
+
+
 def number_rows(
     df: DataFrame,
     keys: list[str],
@@ -46,11 +79,10 @@ def number_rows(
     carried = [F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")]
     if total:
         carried.append(F.sum("_size").over(Window.partitionBy(keys)).alias(total))
-    offsets = sizes.select(*part, *carried)
     local = F.row_number().over(Window.partitionBy(part).orderBy(*sort))
     return (
         rows.withColumn("_local", local)
-        .join(offsets, part)
+        .join(sizes.select(*part, *carried), part)
         .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_chunk", "_local", "_before")
     )
@@ -94,9 +126,8 @@ def running(
     """Add one running aggregate per entry of ``folds``, in order of ``order``."""
     part = [*keys, "_chunk"]
     sort = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    rows = df.withColumn("_chunk", floor_div(F.col(order), width))
-    for name, fold in folds.items():
-        rows = rows.withColumn(f"_v_{name}", fold.value)
+    values = [f.value.alias(f"_v_{n}") for n, f in folds.items()]
+    rows = df.select("*", floor_div(F.col(order), width).alias("_chunk"), *values)
 
     def total(name: str, fold: Fold) -> Column:
         v = F.col(f"_v_{name}")
