@@ -1,0 +1,98 @@
+"""Streaming queries: the events table replayed through Structured Streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import tables as t
+from checks.registry import query, scratch
+from tapeworks.operators import telemetry as te
+from tapeworks.sources import documents as do
+from tapeworks.streaming import streams as st
+
+HOUR = 3_600_000_000
+
+
+def event_stream(spark, d):
+    return st.stream_table(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_bars", f"""
+    SELECT symbol, bucket, open_time, open, high, low, close, volume FROM bars
+    WHERE bucket + {HOUR} <= (SELECT max(open_time) FROM ticks) - 2 * {HOUR}""", "open high low close volume")
+def _(spark, d):
+    price = F.col("value")
+    ticks = event_stream(spark, d).select(
+        F.col("event_type").alias("symbol"), "ts", *[price.alias(c) for c in ("open", "high", "low", "close")],
+        t.props_k().cast("double").alias("volume"),
+    )
+    root = scratch(spark, "stream-bars")
+    return st.replay(st.stream_bars(ticks, 60, "2 hours"), f"{root}/out", f"{root}/checkpoint")
+
+
+@query("stream_trade_rate", f"""
+    SELECT run, window_start, steps, trade_rate, steps >= 10 AND trade_rate > 0.7 AS alert FROM (
+      SELECT user_id AS run, epoch_us(ts) - epoch_us(ts) % (24 * {HOUR}) - i * 24 * {HOUR} AS window_start, count(*) AS steps,
+             avg(CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 <> 0 THEN 1 ELSE 0 END) AS trade_rate
+      FROM events, range(4) AS r(i) GROUP BY user_id, window_start)
+    WHERE window_start + 96 * {HOUR} <= (SELECT max(epoch_us(ts)) FROM events) - 2 * {HOUR}""", "trade_rate")
+def _(spark, d):
+    steps = event_stream(spark, d).select(F.col("user_id").alias("run"), "ts", (t.props_k() % 3 != 0).alias("executed"))
+    root = scratch(spark, "stream-rate")
+    rates = st.stream_trade_rate(steps, "96 hours", "24 hours", "2 hours", 0.7)
+    return st.replay(rates, f"{root}/out", f"{root}/checkpoint")
+
+
+def finish(writer, root):
+    writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+@query("stream_series_cap", """
+    SELECT run, key, step, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY pos DESC) AS r FROM telemetry
+    WHERE value IS NOT NULL) WHERE r <= 8""", "value")
+def _(spark, d):
+    root = scratch(spark, "stream-series")
+    k = t.props_k()
+    value = F.when(k % 10 == 0, F.lit(None)).when(k % 10 == 1, 0.0).otherwise(F.col("value"))
+    points = event_stream(spark, d).select(
+        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run"), F.col("event_type").alias("key"),
+        F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("step"),
+        F.col("event_id").alias("pos"), value.alias("value"),
+    )
+    snapshot, writer = st.stream_series_cap(spark, points, f"{root}/snapshot", 8)
+    finish(writer, root)
+    return snapshot.read(points.schema)
+
+
+def state_files(spark, d, root):
+    """Three generations of run documents, each a set of new files."""
+    for generation in range(3):
+        docs = t.run_index(spark, d).where(F.pmod("seq", F.lit(3)) >= generation).select(
+            F.format_string("2024-02-0%d 00:00:00 UTC", F.lit(generation + 1)).alias("ts"),
+            F.struct("run_id", "mode", "status", F.lit(generation * 100).cast("bigint").alias("current_step")).alias("run"),
+        )
+        do.write_run_state(docs, f"{root}/in", "append")
+
+
+STATES = """
+    SELECT run_id AS run, mode, status, seq % 3 * 100 AS current_step, '2024-02-0' || (seq % 3 + 1) || ' 00:00:00 UTC' AS ts FROM run_index"""
+
+
+@query("stream_run_files", "SELECT run_id AS run, count(*) AS documents FROM run_index, range(3) AS r(g) WHERE seq % 3 >= g GROUP BY run_id")
+def _(spark, d):
+    root = scratch(spark, "stream-files")
+    state_files(spark, d, root)
+    docs = st.stream_run_files(spark, f"{root}/in", multi_line=False).select(F.col("run.run_id").alias("run"), "ts")
+    return st.replay(docs, f"{root}/out", f"{root}/checkpoint").groupBy("run").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("stream_latest_state", STATES)
+def _(spark, d):
+    root = scratch(spark, "stream-state")
+    state_files(spark, d, root)
+    docs = st.stream_run_files(spark, f"{root}/in", files_per_batch=8, multi_line=False).select(
+        F.col("run.run_id").alias("run"), "run.mode", "run.status", "run.current_step", "ts"
+    )
+    snapshot, writer = st.stream_latest_state(spark, docs, f"{root}/snapshot")
+    finish(writer, root)
+    return snapshot.read(docs.schema)

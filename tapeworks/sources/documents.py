@@ -93,9 +93,12 @@ def read_results(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``log, text``: whole text files."""
-    files = spark.read.option("wholetext", True).text(path)
-    return files.select(F.col("_metadata.file_name").alias("log"), F.col("value").alias("text"))
+    """``log, folder, text``: whole text files."""
+    files = spark.read.text(path, wholetext=True)
+    place = F.col("_metadata.file_path")
+    return files.select(
+        F.col("_metadata.file_name").alias("log"), F.regexp_replace(place, "/[^/]*$", "").alias("folder"), F.col("value").alias("text")
+    )
 
 
 def _file_lines(text: Column) -> Column:
