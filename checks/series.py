@@ -318,7 +318,16 @@ def _(spark, d):
     )
 
 
-@query("episode_slices")
+def draw(what, run="run", seed=7):
+    return f"CAST(concat('0x', substr(md5(concat({run}, '|', episode, '|{what}|{seed}')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496"
+
+
+@query("episode_slices", f"""
+    WITH drawn_len AS (SELECT run, episode, m, CAST(least(20, m) + trunc({draw('length')} * (least(40, m) - least(20, m) + 1)) AS BIGINT) AS length
+      FROM (SELECT DISTINCT user_id AS run FROM events), range(2) AS r(episode), (SELECT min(n) AS m FROM nbars)),
+    placed AS (SELECT *, CAST(trunc({draw('start')} * (greatest(0, m - length) + 1)) AS BIGINT) AS start FROM drawn_len)
+    SELECT a.step, run, CAST(episode AS INTEGER) AS episode, symbol, close
+    FROM placed JOIN aligned a ON a.step BETWEEN start AND start + length - 1""", "close")
 def _(spark, d):
     rows = t.aligned(spark, d)
     runs = t.table(spark, d, "events").select(F.col("user_id").alias("run")).distinct()

@@ -14,7 +14,7 @@ HOUR = 3_600_000_000
 
 
 def event_stream(spark, d):
-    return st.stream_table(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return st.stream_table(spark, f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_bars", f"""

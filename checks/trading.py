@@ -198,7 +198,13 @@ def _(spark, d):
     return fi.fee_profile(configs(spark, d)).select("run", "buy_fee_rate", "sell_fee_rate", "transaction_cost")
 
 
-@query("fee_jitter")
+def multiplier(side):
+    return f"0.8::DOUBLE + CAST(concat('0x', substr(md5(concat(run, '|0|{side}|3')), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 * 0.4::DOUBLE"
+
+
+@query("fee_jitter", f"""
+    SELECT run, 0 AS episode, {multiplier('buy')} AS buy_multiplier, {multiplier('sell')} AS sell_multiplier
+    FROM (SELECT DISTINCT user_id AS run FROM events)""", "buy_multiplier sell_multiplier")
 def _(spark, d):
     runs = t.table(spark, d, "events").select(F.col("user_id").alias("run")).distinct()
     return fi.fee_jitter(runs.withColumn("episode", F.lit(0)), 0.2, seed=3)

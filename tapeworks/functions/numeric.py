@@ -55,5 +55,7 @@ def hash_uniform(*cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the given columns only.
 
     Unlike ``rand()`` it gives the same value when a lost task is run again.
+    The first 52 bits of a digest make an exact double.
     """
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
