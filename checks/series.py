@@ -16,6 +16,7 @@ from tapeworks.sources.prepared import prepared
 
 OHLCV = "open high low close volume"
 DAY_US = 24 * HOUR
+SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 
 # ---------------------------------------------------------------- sources
 
@@ -72,7 +73,7 @@ UNITS = """
     SELECT symbol, step, CASE WHEN step >= 10000000000 THEN 'ns' WHEN step >= 10000000 THEN 'us' ELSE 'ms' END AS unit
     FROM ({UNITS})""")
 def _(spark, d):
-    return ca.infer_time_unit(t.ticks_epoch(spark, d))
+    return ca.infer_time_unit(t.ticks_epoch(spark, d), SYMBOLS)
 
 
 @query("epoch_to_ts", """
@@ -80,7 +81,7 @@ def _(spark, d):
                              ELSE make_timestamp(open_time) END AS ts FROM ticks""")
 def _(spark, d):
     rows = t.ticks_epoch(spark, d)
-    rows = ca.with_unit(rows, ca.infer_time_unit(rows))
+    rows = ca.with_unit(rows, ca.infer_time_unit(rows, SYMBOLS), SYMBOLS)
     ts = ca.epoch_to_ts(F.col("open_time"), F.col("unit")).cast("timestamp_ntz")
     return rows.select("symbol", "seq", ts.alias("ts"))
 
@@ -241,9 +242,6 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- alignment
 
-SYMBOLS = ["click", "error", "purchase", "signup", "view"]
-
-
 @query("symbol_index", "SELECT symbol, idx FROM symbol_ids")
 def _(spark, d):
     return cu.symbol_index(t.ticks(spark, d))

@@ -42,7 +42,7 @@ def holdings(lot_events: DataFrame, last_step: DataFrame, width: int = CHUNK) ->
     event of its ``(run, sym)``, or at the run's last step (``run, last_step``).
     """
     nxt = running(
-        lot_events, ["run", "sym"], "step", {"_next": Fold("last", F.col("step"), False)}, width, reverse=True
+        lot_events, ["run", "sym"], "step", {"_next": Fold("last", F.col("step"), False, True)}, width
     )
     open_ = nxt.where((F.col("remaining") > 0) & ~((F.col("side") == "sell") & (F.col("pct") >= 1.0)))
     ended = open_.where(F.col("_next").isNotNull()).withColumn("to_step", F.col("_next") - 1)

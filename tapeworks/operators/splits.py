@@ -109,7 +109,7 @@ def align_symbols(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def missing_symbols(df: DataFrame, required: DataFrame, most: int = 10) -> DataFrame:
     """The first required symbols that have no row, in request order (``position, symbol``)."""
-    absent = required.join(df.select("symbol"), "symbol", "left_anti")
+    absent = required.join(df.select("symbol").distinct(), "symbol", "left_anti")
     return absent.orderBy("position").limit(most).select("position", "symbol")
 
 

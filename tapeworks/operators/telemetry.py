@@ -75,14 +75,14 @@ def interpolate(aligned: DataFrame, columns: Sequence[str], width: int = CHUNK)
     """Fill gaps linearly in the step value; hold the last value after the end and take
     the first one before the start."""
     step = F.col("step")
-    before, after = {}, {}
+    folds = {}
     for c in columns:
         known = not_nan(F.col(c))
         at = F.when(known.isNotNull(), step)
-        before |= {f"_bs_{c}": Fold("last", at), f"_bv_{c}": Fold("last", known)}
-        after |= {f"_as_{c}": Fold("last", at), f"_av_{c}": Fold("last", known)}
-    rows = running(aligned, ["run"], "step", before, width)
-    rows = running(rows, ["run"], "step", after, width, reverse=True)
+        for name, back in (("b", False), ("a", True)):
+            folds[f"_{name}s_{c}"] = Fold("last", at, reverse=back)
+            folds[f"_{name}v_{c}"] = Fold("last", known, reverse=back)
+    rows = running(aligned, ["run"], "step", folds, width)
 
     def filled(c: str) -> Column:
         s0, v0, s1, v1 = (F.col(f"_{n}_{c}") for n in ("bs", "bv", "as", "av"))

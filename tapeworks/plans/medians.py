@@ -3,7 +3,9 @@
 ``median`` and ``percentile`` keep all distinct values of a group in one task.
 Here equal values are counted first, and the value of a given rank is closed in
 on by two rounds of a histogram between the smallest and largest candidate, so
-that only the last, narrow interval of each group is ever sorted.
+that only the last, narrow interval of each group is ever sorted.  Values meet
+the bounds of their group in a salted join, so a group holding most of the
+values is spread over tasks there too.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 4096
+SALTS = 16
 
 
 def ranked_values(
@@ -32,12 +35,17 @@ def ranked_values(
     )
     part = [*keys, "r"]
     inside = v.between(F.col("_lo"), F.col("_hi"))
+    spread = freq.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+
+    def candidates(bounds: DataFrame) -> DataFrame:
+        copies = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return spread.join(copies, [*keys, "_salt"]).where(inside)
+
     for _ in range(rounds):
         share = (v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
         cell = F.coalesce(F.least((share * bins).cast("int"), F.lit(bins - 1)), F.lit(0))
         cells = (
-            freq.join(target, keys)
-            .where(inside)
+            candidates(target)
             .groupBy(*part, cell.alias("_bin"))
             .agg(
                 F.sum("_c").alias("_size"),
@@ -54,8 +62,7 @@ def ranked_values(
         )
     ends = F.sum("_c").over(Window.partitionBy(part).orderBy("_v")) + F.col("_before")
     return (
-        freq.join(target, keys)
-        .where(inside)
+        candidates(target)
         .withColumn("_end", ends)
         .where((F.col("_end") >= F.col("r")) & (F.col("_end") - F.col("_c") < F.col("r")))
         .select(*part, v.alias("value"))

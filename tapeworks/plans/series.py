@@ -29,17 +29,19 @@ CHUNK = 65_536
 UNBOUNDED = Window.unboundedPreceding
 
 
-def chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Rows with ``_chunk``, shuffled by ``(key, _chunk)``.
-
-    The null filter is what a later join on the keys would infer; stated here it
-    is the same in every plan that reads the shuffle.
-    """
-    part = [*[F.col(k) for k in keys], F.col("_chunk")]
+def with_chunk(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Add ``_chunk``.  The null filters are what a later join on the keys would
+    infer; stated here they are the same in every plan over the rows, which lets
+    Spark reuse whatever shuffle lies below."""
     rows = df.withColumn("_chunk", chunk)
-    for c in part:
-        rows = rows.where(c.isNotNull())
-    return rows.repartition(*part)
+    for c in [*keys, "_chunk"]:
+        rows = rows.where(F.col(c).isNotNull())
+    return rows
+
+
+def chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Rows with ``_chunk``, shuffled by ``(key, _chunk)``."""
+    return with_chunk(df, keys, chunk).repartition(*[F.col(k) for k in keys], F.col("_chunk"))
 
 
 def summarize(rows: DataFrame, part: list[str], aggregates: list[Column], columns: list[str]) -> DataFrame:
@@ -73,7 +75,7 @@ def number_rows(
     """
     part = [*keys, "_chunk"]
     sort = [F.col(order)] if isinstance(order, str) else order
-    rows = df.withColumn("_chunk", floor_div(F.col(order), width) if chunk is None else chunk)
+    rows = with_chunk(df, keys, floor_div(F.col(order), width) if chunk is None else chunk)
     sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(keys).orderBy("_chunk").rowsBetween(UNBOUNDED, -1)
     carried = [F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")]
@@ -92,12 +94,14 @@ def number_rows(
 class Fold:
     """A running aggregate: kind is sum, count, max, min, last or product.
 
-    ``last`` skips nulls.  With ``inclusive=False`` the current row is left out.
+    ``last`` skips nulls.  With ``inclusive=False`` the current row is left out;
+    with ``reverse=True`` the series is read from its end.
     """
 
     kind: str
     value: Column
     inclusive: bool = True
+    reverse: bool = False
 
 
 _PLAIN = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "product": F.product}
@@ -116,39 +120,39 @@ def _merge(kind: str, local: Column, carry: Column) -> Column:
 
 
 def running(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    folds: dict[str, Fold],
-    width: int = CHUNK,
-    reverse: bool = False,
+    df: DataFrame, keys: list[str], order: str, folds: dict[str, Fold], width: int = CHUNK
 ) -> DataFrame:
-    """Add one running aggregate per entry of ``folds``, in order of ``order``."""
+    """Add one running aggregate per entry of ``folds``, in order of ``order``.
+
+    Forward and reverse folds share the shuffle and the table of chunk summaries.
+    """
     part = [*keys, "_chunk"]
-    sort = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     values = [f.value.alias(f"_v_{n}") for n, f in folds.items()]
-    rows = df.select("*", floor_div(F.col(order), width).alias("_chunk"), *values)
+    rows = with_chunk(df, keys, floor_div(F.col(order), width)).select("*", *values)
 
     def total(name: str, fold: Fold) -> Column:
         v = F.col(f"_v_{name}")
         if fold.kind == "last":
-            pick = F.min_by if reverse else F.max_by
+            pick = F.min_by if fold.reverse else F.max_by
             return pick(v, F.when(v.isNotNull(), F.col(order)))
         return _PLAIN[fold.kind](v)
 
     totals = rows.groupBy(part).agg(*[total(n, f).alias(f"_t_{n}") for n, f in folds.items()])
-    earlier = Window.partitionBy(keys).orderBy(sort("_chunk")).rowsBetween(UNBOUNDED, -1)
+
+    def sort(column: str, fold: Fold) -> Column:
+        return F.col(column).desc() if fold.reverse else F.col(column).asc()
 
     def carry(name: str, fold: Fold) -> Column:
+        earlier = Window.partitionBy(keys).orderBy(sort("_chunk", fold)).rowsBetween(UNBOUNDED, -1)
         t = F.col(f"_t_{name}")
         if fold.kind == "last":
             return F.last(t, True).over(earlier)
         return (F.sum if fold.kind == "count" else _PLAIN[fold.kind])(t).over(earlier)
 
     carried = totals.select(*part, *[carry(n, f).alias(f"_c_{n}") for n, f in folds.items()])
-    inside = Window.partitionBy(part).orderBy(sort(order))
 
     def local(name: str, fold: Fold) -> Column:
+        inside = Window.partitionBy(part).orderBy(sort(order, fold))
         v = F.col(f"_v_{name}")
         frame = inside.rowsBetween(UNBOUNDED, 0 if fold.inclusive else -1)
         return (F.last(v, True) if fold.kind == "last" else _PLAIN[fold.kind](v)).over(frame)

@@ -49,7 +49,8 @@ def test_running(walk, reverse):
         "s": Fold("sum", v), "c": Fold("count", v), "mx": Fold("max", v), "mn": Fold("min", v, False),
         "last": Fold("last", v), "prev": Fold("last", v, False), "p": Fold("product", v, False),
     }
-    got = running(df, ["run"], "step", folds, width=7, reverse=reverse).toPandas().sort_values(["run", "step"])
+    folds = {n: Fold(f.kind, f.value, f.inclusive, reverse) for n, f in folds.items()}
+    got = running(df, ["run"], "step", folds, width=7).toPandas().sort_values(["run", "step"])
     for run, part in pdf.groupby("run"):
         part = part.sort_values("step", ascending=not reverse)
         g = got[got["run"] == run].set_index("step").loc[part["step"]]
