@@ -6,6 +6,8 @@ with them.  ``checks.views`` states the same tables in SQL.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from tapeworks.operators.fills import lots as rebuild_lots
 from tapeworks.operators.fills import realized, size_buy
 from tapeworks.operators.telemetry import align_series, dedup_step
 from tapeworks.plans.medians import medians
-from tapeworks.plans.series import CHUNK, number_rows
+from tapeworks.plans.series import CHUNK, number_rows, settle
 
 FEE = 0.001
 TRADE_FEE = 1 / 900
@@ -126,6 +128,11 @@ def lots(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_lots(fills(spark, d), carry=["amount"])
 
 
+def settled_lots(spark: SparkSession, d: str) -> DataFrame:
+    """Lots for queries that read them several times."""
+    return settle(lots(spark, d), tempfile.gettempdir())
+
+
 def lot_pnl(spark: SparkSession, d: str) -> DataFrame:
     """Lot events with profit and fee; buys have no profit and pay on their amount."""
     rows = realized(lots(spark, d), FEE)
@@ -137,16 +144,16 @@ def lot_pnl(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def cash_flow(spark: SparkSession, d: str) -> DataFrame:
+def cash_flow(spark: SparkSession, d: str, taken: DataFrame | None = None) -> DataFrame:
     delta = F.when(F.col("side") == "buy", -F.col("amount")).otherwise(F.col("qty") * F.col("price") * (1 - FEE))
-    moved = lots(spark, d).select("run", "step", delta.alias("_delta"))
+    moved = (taken if taken is not None else lots(spark, d)).select("run", "step", delta.alias("_delta"))
     rows = steps(spark, d).select("run", "step").join(moved, ["run", "step"], "left")
     return rows.select("run", "step", F.coalesce(F.col("_delta"), F.lit(0.0)).alias("cash_delta"))
 
 
-def segments(spark: SparkSession, d: str) -> DataFrame:
+def segments(spark: SparkSession, d: str, taken: DataFrame | None = None) -> DataFrame:
     last = table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("last_step"))
-    return eq.holdings(lots(spark, d), last)
+    return eq.holdings(taken if taken is not None else lots(spark, d), last)
 
 
 def run_prices(spark: SparkSession, d: str) -> DataFrame:

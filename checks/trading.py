@@ -103,7 +103,7 @@ def redirect(name, mode, order):
     FROM asks a LEFT JOIN chosen c ON a.run = c.run AND a.step = c.step""")
     def _(spark, d):
         asks = od.decode_inventory(t.decisions(spark, d), 5).select("run", "step", "action", "symbol_idx")
-        held = eq.held_at_steps(t.segments(spark, d)).join(t.run_prices(spark, d), ["sym", "step"])
+        held = eq.held_at_steps(t.segments(spark, d, t.settled_lots(spark, d))).join(t.run_prices(spark, d), ["sym", "step"])
         positions = held.select(
             "run", (F.col("step") + 1).alias("step"), F.col("sym").alias("symbol_idx"), "entry_step",
             (F.col("qty") * F.col("close")).alias("notional"),
@@ -370,8 +370,9 @@ def _(spark, d):
       FROM held h JOIN (SELECT idx, step, close FROM aligned JOIN symbol_ids USING (symbol)) p ON p.idx = h.sym AND p.step = h.step
       GROUP BY run, h.step) m ON c.run = m.run AND c.step = m.step""", "cash position_value portfolio_value")
 def _(spark, d):
-    cash = eq.running_cash(t.cash_flow(spark, d))
-    return eq.mark_to_market(cash, t.segments(spark, d), t.run_prices(spark, d))
+    taken = t.settled_lots(spark, d)
+    cash = eq.running_cash(t.cash_flow(spark, d, taken))
+    return eq.mark_to_market(cash, t.segments(spark, d, taken), t.run_prices(spark, d))
 
 
 @query("peak_drawdown", "SELECT run, step, peak_before, peak, drawdown, step_drawdown FROM dd", "peak_before peak drawdown step_drawdown")

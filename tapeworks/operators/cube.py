@@ -33,9 +33,9 @@ def tail_align(df: DataFrame, order: str = "bucket", width: int = CHUNK * MINUTE
 
     Alignment is by position: symbols with gaps are not matched in time.
     """
-    rows = number_rows(df, ["symbol"], order, width, name="_rn", total="_n")
-    step = F.col("_rn") - (F.col("_n") - shortest(df)) - 1
-    return rows.withColumn("step", step).where(F.col("step") >= 0).drop("_rn", "_n")
+    rows = number_rows(df, ["symbol"], order, width, name="_rn", total="_n", scalars={"_m": shortest(df)})
+    step = F.col("_rn") - (F.col("_n") - F.col("_m")) - 1
+    return rows.withColumn("step", step).where(F.col("step") >= 0).drop("_rn", "_n", "_m")
 
 
 def time_align(df: DataFrame, symbols: Sequence[str], order: str = "bucket") -> DataFrame:

@@ -74,7 +74,7 @@ def walk_forward(
     The folds holding a row are a range of numbers known from its position, so
     each row is exploded into exactly its folds; no fold table is joined.
     """
-    rows = number_rows(df, ["symbol"], order, width, name="_rn").withColumn("_n", shortest(df))
+    rows = number_rows(df, ["symbol"], order, width, name="_rn", scalars={"_n": shortest(df)})
     size = walk_forward_lengths(F.col("_n"), train, val, test, step)
     rows = rows.select("*", *[c.alias(f"_{k}") for k, c in size.items()])
     at = F.col("_rn") - 1

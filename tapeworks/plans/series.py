@@ -67,11 +67,14 @@ def number_rows(
     name: str = "rn",
     total: str | None = None,
     chunk: Column | None = None,
+    scalars: dict[str, Column] | None = None,
 ) -> DataFrame:
     """1-based position of each row in its series, and optionally the series length.
 
     ``chunk`` replaces ``order div width`` where the ordering is not one integral
-    column; it has to be monotone in the ordering.
+    column; it has to be monotone in the ordering.  ``scalars`` are scalar
+    subqueries to add as columns; they are evaluated on the small table of chunk
+    offsets, so that expressions over them do not repeat the subquery.
     """
     part = [*keys, "_chunk"]
     sort = [F.col(order)] if isinstance(order, str) else order
@@ -81,6 +84,7 @@ def number_rows(
     carried = [F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")]
     if total:
         carried.append(F.sum("_size").over(Window.partitionBy(keys)).alias(total))
+    carried += [c.alias(n) for n, c in (scalars or {}).items()]
     local = F.row_number().over(Window.partitionBy(part).orderBy(*sort))
     return (
         rows.withColumn("_local", local)
