@@ -198,9 +198,9 @@ def _(spark, d):
 
 @query("winner_join", f"""
     SELECT v.config, days, seed FROM (SELECT config, {opt('--days', '7')} AS days FROM variants) v
-    JOIN (SELECT concat('v', config[2:]) AS config FROM ({BY_CUST}) ORDER BY {RANK} LIMIT 3) w USING (config), (VALUES (11), (23)) AS s(seed)""")
+    JOIN (SELECT concat('v', config[2:]) AS config FROM ({BY_CUST.replace('run % 400', 'run % 150')}) ORDER BY {RANK} LIMIT 3) w USING (config), (VALUES (11), (23)) AS s(seed)""")
 def _(spark, d):
-    ranked = ex.rank_configs(many_configs(spark, d)).where("rank <= 3")
+    ranked = ex.rank_configs(many_configs(spark, d, 150)).where("rank <= 3")
     winners = ranked.select(F.concat(F.lit("v"), F.substring("config", 2, 20)).alias("config"))
     rows = ex.winner_cases(winners, merged(spark, d), [11, 23])
     return rows.select("config", ex.option(F.col("options"), "--days", "7").alias("days"), "seed")
