@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks.registry import query, scratch
-from tapeworks.operators import telemetry as te
 from tapeworks.sources import documents as do
 from tapeworks.streaming import streams as st
 

@@ -541,16 +541,21 @@ def _(spark, d):
     SELECT f.run, CASE WHEN used > 0 THEN 'split_aggregate' ELSE 'finance_snapshot' END AS kind,
            CASE WHEN used > 0 THEN pv ELSE portfolio_value END AS portfolio_value,
            CASE WHEN used > 0 THEN ret ELSE total_return_pct END AS total_return_pct,
-           CASE WHEN used > 0 THEN pnl ELSE coalesce(realized_pnl, 0) END AS realized_pnl,
+           CASE WHEN used > 0 THEN pnl ELSE coalesce(realized_pnl, traced, 0) END AS realized_pnl,
            CASE WHEN used > 0 THEN unr ELSE unrealized_pnl END AS unrealized_pnl,
            CAST(CASE WHEN used > 0 THEN tr ELSE trades END AS BIGINT) AS trades,
            CAST(CASE WHEN used > 0 THEN CASE WHEN derive THEN dw ELSE wi END ELSE winning_trades END AS BIGINT) AS winning_trades,
            CAST(CASE WHEN used > 0 THEN CASE WHEN derive THEN greatest(0, tr - dw) ELSE lo END ELSE losing_trades END AS BIGINT) AS losing_trades,
            CASE WHEN used > 0 THEN CASE WHEN tr > 0 THEN (CASE WHEN derive THEN dw ELSE wi END) / tr::DOUBLE * 100 ELSE wr END ELSE win_rate_pct END AS win_rate_pct,
            CASE WHEN used > 1 THEN 'dev+test aggregate' WHEN used > 0 THEN 'test/dev final' ELSE 'train/live snapshot' END AS source
-    FROM finance f LEFT JOIN q ON f.run = q.run""", "portfolio_value total_return_pct realized_pnl unrealized_pnl win_rate_pct")
+    FROM finance f LEFT JOIN q ON f.run = q.run LEFT JOIN (
+      SELECT user_id AS r, arg_max(value, event_id) AS traced FROM events WHERE event_type = 'click' GROUP BY user_id) ON f.run = r""", "portfolio_value total_return_pct realized_pnl unrealized_pnl win_rate_pct")
 def _(spark, d):
-    return me.final_summary(t.payloads(spark, d), t.finance(spark, d))
+    name = F.when(F.col("event_type") == "click", "realized_pnl").otherwise(F.col("event_type"))
+    points = t.table(spark, d, "events").select(
+        F.col("user_id").alias("run"), name.alias("key"), F.col("event_id").alias("pos"), "value"
+    )
+    return me.final_summary(t.payloads(spark, d), t.finance(spark, d), points)
 
 
 def fold_rows(spark, d):

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Formats of run ids and dashboard time stamps.
-RUN_ID = r"^run-(\d{8})-(\d{6})-[a-zA-Z0-9]+$"
-STAMP = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2} UTC$"
+RUN_ID = r"^run-(\d{4})(\d{2})(\d{2})-(\d{2})(\d{2})(\d{2})-[a-zA-Z0-9]+$"
+STAMP = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2}) UTC$"
 
 
 def lines(text: Column) -> Column:
@@ -25,24 +25,27 @@ def last_line(text: Column, wanted) -> Column:
 
 
 def utc_seconds(text: Column, pattern: str) -> Column:
-    """Seconds since the epoch of a UTC wall-clock text, null if it is not a valid time.
+    """Epoch seconds of a UTC time whose six fields are the groups of ``pattern``.
 
-    Parsed without a time zone, so the session's zone plays no part.
+    Null where the text does not match or is no valid time.  The time is built
+    without a zone and taken apart by date and clock, so the session's zone and
+    its daylight saving play no part.
     """
-    naive = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), naive)
+    found = text.rlike(pattern)
+    fields = [F.when(found, F.regexp_extract(text, pattern, i)).cast("int") for i in range(1, 7)]
+    at = F.when(fields[5] < 60, F.try_make_timestamp_ntz(*fields[:5], fields[5].cast("decimal(16,6)")))
+    days = F.date_diff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
 
 
 def run_epoch(run_id: Column) -> Column:
     """Start time in a run id as epoch seconds, 0 when the id does not hold one."""
-    stamp = F.concat(F.regexp_extract(run_id, RUN_ID, 1), F.regexp_extract(run_id, RUN_ID, 2))
-    return F.coalesce(F.when(F.length(stamp) == 14, utc_seconds(stamp, "yyyyMMddHHmmss")), F.lit(0)).cast("bigint")
+    return F.coalesce(utc_seconds(run_id, RUN_ID), F.lit(0).cast("bigint"))
 
 
 def parse_stamp(text: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS UTC`` as epoch seconds, else null."""
-    plain = F.regexp_replace(text, " UTC$", "")
-    return F.when(text.rlike(STAMP), utc_seconds(plain, "y-M-d H:m:s"))
+    return utc_seconds(text, STAMP)
 
 
 def format_elapsed(seconds: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.numeric import floor_div, hash_uniform, ratio, whole
+from tapeworks.functions.numeric import hash_uniform, whole
 from tapeworks.operators.bars import MINUTE
 from tapeworks.plans.series import CHUNK, number_rows, with_halo
 

@@ -44,7 +44,9 @@ def stop_loss_exit(
         .withColumn("_bucket", floor_div(F.col("_piece") * length, span))
     )
     own = floor_div(F.col("entry_step"), span)
-    wanted = entries.withColumn("_bucket", F.explode(F.array(own, own + 1)))
+    # Equal entries of many runs are searched once.
+    wanted = entries.select("symbol", "entry_step", "entry_price").distinct()
+    wanted = wanted.withColumn("_bucket", F.explode(F.array(own, own + 1)))
 
     def loses(price: Column) -> Column:
         return (price - F.col("entry_price")) / F.col("entry_price") < F.lit(-float(stop_loss))

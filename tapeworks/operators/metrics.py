@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import ratio
 from tapeworks.operators.fills import INITIAL_CASH
+from tapeworks.operators.telemetry import latest_value
 from tapeworks.plans.medians import medians
 from tapeworks.plans.series import top_k
 
@@ -122,12 +123,22 @@ def split_payload(metrics: DataFrame) -> DataFrame:
     )
 
 
-def final_summary(splits: DataFrame, finance: DataFrame) -> DataFrame:
+def final_summary(splits: DataFrame, finance: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """One row per run: the dev and test payloads combined, else the live figures.
 
     ``splits`` is :func:`split_payload`; ``finance`` has one row per run with the
-    same figures taken while training.
+    same figures taken while training.  Figures missing there are taken from the
+    last points of the run's series, if ``points`` are given.
     """
+    if points is not None:
+        traced = ["portfolio_value", "realized_pnl", "trades"]
+        last = latest_value(points.where(F.col("key").isin(traced))).groupBy("run").agg(
+            *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"_last_{k}") for k in traced]
+        )
+        finance = finance.join(last, "run", "left").select(
+            *[c for c in finance.columns if c not in traced],
+            *[F.coalesce(F.col(k), F.col(f"_last_{k}").cast(finance.schema[k].dataType)).alias(k) for k in traced],
+        )
     used = F.col("steps") > 0
 
     def of(split: str, c: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.numeric import clip, whole
+from tapeworks.functions.numeric import clip
 from tapeworks.plans.series import CHUNK, Fold, running, with_halo
 
 HOLD, BUY, SELL = 0, 1, 2

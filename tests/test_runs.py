@@ -133,6 +133,17 @@ def test_times(spark):
     assert [r[0] for r in secs.select(format_elapsed(F.col("s"))).collect()] == ["2h 03m 04s", "3m 04s", "4s", "-", "0s"]
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    df = spark.createDataFrame([("run-20240702-030405-ab", "2024-07-02 03:04:05 UTC")], "id string, ts string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = df.select(run_epoch(F.col("id")), parse_stamp(F.col("ts"))).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert tuple(got) == (1719889445, 1719889445)
+
+
 def test_dedup_keeps_first_or_last_by_position(spark):
     rows = [("r", "portfolio_value", 1, 2, 5.0), ("r", "portfolio_value", 1, 0, 3.0), ("r", "train_loss", 1, 1, 8.0), ("r", "train_loss", 1, 7, 9.0)]
     df = spark.createDataFrame(rows, "run string, key string, step bigint, pos bigint, value double")

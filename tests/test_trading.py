@@ -9,7 +9,7 @@ from tapeworks.operators import equity, exits, fills, metrics, orders
 
 
 def replay_lots(rows, dust=False):
-    """Reference replay of no-pyramiding lots, one order at a time."""
+    """Lots rebuilt one order at a time."""
     out, state, lots = [], {}, {}
     for run, sym, step, side, pct, price, qty in sorted(rows, key=lambda r: r[2]):
         key = (run, sym)
