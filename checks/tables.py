@@ -114,7 +114,7 @@ def all_fills(spark: SparkSession, d: str) -> DataFrame:
     pct = F.when(k % 4 == 0, 1.0).when(k % 4 == 1, 0.25).when(k % 4 == 2, 0.5).otherwise(0.75)
     return steps(spark, d).select(
         "run", "step", (k % 3).alias("sym"), side.alias("side"), pct.alias("pct"),
-        (F.col("value") + 1).alias("price"), (4 + k).cast("double").alias("cash"),
+        (F.col("value") + 8 / 7).alias("price"), (4 + k).cast("double").alias("cash"),
     )
 
 

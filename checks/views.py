@@ -51,7 +51,7 @@ VIEWS = {
                     WHEN event_type IN ('error', 'click') THEN 'sell' ELSE 'none' END AS side,
                CASE k % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.25::DOUBLE
                           WHEN 2 THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END AS pct,
-               value + 1 AS price, (4 + k)::DOUBLE AS cash
+               value + 8::DOUBLE / 7 AS price, (4 + k)::DOUBLE AS cash
         FROM steps""",
     "sized": """
         SELECT *, least(cash * pct, 20.0::DOUBLE) AS amount,

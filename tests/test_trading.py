@@ -169,6 +169,14 @@ def test_zero_trade_diagnostic(spark):
     assert got == ["hold_dominant", "remap_or_invalid_dominant", "mixed_low_activity", "n/a"]
 
 
+def test_text_lines(spark):
+    df = spark.createDataFrame([(1, "BTCUSDT", 10.0, 10.5, 0.05, 0.4321, "sell")], "rank int, symbol string, entry_price double, exit_price double, return_pct double, realized_pnl double, reason string")
+    line = metrics.trade_line(df).first()["line"]
+    assert line == "1. BTCUSDT  | Entry: $ 10.000000 → Exit: $ 10.500000 | Return:   5.00% | PnL: $  0.4321 | Reason: sell"
+    lines = df.select(*[metrics.summary_line(F.lit(s), F.lit(12), F.lit(0.5), F.lit(0.0125)).alias(s) for s in ("Val", "Test")]).first()
+    assert tuple(lines) == ("Val Trades:   12 | WR:  50.0% | Return:   1.25%", "Test Trades:  12 | WR:  50.0% | Return:   1.25%")
+
+
 def test_redirect_picks_oldest_or_largest(spark):
     asks = spark.createDataFrame([("r", 5, 2, 9), ("r", 6, 2, 1), ("r", 7, 1, 9), ("r", 8, 2, 9)], "run string, step bigint, action int, symbol_idx int")
     held = [("r", s, sym, e, n) for s in (5, 6) for sym, e, n in ((1, 2, 10.0), (2, 1, 10.0), (3, 3, 50.0))]
