@@ -6,10 +6,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry as checked
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = dict(checked.QUERIES), dict(checked.SQL)
 MAY_BE_EMPTY = {"gate_winners"}
 
 
@@ -38,6 +39,7 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
