@@ -5,6 +5,7 @@ from __future__ import annotations
 import tapeworks.llm.importance  # noqa: F401
 import tapeworks.llm.simhash  # noqa: F401
 import tapeworks.llm.url_filters  # noqa: F401
+import tapeworks.llm.warc  # noqa: F401
 from tapeworks.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
