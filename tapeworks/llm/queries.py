@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tapeworks.llm.importance  # noqa: F401
+import tapeworks.llm.lm  # noqa: F401
 import tapeworks.llm.packing  # noqa: F401
 import tapeworks.llm.simhash  # noqa: F401
 import tapeworks.llm.url_filters  # noqa: F401
