@@ -6,6 +6,7 @@ import tapeworks.llm.importance  # noqa: F401
 import tapeworks.llm.lm  # noqa: F401
 import tapeworks.llm.packing  # noqa: F401
 import tapeworks.llm.simhash  # noqa: F401
+import tapeworks.llm.surrogates  # noqa: F401
 import tapeworks.llm.url_filters  # noqa: F401
 import tapeworks.llm.warc  # noqa: F401
 from tapeworks.llm.common import QUERIES, SQL
