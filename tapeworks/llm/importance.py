@@ -10,7 +10,7 @@ k largest keys are a sample without replacement in proportion to importance.
 the good documents held out of the target model are still in the sample.
 
 Both models are tables of ``buckets`` numbers, whatever the size of the corpus:
-each task returns its counts per bucket, and the ratios (16 MB for the default
+each task returns its counts per bucket, and the ratios (4 MB for the default
 size) are what the scoring tasks receive.
 """
 
@@ -33,6 +33,8 @@ BUCKETS = 1 << 20
 #: Pseudo counts of a word bucket and of a word pair bucket; rarer buckets say little.
 PRIOR = (1.0, 10.0)
 MEMO = 200_000
+#: The buckets travel in so many parts.
+PARTS = 128
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -61,7 +63,15 @@ class Features:
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``bucket``, ``raw`` and ``target`` counts of a table with ``text`` and boolean ``target``."""
+    """Counts of a table with ``text`` and boolean ``target``: ``part`` of the buckets and its ``raw`` and ``target`` counts as arrays of bytes."""
+    width = max(1, buckets // PARTS)
+    names = ["part", "raw", "target"]
+
+    def rows(raw: np.ndarray, target: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(raw), width):
+            if raw[i : i + width].any():
+                pair = [pa.array([x[i : i + width].tobytes()]) for x in (raw, target)]
+                yield pa.RecordBatch.from_arrays([pa.array([first + i // width]), *pair], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(buckets)
@@ -72,25 +82,34 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 np.add.at(raw, f, 1)
                 if good:
                     np.add.at(target, f, 1)
-        seen = np.flatnonzero(raw)
-        for i in range(0, len(seen), 1 << 16):
-            s = seen[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(raw[s]), pa.array(target[s])], ["bucket", "raw", "target"])
+        yield from rows(raw, target)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}  # at most PARTS entries
+        for b in batches:
+            for part, *both in zip(*[c.to_pylist() for c in b.columns]):
+                held = sums.setdefault(part, [np.zeros(width, np.int64), np.zeros(width, np.int64)])
+                for x, y in zip(held, both):
+                    x += np.frombuffer(y, np.int64)
+        for part, (raw, target) in sums.items():
+            yield from rows(raw, target, part)
 
-    parts = docs.select("text", "target").mapInArrow(count, "bucket long, raw long, target long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    kind = "part long, raw binary, target binary"
+    return docs.select("text", "target").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind)
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio of the smoothed models per bucket; at most ``buckets`` rows reach the driver."""
-    got = counts.toPandas()
+    """Log ratio of the smoothed models per bucket; the driver gets two numbers for each bucket."""
+    width = max(1, buckets // PARTS)
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[got.bucket], target[got.bucket] = got.raw, got.target
-    out = np.zeros(buckets)
-    for part, prior in zip((slice(0, buckets // 2), slice(buckets // 2, buckets)), PRIOR):
-        scale = target[part].sum() / max(1.0, raw[part].sum())
-        out[part] = np.log((target[part] + prior) / (raw[part] * scale + prior))
-    return out.astype(np.float64)
+    for part, *both in counts.toLocalIterator():
+        for x, y in zip((raw, target), both):
+            x[part * width : (part + 1) * width] = np.frombuffer(y, np.int64)
+    out = np.zeros(buckets, np.float32)
+    for half, prior in zip((slice(0, buckets // 2), slice(buckets // 2, buckets)), PRIOR):
+        scale = target[half].sum() / max(1.0, raw[half].sum())
+        out[half] = np.log((target[half] + prior) / (raw[half] * scale + prior))
+    return out
 
 
 def with_keys(docs: DataFrame, ratios: np.ndarray, seed: int, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -100,7 +119,7 @@ def with_keys(docs: DataFrame, ratios: np.ndarray, seed: int, text: str = "text"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights = Features(buckets), sent.value
         for b in batches:
-            ratio = np.fromiter((weights[features(t.as_py())].sum() for t in b.column("_text")), np.float64, b.num_rows)
+            ratio = np.fromiter((weights[features(t.as_py())].sum(dtype=np.float64) for t in b.column("_text")), np.float64, b.num_rows)
             uniform = ((b.column("_draw").to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
             columns = [b.column(i) for i, n in enumerate(b.schema.names) if n not in ("_text", "_draw")]
             names = [n for n in b.schema.names if n not in ("_text", "_draw")]
