@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tapeworks.llm.decontamination  # noqa: F401
 import tapeworks.llm.importance  # noqa: F401
 import tapeworks.llm.lm  # noqa: F401
 import tapeworks.llm.packing  # noqa: F401

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import ascii_lower, query, shuffle_partitions, table
 
-SEPARATOR, AFTER_ALL = F.unhex(F.lit("FE")), F.unhex(F.lit("FF"))
+#: Bytes that UTF-8 never has: between host and path, and after all keys with a prefix.
+SEPARATOR, AFTER_ALL = b"\xfe", b"\xff"
 LEVEL = 1 << 32
 
 
@@ -42,7 +43,7 @@ def _rest(url: Column) -> Column:
 
 def _key(labels: Column, levels: Column, path: Column) -> Column:
     host = F.array_join(F.slice(labels, F.lit(1), levels), ".")
-    return F.concat(F.encode(host, "UTF-8"), SEPARATOR, F.encode(path, "UTF-8"))
+    return F.concat(F.encode(host, "UTF-8"), F.lit(SEPARATOR), F.encode(path, "UTF-8"))
 
 
 def _labels(host: Column) -> Column:
@@ -71,7 +72,7 @@ def _markers(rules: DataFrame) -> DataFrame:
     key = _key(F.col("labels"), F.col("size"), F.col("path"))
     nested = own.join(parent, ["labels", "path"], "left").withColumn("key", key)
     starts = nested.select("key", F.col("number").alias("top"))
-    ends = nested.select(F.concat("key", AFTER_ALL).alias("key"), F.coalesce("outer", F.lit(0)).alias("top"))
+    ends = nested.select(F.concat("key", F.lit(AFTER_ALL)).alias("key"), F.coalesce("outer", F.lit(0)).alias("top"))
     return starts.union(ends)
 
 
