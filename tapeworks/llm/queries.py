@@ -8,6 +8,7 @@ import tapeworks.llm.lm  # noqa: F401
 import tapeworks.llm.packing  # noqa: F401
 import tapeworks.llm.quality_rules  # noqa: F401
 import tapeworks.llm.simhash  # noqa: F401
+import tapeworks.llm.substrings  # noqa: F401
 import tapeworks.llm.surrogates  # noqa: F401
 import tapeworks.llm.url_filters  # noqa: F401
 import tapeworks.llm.warc  # noqa: F401
