@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import query, store, table
@@ -53,14 +53,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and signed 64-bit ``fp`` of every row."""
+    """``id``, ``key`` (a hash of id and text) and signed 64-bit ``fp`` of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
 
-    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(hashed, "id long, fp long")
+    key = F.xxhash64(F.col(ident), F.xxhash64(text))
+    given = docs.select(F.col(ident).cast("long").alias("id"), key.alias("key"), F.col(text).cast("string").alias("text"))
+    return given.mapInArrow(hashed, "id long, key long, fp long")
 
 
 class BKTree:
@@ -195,6 +197,17 @@ def link_fingerprints(fps: DataFrame, shard: int = SHARD) -> DataFrame:
         fixed = cut
 
 
+def groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``key``, ``fp``, ``root`` (the group's smallest fingerprint) and ``component`` (its smallest id) of every row."""
+    rows = store(with_fingerprints(docs, ident, text), "fingerprints")
+    fps = store(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = components(link_fingerprints(fps.select("fp")))
+    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(least, "root").select("fp", "root", "component")
+    return rows.join(named, "fp").select("id", "key", "fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``ident``, signed ``fp`` and ``component`` (the smallest id reachable), one row per input row.
 
@@ -202,13 +215,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     like any other; texts shorter than a shingle count as one shingle.  Equal ids
     and equal rows are fine, a null id is no candidate for the smallest.
     """
-    rows = store(with_fingerprints(docs, ident, text), "fingerprints")
-    fps = store(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(link_fingerprints(fps.select("fp")))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return rows.join(named, "fp").select(F.col("id").alias(ident), "fp", "component")
+    return groups(docs, ident, text).select(F.col("id").alias(ident), "fp", "component")
 
 
 @query("op10_simhash")
@@ -216,3 +223,19 @@ def op10(spark, d):
     return near_duplicates(table(spark, d, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+def keep_one(spark, docs: DataFrame, d: str) -> DataFrame:
+    """Pipeline stage: of each group the document with the smallest id, with its columns.
+
+    Of several rows with that id the one with the smallest hash stays, and of equal ones one.
+    """
+    found = store(groups(docs), "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).getField("key")
+    kept = store(found.groupBy("root").agg(first.alias("_key")).select("_key").distinct(), "kept")
+    key = F.xxhash64(F.col("doc_id"), F.xxhash64(F.col("text")))
+    stay = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
+    if found.groupBy("key").count().where("count > 1").take(1):
+        each = Window.partitionBy("_key").orderBy(F.lit(0))
+        stay = stay.withColumn("_copy", F.row_number().over(each)).where("_copy = 1").drop("_copy")
+    return stay.drop("_key")
