@@ -258,7 +258,7 @@ def replace_private(docs: DataFrame, text: str = "text", key: bytes = KEY, small
         rows = entities(docs.where(F.col(text).isNotNull()).withColumn("_h", own), text, ["_h"]).distinct()
         lists = rows.join(again, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again"))
         given = given.withColumn("_h", own).join(lists, "_h", "left").drop("_h")
-    at = docs.columns.index(text)
+    names, at = [*docs.columns, "n_entities"], docs.columns.index(text)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[tuple[str, str, int], str] = {}
@@ -283,7 +283,7 @@ def replace_private(docs: DataFrame, text: str = "text", key: bytes = KEY, small
                 counts.append(len(spans))
             columns = b.columns[: b.num_columns - 2]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*docs.columns, "n_entities"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names)
 
     fields = [StructField(f.name, StringType()) if f.name == text else f for f in docs.schema.fields]
     return given.select(*docs.columns, "_text", "_again").mapInArrow(rewrite, StructType([*fields, StructField("n_entities", LongType())]))
@@ -295,5 +295,6 @@ def op3(spark, d):
 
 
 def replace_stage(spark, docs: DataFrame, d: str) -> DataFrame:
-    """Pipeline stage: the documents with surrogates for personal data."""
-    return replace_private(docs).drop("n_entities")
+    """Pipeline stage: the documents with surrogates for personal data; ``n_chars`` follows the text."""
+    clean = replace_private(docs).drop("n_entities")
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
