@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import query, store, table
+from tapeworks.llm.common import query, shuffle_partitions, store, table
 from tapeworks.llm.suffix_array import suffix_array
 
 WIDTH, GRAM, BLOCK = 400, 32, 16
@@ -251,23 +251,90 @@ def _sorted_groups(parts: DataFrame) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(rows, "key long, b long, e long")
 
 
-def _counted_windows(parts: DataFrame) -> DataFrame:
-    """The same spans for anchors with too many segments: every window is counted by a 128-bit hash."""
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of an (n, 2) array in order: the first place of each, its number for every row, and the counts."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    ordered = pairs[order]
+    new = np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)] if len(pairs) else np.empty(0, bool)
+    number = np.empty(len(pairs), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number, np.bincount(number, minlength=int(new.sum()))
+
+
+def _counted_windows(parts: DataFrame, windows: int, batch: int = 200_000) -> DataFrame:
+    """The same spans for anchors with too many segments: windows are counted by a 128-bit hash.
+
+    A task sends each different window of a batch once, with its count, packed by
+    ranges of the hash; what repeats inside the batch is known there and then.
+    ``windows`` is their number and sets that of the ranges.
+    """
+    buckets = max(shuffle_partitions(parts.sparkSession), -(-windows // 1_000_000))
+    names = ["bucket", "digests", "counts", "keys", "begins"]
+    kind = "bucket long, digests binary, counts binary, keys binary, begins binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests: list[bytes] = []
+        keys, begins, single = [], [], []
+
+        def packed() -> pa.RecordBatch:
+            pairs = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+            first, number, counts = _distinct(pairs)
+            key, begin, wanted = np.concatenate(keys), np.concatenate(begins), np.concatenate(single)
+            out = []
+            known = np.flatnonzero(wanted & (counts[number] > 1))
+            if len(known):
+                out.append((int(key[known[0]]) % buckets, b"", b"", key[known].tobytes(), begin[known].tobytes()))
+            # a begin of -1 stands for a window that is not asked for any more
+            begin = np.where(wanted[first] & (counts == 1), begin[first], -1)
+            bucket = ((pairs[first, 0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                out.append((int(bucket[x]), pairs[first[x:y]].tobytes(), counts[x:y].tobytes(), key[first[x:y]].tobytes(), begin[x:y].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(zip(*out))], names)
+
+        size = 0
+        for b in batches:
+            for r in b.to_pylist():
+                view, n = memoryview(r["data"]), r["windows"]
+                digests += [xxhash.xxh3_128_digest(view[i : i + WIDTH]) for i in range(n)]
+                keys.append(np.full(n, r["key"]))
+                begins.append(np.arange(n) + r["start"])
+                single.append(np.full(n, r["single"]))
+                size += n
+                if size >= batch:
+                    yield packed()
+                    digests, keys, begins, single, size = [], [], [], [], 0
+        if size:
+            yield packed()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def spans(keys: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(begins), pa.array(begins + WIDTH)], ["key", "b", "e"])
+
+        def added() -> pa.RecordBatch:
+            pairs = np.frombuffer(b"".join(r["digests"] for r in held), np.uint64).reshape(-1, 2)
+            counts, keys, begins = (np.frombuffer(b"".join(r[c] for r in held), np.int64) for c in ("counts", "keys", "begins"))
+            _, number, _ = _distinct(pairs)
+            total = np.bincount(number, weights=counts)
+            again = (total[number] > 1) & (begins >= 0)
+            return spans(keys[again], begins[again])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                view = memoryview(r["data"])
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + WIDTH]) for i in range(r["windows"])), ">i8").reshape(-1, 2)
-                n = len(digests)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(digests[:, 0].astype(np.int64)), pa.array(digests[:, 1].astype(np.int64)), pa.array(np.full(n, r["key"])),
-                    pa.array(np.arange(n) + r["start"]), pa.array(np.full(n, r["single"])),
-                ], ["h", "l", "key", "b", "single"])
+                if not r["digests"]:
+                    yield spans(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["begins"], np.int64))
+                    continue
+                if held and held[0]["bucket"] != r["bucket"]:
+                    yield added()
+                    held = []
+                held.append(r)
+        if held:
+            yield added()
 
-    each = parts.mapInArrow(rows, "h long, l long, key long, b long, single boolean")
-    again = each.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return each.where("single").join(again, ["h", "l"], "left_semi").select("key", "b", (F.col("b") + WIDTH).alias("e"))
+    sent = parts.mapInArrow(send, kind).repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(count, "key long, b long, e long")
 
 
 def repeated_spans(keyed: DataFrame, most: int = MOST) -> DataFrame:
@@ -283,8 +350,9 @@ def repeated_spans(keyed: DataFrame, most: int = MOST) -> DataFrame:
     wanted = marked.where("different is not null").withColumn("single", F.col("n") == 1)
     every = copies.unionByName(_sorted_groups(fetched(keyed, wanted.where(F.col("different") <= most))))
     crowded = wanted.where(F.col("different") > most)
-    if crowded.take(1):
-        every = every.unionByName(_counted_windows(fetched(keyed, crowded)))
+    windows = crowded.agg(F.sum("windows")).first()[0]
+    if windows:
+        every = every.unionByName(_counted_windows(fetched(keyed, crowded), windows))
     return store(every.groupBy("key").agg(F.collect_list(F.struct("b", "e")).alias("spans")), "spans", "zstd")
 
 
