@@ -117,7 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
 
     Words of a document inside an occurrence of a window are hit.  Null and empty texts
     have no words, and items without words no window.  Equal windows of several items
-    count for each of them, and an item's id counts once.  Rows equal in id and text
+    count for each of them, and an item's id counts once, a null one not at all.  Rows equal in id and text
     have equal results.  No items: nothing is hit.
     """
     wins, owners = windows(items, width=width)
@@ -132,7 +132,7 @@ def contamination(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
     begin = F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.lit(0)))
     hit = spans.distinct().withColumn("own", F.greatest(F.col("stop") - begin, F.lit(0))).groupBy("key").agg(F.sum("own").alias("n_hit"))
     held = found.select("key", "window").distinct().join(bounded(owners), "window").select("key", "item").distinct()
-    lists = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("item")).alias("_items"))
+    lists = held.groupBy("key").agg(F.count("item").alias("n_items"), F.sort_array(F.collect_list("item")).alias("_items"))
     joined = ends.join(hit.join(lists, "key"), "key", "left")
     return joined.select(
         ident, "key", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
