@@ -20,7 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -131,7 +131,7 @@ def _records(stream, chunk: int) -> Iterator[tuple]:
         kind, digest, size, number = head["warc-type"], hashlib.sha1(usedforsecurity=False), 0, 0
         number_of = lambda name: None if "None" in head[name] else int(head[name].removeprefix(f"<{SCHEME}").removesuffix(">"))
         common = (number_of("warc-record-id"), kind, number_of("warc-refers-to") if "warc-refers-to" in head else None,
-                  unquote(head["warc-target-uri"], errors="surrogatepass") if "warc-target-uri" in head else None, head["warc-payload-digest"].removeprefix("sha1:"))
+                  head.get("warc-target-uri"), head["warc-payload-digest"].removeprefix("sha1:"))
         while True:
             data = stream.read(min(left, chunk))
             if len(data) < min(left, chunk):
@@ -179,7 +179,8 @@ def archive(pages: DataFrame, ident: str = "page_id", url: str = "url", payload:
     A null payload is empty.  Of records with equal payloads of at least ``least_bytes``
     bytes, that with the smallest id is the response and the others revisit it; rows
     that share that smallest id are all responses, and rows with a null id revisit any
-    record with an id.  A null url leaves the target out.  Equal rows give a record each.
+    record with an id.  A null url leaves the target out; blanks, control and non-ASCII
+    characters of others are percent-encoded.  Equal rows give a record each.
     """
     to = folder(pages.sparkSession, "warc")
     if "://" not in to and not to.startswith("file:"):
