@@ -82,43 +82,43 @@ def encode(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return docs.select("id", "text", "held").mapInArrow(rows, f"block long, docs {DOCS}, words binary, tokens binary")
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of equal ranges of hashes: sorted keys are in the order of their buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 class Grams:
-    """The distinct n-grams of a block, per order in the order of its requests."""
+    """The distinct n-grams of a block, per order sorted by their hash.
+
+    ``at[k - 1]`` has for each place the number of the n-gram of order k that ends
+    there (for single words their position in the block's list), or -1.  Before a
+    text stands one end.
+    """
 
     def __init__(self, docs: list[dict], words: bytes, tokens: bytes, order: int, buckets: int):
         hashes, self.tokens = np.frombuffer(words, np.uint64), unplanes(tokens, "u4").astype(np.int64)
         self.n, self.size = np.array([d["n"] for d in docs]), len(hashes)
-        starts = np.r_[0, np.cumsum(self.n)[:-1]]
+        self.starts = np.r_[0, np.cumsum(self.n)[:-1]]
         train = np.repeat(~np.array([d["held"] for d in docs]), self.n)
-        code, key = self.tokens, hashes[self.tokens]  # of the n-gram that ends at each place
-        place = np.arange(len(code)) - np.repeat(starts, self.n)
-        self.at, self.keys, self.counts, self.ends = [], [], [], []
-        for k in range(1, order + 1):
-            if k > 1:
-                before = np.r_[0, self.at[-1][:-1]]
-                before = np.where(place > 0, before, 0 if k == 2 else -1)
-                # the end of no text stands before the first word; longer contexts need so many words
-                code = np.where(before >= 0, before * self.size + self.tokens, -1)
-                last = np.r_[0, self._key[:-1]].astype(np.uint64)
-                last = np.where(place > 0, last, hashes[0])
-                key = (last * MIX_A ^ hashes[self.tokens] * MIX_B) * MIX_A
-                key ^= key >> np.uint64(29)
-            self._key = key
-            full = code >= 0
-            distinct, first, at = np.unique(code[full], return_index=True, return_inverse=True)
-            own = key[full][first]
-            order_ = np.lexsort((own, own % np.uint64(buckets)))
-            rank = np.empty(len(order_), np.int64)
-            rank[order_] = np.arange(len(order_))
-            places = np.full(len(code), -1)
-            places[full] = rank[at] if k > 1 else at
-            if k == 1:
-                self.word_rank = np.zeros(self.size, np.int64)
-                self.word_rank[distinct] = rank
+        inside = np.ones(len(self.tokens), bool)
+        inside[self.starts] = False
+        distinct, self.word_rank = np.unique(hashes, return_inverse=True)
+        self.at, self.keys = [self.tokens], [distinct]
+        self.counts = [np.bincount(self.word_rank[self.tokens[train]], minlength=len(distinct))]
+        key, valid = hashes[self.tokens], np.ones(len(self.tokens), bool)
+        for k in range(2, order + 1):
+            valid = np.where(inside, np.r_[True, valid[:-1]], k == 2)
+            last = np.where(inside, np.r_[hashes[0], key[:-1]], hashes[0])
+            key = (last * MIX_A ^ hashes[self.tokens] * MIX_B) * MIX_A
+            key ^= key >> np.uint64(29)
+            distinct, number = np.unique(key[valid], return_inverse=True)
+            places = np.full(len(key), -1)
+            places[valid] = number
             self.at.append(places)
-            self.keys.append(own[order_])
-            self.counts.append(np.bincount(rank[at][train[full]], minlength=len(distinct)))
-            self.ends.append(np.searchsorted((own % np.uint64(buckets))[order_], np.arange(buckets), "right"))
+            self.keys.append(distinct)
+            self.counts.append(np.bincount(number[train[valid]], minlength=len(distinct)))
+        self.ends = [np.searchsorted(bucket_of(x, buckets), np.arange(buckets, dtype=np.uint64), "right") for x in self.keys]
+        self.inside = inside
 
 
 def requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -136,7 +136,8 @@ def requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                             keys = grams.keys[k][start:end]
                             out.append((r["block"], k + 1, j, planes(np.diff(keys, prepend=np.uint64(0))), planes(grams.counts[k][start:end].astype(np.uint32))))
                         start = end
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()] * 2)], names)
+                    if out:  # texts may be too short for the order
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()] * 2)], names)
 
     return blocks.mapInArrow(rows, "block long, level long, bucket long, keys binary, counts binary")
 
@@ -180,80 +181,85 @@ def totals(asked: DataFrame) -> DataFrame:
 class Automaton:
     """The states and arcs that the texts of one block can reach.
 
-    State 0 is the root; the context that ends with n-gram i of order k is
-    ``first[k] + i``.  ``arcs`` maps ``state * words + word`` to an arc.
+    State 0 is the root; the context that is n-gram i of order k has the number
+    ``first[k - 1] + i``.  Arcs are sorted by ``state * words + word``.
     """
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], tokens: int, words: int, seen: list[float]):
         order, size = len(counts), grams.size
-        self.size = size
+        counts = [counts[0], *[np.r_[c, 0] for c in counts[1:]]]  # a last place for what no text reaches
+        self.order, self.size = order, size
         self.count = counts[0][grams.word_rank]
         prob = (self.count + 1) / (tokens + words + 1)
-        self.root = np.log10(prob).tolist()
+        self.root = np.log10(prob)
+        self.start = np.where(self.count > 0, 1 + np.arange(size), 0) if order > 1 else np.zeros(size, np.int64)
         first = np.r_[1, 1 + np.cumsum([size, *[len(c) for c in counts[1:]]])]
-        known = [self.count > 0, *[c > 0 for c in counts[1:]]]
-        self.start = np.where(known[0], 1 + np.arange(size), 0).tolist() if order > 1 else [0] * size
-        self.fail, self.back = [0.0] * int(first[order - 1]), [0] * int(first[order - 1])
-        self.arcs: dict[int, int] = {}
-        self.logp: list[float] = []
-        self.next: list[int] = []
-        below = prob[grams.tokens]  # probability of each place's word at the order before
+        self.fail, self.back = np.zeros(first[order - 1]), np.zeros(first[order - 1], np.int64)
+        keys, logp, after = [], [], []
+        below = prob[grams.tokens]  # of each place's word at the order before
         for k in range(2, order + 1):
-            at, context = grams.at[k - 1], self._context(grams, k)
-            full = (at >= 0) & (context >= 0)
-            total = np.where(context >= 0, (self.count if k == 2 else counts[k - 2])[np.maximum(context, 0)], 0)
-            hits = np.where(full, counts[k - 1][np.maximum(at, 0)], 0)
+            numbers = grams.at[k - 2]
+            context = np.where(grams.inside, np.r_[0, numbers[:-1]], 0 if k == 2 else -1)
+            known = context >= 0
+            total = np.where(known, (self.count if k == 2 else counts[k - 2])[context], 0)
+            hits = np.where(known, counts[k - 1][grams.at[k - 1]], 0)
             share = np.divide(hits, total, out=np.zeros(len(hits)), where=total > 0)
-            here = np.where(total > 0, seen[k - 1] * share + (1 - seen[k - 1]) * below, below)
-            some = np.flatnonzero(full & (hits > 0))
-            _, pick = np.unique(at[some], return_index=True)
-            places = some[pick]
-            state = first[k - 2] + context[places]
-            base = len(self.logp)
-            self.arcs.update(zip((state * size + grams.tokens[places]).tolist(), range(base, base + len(places))))
-            self.logp += np.log10(here[places]).tolist()
-            longest = first[k - 1] + at[places] if k < order else first[k - 2] + (grams.tokens[places] if k == 2 else grams.at[k - 2][places])
-            self.next += longest.tolist()
-            states = np.unique(context[context >= 0])
-            lost = np.log10(1 - seen[k - 1])
-            shorter = self._shorter(grams, k)
-            for c in states.tolist():
-                self.fail[first[k - 2] + c], self.back[first[k - 2] + c] = lost, int(shorter.get(c, 0))
-            below = here
-
-    @staticmethod
-    def _context(grams: Grams, k: int) -> np.ndarray:
-        """For each place the number of the context of order k - 1 before its word, or -1."""
-        place = np.arange(len(grams.tokens)) - np.repeat(np.r_[0, np.cumsum(grams.n)[:-1]], grams.n)
-        previous = np.r_[0, (grams.tokens if k == 2 else grams.at[k - 2])[:-1]]
-        return np.where(place > 0, previous, 0 if k == 2 else -1)
-
-    @staticmethod
-    def _shorter(grams: Grams, k: int) -> dict[int, int]:
-        """The state one word shorter than each context of order k - 1; the root for single words."""
-        if k == 2:
-            return {}
-        shorter = 1 + grams.tokens if k == 3 else 1 + grams.size + grams.at[k - 3]
-        full = grams.at[k - 2] >= 0
-        return dict(zip(grams.at[k - 2][full].tolist(), shorter[full].tolist()))
-
-    def score(self, words: list[int]) -> float:
-        """Log10 probability of a text that begins after an end."""
-        arcs, size, state, total = self.arcs, self.size, self.start[0], 0.0
-        for w in words:
-            while True:
-                arc = arcs.get(state * size + w)
-                if arc is not None:
-                    total += self.logp[arc]
-                    state = self.next[arc]
-                    break
-                if not state:
-                    total += self.root[w]
-                    state = self.start[w]
-                    break
-                total += self.fail[state]
-                state = self.back[state]
-        return total
+            below = np.where(total > 0, seen[k - 1] * share + (1 - seen[k - 1]) * below, below)
+            place = np.zeros(len(counts[k - 1]), np.int64)  # one place of each n-gram
+            place[grams.at[k - 1][known]] = np.flatnonzero(known)
+            place = place[counts[k - 1] > 0]
+            keys.append((first[k - 2] + context[place]) * size + grams.tokens[place])
+            logp.append(np.log10(below[place]))
+            # the state behind an arc is the longest context that ends there; at the highest order one word less
+            after.append(first[k - 1] + grams.at[k - 1][place] if k < order else first[k - 2] + numbers[place])
+            self.fail[first[k - 2] : first[k - 1]] = np.log10(1 - seen[k - 1])
+            if k > 2:
+                shorter, full = grams.at[k - 3], numbers >= 0
+                self.back[first[k - 2] + numbers[full]] = first[k - 3] + shorter[full]
+        keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        by = np.argsort(keys)
+        self.keys = np.r_[keys[by], np.iinfo(np.int64).max]
+        self.logp = np.r_[np.concatenate(logp)[by], 0.0] if logp else np.zeros(1)
+        self.after = np.r_[np.concatenate(after)[by], 0] if after else np.zeros(1, np.int64)
+
+    def score(self, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, piece: int = 1024) -> np.ndarray:
+        """Log10 probability of each text, one pass from left to right over many texts at once.
+
+        Long texts are taken in pieces.  The state before a piece follows from the
+        ``order - 1`` words before it, which are read first and not counted.
+        """
+        pieces = -(-sizes // piece)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        number = np.arange(len(owner)) - np.repeat(np.r_[0, np.cumsum(pieces)[:-1]], pieces)
+        lead = np.minimum(self.order - 1, number * piece)
+        whole = number * piece <= self.order - 1  # what is read before begins where the text does
+        begin = starts[owner] + number * piece - lead
+        length = np.minimum(piece, sizes[owner] - number * piece) + lead
+        by = np.argsort(-length, kind="stable")
+        owner, lead, begin, length, whole = owner[by], lead[by], begin[by], length[by], whole[by]
+        active = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
+        state, total = np.where(whole, self.start[0], 0), np.zeros(len(owner))
+        for t, m in enumerate(active.tolist()):
+            word, at, gain = tokens[begin[:m] + t], state[:m].copy(), np.zeros(m)
+            todo = np.arange(m)
+            while len(todo):
+                s, w = at[todo], word[todo]
+                key = s * self.size + w
+                arc = np.searchsorted(self.keys, key)
+                hit = self.keys[arc] == key
+                found, arc = todo[hit], arc[hit]
+                gain[found] += self.logp[arc]
+                at[found] = self.after[arc]
+                todo, s, w = todo[~hit], s[~hit], w[~hit]
+                low = s == 0
+                gain[todo[low]] += self.root[w[low]]
+                at[todo[low]] = self.start[w[low]]
+                todo, s = todo[~low], s[~low]
+                gain[todo] += self.fail[s]
+                at[todo] = self.back[s]
+            state[:m] = at
+            total[:m] += np.where(lead[:m] <= t, gain, 0.0)
+        return np.bincount(owner, weights=total, minlength=len(sizes))
 
 
 def _scored(order: int, buckets: int, tokens: int, words: int, seen: list[float]):
@@ -261,13 +267,13 @@ def _scored(order: int, buckets: int, tokens: int, words: int, seen: list[float]
 
     def finish(head: dict, counts: list[list[bytes]]) -> pa.RecordBatch:
         grams = Grams(head["docs"], head["words"], head["tokens"], order, buckets)
-        auto = Automaton(grams, [np.concatenate([unplanes(x, "u8") for x in c]).astype(np.int64) for c in counts], tokens, words, seen)
+        auto = Automaton(grams, [np.concatenate([np.empty(0, np.uint64), *[unplanes(x, "u8") for x in c]]).astype(np.int64) for c in counts], tokens, words, seen)
         known = auto.count[grams.tokens] > 0
         base = np.log10((auto.count + 1) / (tokens + 1 * (words + 1)))[grams.tokens]
-        starts = np.r_[0, np.cumsum(grams.n)[:-1]]
-        plain, columns = grams.tokens.tolist(), [[d["id"] for d in head["docs"]], [d["held"] for d in head["docs"]], grams.n.tolist()]
+        starts = grams.starts
+        columns = [[d["id"] for d in head["docs"]], [d["held"] for d in head["docs"]], grams.n.tolist()]
         columns += [np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts)]
-        columns.append([auto.score(plain[s : s + n]) for s, n in zip(starts.tolist(), grams.n.tolist())])
+        columns.append(auto.score(grams.tokens, starts, grams.n))
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
