@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package, wherever the driver was started.
+
+    A cluster needs it installed, or shipped with ``addPyFile``.
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
