@@ -4,7 +4,7 @@ Documents are cut into pieces of at most one sequence.  Full pieces fill a
 sequence each; of the rest only the histogram over length classes is needed, at
 most ``width / step`` numbers, so the linear program is small whatever the size
 of the corpus.  Its columns are patterns, multisets of length classes that fit a
-sequence.  Starting from one pattern per class, a knapsack dynamic program over
+sequence.  Starting from the patterns of first-fit decreasing, a knapsack dynamic program over
 the dual prices finds the pattern that lowers the number of sequences most,
 until none does.  Pattern counts are rounded down, the few pieces left over are
 packed first-fit decreasing, and pieces take their slots in the patterns by rank
@@ -30,7 +30,7 @@ from tapeworks.llm.common import query, store, table
 
 WIDTH, STEP, END = 2048, 8, 1
 BUCKET = 65_536
-ROUNDS = 2000
+ROUNDS = 10_000
 #: The pre-tokenizer's pattern for byte-level BPE; a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_BLANK = re.compile(r"\s{512}")
@@ -111,48 +111,63 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
     return counts
 
 
+def first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns of first-fit decreasing and how often to use each; together they hold exactly ``demand``."""
+    left, order, plan = demand.astype(np.int64).copy(), np.argsort(-sizes), []
+    while left.any():
+        column, room = np.zeros(len(sizes), np.int64), capacity
+        for i in order:
+            column[i] = min(left[i], room // sizes[i])
+            room -= column[i] * sizes[i]
+        held = column > 0
+        n = int((left[held] // column[held]).min())
+        plan.append((column, n))
+        left -= n * column
+    return plan
+
+
 def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns over ``sizes`` and how often to use each; together they hold exactly ``demand``.
 
-    Revised simplex with generated columns, then rounding down and first-fit
-    decreasing for what is left.  Stopping after ``rounds`` leaves a feasible plan.
+    Revised simplex: a column enters for a surplus with a negative price, else from the
+    patterns of first-fit decreasing, else from the knapsack, whose value also bounds the
+    optimum from below.  Then rounding down, and first-fit decreasing for what is left.
+    Stopping after ``rounds`` leaves a feasible plan.
     """
     m = len(sizes)
     if not m:
         return []
     columns = [np.where(np.arange(m) == i, capacity // sizes[i], 0) for i in range(m)]
-    inverse = np.diag(1.0 / np.array([c.max() for c in columns]))
+    costs, inverse, bound = np.ones(m), np.diag(1.0 / np.array([c.max() for c in columns])), 0.0
+    known = np.array([c for c, _ in first_fit(sizes, demand, capacity)]).reshape(-1, m)
     for _ in range(rounds):
-        new = price(np.maximum(inverse.sum(axis=0), 0), sizes, capacity)
-        if inverse.sum(axis=0) @ new <= 1 + 1e-7:
-            break
-        way, amount = inverse @ new, inverse @ demand
+        prices, amount = costs @ inverse, inverse @ demand
+        values, cost = known @ prices, 1.0
+        if prices.min() < -1e-9:
+            new, cost = -(np.arange(m) == prices.argmin()).astype(np.int64), 0.0
+        elif len(values) and values.max() > 1 + 1e-7:
+            new = known[values.argmax()]
+        else:
+            new = price(np.maximum(prices, 0), sizes, capacity)
+            bound = max(bound, demand @ np.maximum(prices, 0) / max(1.0, prices @ new))
+            if prices @ new <= 1 + 1e-7 or costs @ amount - bound <= 1e-4 * bound:
+                break
+        way = inverse @ new
         able = np.flatnonzero(way > 1e-9)
         leave = able[np.argmin(np.maximum(amount[able], 0) / way[able])]
-        columns[leave] = new
+        columns[leave], costs[leave] = new, cost
         row = inverse[leave] / way[leave]
         inverse -= np.outer(way, row)
         inverse[leave] = row
-    used = np.floor(np.maximum(inverse @ demand, 0) + 1e-6).astype(np.int64)
-    left = demand.astype(np.int64).copy()
-    plan = []
+    used = np.floor(np.maximum(inverse @ demand, 0) * costs + 1e-6).astype(np.int64)
+    left, plan = demand.astype(np.int64).copy(), []
     for column, n in sorted(zip(columns, used.tolist()), key=lambda x: -x[1]):
         held = column > 0
-        n = min(n, int((left[held] // column[held]).min()))
+        n = min(n, int((left[held] // column[held]).min())) if held.any() else 0
         if n > 0:
             plan.append((column, n))
             left -= n * column
-    order = np.argsort(-sizes)
-    while left.any():
-        column, room = np.zeros(m, np.int64), capacity
-        for i in order:
-            column[i] = min(left[i], room // sizes[i])
-            room -= column[i] * sizes[i]
-        held = column > 0
-        n = int((left[held] // column[held]).min())
-        plan.append((column, n))
-        left -= n * column
-    return plan
+    return plan + first_fit(sizes, left, capacity)
 
 
 def pack(pieces: DataFrame, order: list[str], width: int = WIDTH, step: int = STEP, bucket: int = BUCKET) -> DataFrame:
