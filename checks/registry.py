@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -62,8 +61,6 @@ def query(name: str, sql: str | None = None, doubles: str = "", recursive: str =
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    """A fresh folder below the cluster's shared checkpoint folder, or else its warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from tapeworks.functions.numeric import safe_float
 from tapeworks.functions.text import format_elapsed, parse_stamp, run_epoch
 from tapeworks.operators import experiments as ex
 from tapeworks.operators import telemetry as te
+from tapeworks.plans.series import number_rows
 from tapeworks.sources import documents as do
 
 # ---------------------------------------------------------------- logs
@@ -149,17 +150,22 @@ def _(spark, d):
 
 
 @query("phase_merge", """
-    SELECT run, phase, config, return_code, trade_band_ok FROM scored WHERE phase IN ('gate', 'confirm')""")
+    SELECT run, phase, config, return_code, trade_band_ok FROM scored""")
 def _(spark, d):
     rows = t.scored(spark, d).select("run", "phase", "config", "return_code", "trade_band_ok")
-    return ex.phase_merge(rows.where("phase = 'gate'"), rows.where("phase = 'confirm'"))
+    early = ex.phase_merge(rows.where("phase = 'gate'"), rows.where("phase = 'confirm'"))
+    return ex.phase_merge(early, rows.where("phase = 'robust'"))
 
 
-@query("winners_or_stored", "SELECT config, count(*) AS n FROM scored WHERE phase = 'gate' GROUP BY config")
+@query("winners_or_stored", """
+    SELECT 'none new' AS case_, phase, config, count(*) AS n FROM scored GROUP BY phase, config
+    UNION ALL SELECT 'some new', phase, config, count(*) FROM scored WHERE phase = 'robust' GROUP BY phase, config""")
 def _(spark, d):
+    """Both ways: a phase without winners keeps the stored ones, one with winners replaces them."""
     rows = t.scored(spark, d).groupBy("phase", "config").agg(F.count(F.lit(1)).alias("n"))
-    fresh = rows.where("phase = 'rerun'").select("config", "n")
-    return ex.winners_or_stored(fresh, rows.where("phase = 'gate'").select("config", "n"))
+    none = ex.winners_or_stored(rows.where("phase = 'rerun'"), rows).select(F.lit("none new").alias("case_"), "phase", "config", "n")
+    some = ex.winners_or_stored(rows.where("phase = 'robust'"), rows).select(F.lit("some new").alias("case_"), "phase", "config", "n")
+    return none.unionByName(some)
 
 
 @query("variant_matrix", """
@@ -266,18 +272,19 @@ POINTS = "SELECT run, key, step, pos, value FROM telemetry WHERE value IS NOT NU
 
 
 def states(spark, d):
-    """Run documents: every run's series as a map of arrays, capped as a document is."""
-    capped = te.cap_series(t.telemetry(spark, d))
-    series = capped.groupBy("run", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "step", "value"))).alias("p"))
-    points = F.transform("p", lambda x: F.struct(x["step"].alias("step"), x["value"].alias("value")))
-    return series.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("key", points))).alias("series"))
+    """Run documents: the series as maps of arrays, in parts of at most 500 points of each; ``first`` is a part's first position."""
+    points = number_rows(t.telemetry(spark, d).where("value IS NOT NULL"), ["run", "key"], "pos", name="n")
+    points = points.withColumn("first", ((F.col("n") - 1) - (F.col("n") - 1) % te.MAX_POINTS).cast("int"))
+    series = points.groupBy("run", "first", "key").agg(F.array_sort(F.collect_list(F.struct("n", "step", "value"))).alias("p"))
+    short = F.transform("p", lambda x: F.struct(x["step"].alias("step"), x["value"].alias("value")))
+    return series.groupBy("run", "first").agg(F.map_from_entries(F.collect_list(F.struct("key", short))).alias("series"))
 
 
 @query("explode_series", """
     SELECT run, key, CAST(row_number() OVER (PARTITION BY run, key ORDER BY pos) - 1 AS INTEGER) AS pos, step, value
     FROM telemetry WHERE value IS NOT NULL""", "value")
 def _(spark, d):
-    return te.explode_series(states(spark, d))
+    return te.explode_series(states(spark, d), first="first")
 
 
 @query("cap_series", f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY pos DESC) AS r FROM ({POINTS})) WHERE r <= 8", "value")
@@ -300,7 +307,7 @@ def _(spark, d):
     return t.dedup(spark, d)
 
 
-@query("align_series", "SELECT * FROM wide", "click purchase view")
+@query("align_series", "SELECT * FROM wide", " ".join(t.WIDE))
 def _(spark, d):
     return t.wide(spark, d)
 
@@ -315,7 +322,7 @@ def filled(c):
 FILLED = "SELECT run, step, " + ", ".join(filled(c) for c in t.WIDE) + " FROM wide"
 
 
-@query("interpolate_index", FILLED, "click purchase view")
+@query("interpolate_index", FILLED, " ".join(t.WIDE))
 def _(spark, d):
     return te.interpolate(t.wide(spark, d), t.WIDE)
 
@@ -325,7 +332,7 @@ def _(spark, d):
     return te.view_filter(t.dedup(spark, d), "Eval", {"Train": ["click"], "Eval": ["purchase", "view"]})
 
 
-@query("melt", "SELECT run, step, key AS series, value FROM dedup WHERE key IN ('click', 'purchase', 'view')", "value")
+@query("melt", "SELECT run, step, key AS series, value FROM dedup", "value")
 def _(spark, d):
     return te.melt(t.wide(spark, d), ["run", "step"], t.WIDE).where(F.col("value").isNotNull())
 
@@ -410,9 +417,17 @@ def _(spark, d):
     return te.sort_runs(t.run_index(spark, d)).select("run_id", "mode", "run_epoch")
 
 
-@query("default_run", "SELECT arg_max(run_id, seq) AS run_id FROM run_index WHERE mode <> 'walk_forward'")
+@query("default_run", f"""
+    SELECT 'gone' AS selected, arg_max(run_id, seq) AS run_id FROM run_index WHERE mode <> 'walk_forward'
+    UNION ALL SELECT 'present', min(run_id) FROM run_index
+    UNION ALL SELECT 'no model', arg_max(run_id, struct_pack(e := {EPOCH}, i := run_id)) FROM run_index WHERE mode = 'walk_forward'""")
 def _(spark, d):
-    return te.default_run(t.run_index(spark, d), "run-gone")
+    """A selection that is gone, one that is present, and an index without a model run."""
+    index = t.run_index(spark, d)
+    present = index.agg(F.min("run_id")).first()[0]
+    cases = {"gone": (index, "run-gone"), "present": (index, present), "no model": (index.where("mode = 'walk_forward'"), None)}
+    parts = [te.default_run(rows, chosen).select(F.lit(name).alias("selected"), "run_id") for name, (rows, chosen) in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 KPI_STATE = """
@@ -421,22 +436,28 @@ KPI_STATE = """
            CASE c_custkey % 4 WHEN 0 THEN 100.0::DOUBLE WHEN 1 THEN c_acctbal END AS sum_portfolio_value, c_custkey % 11 AS fin_trades,
            CASE WHEN c_custkey % 7 = 0 THEN c_acctbal / 20 ELSE 0 END AS fin_realized_pnl,
            CASE WHEN c_custkey % 13 = 0 THEN 12.5::DOUBLE ELSE 0 END AS fin_win_rate_pct,
-           CASE c_custkey % 6 WHEN 0 THEN 100.0::DOUBLE WHEN 2 THEN c_acctbal / 2 ELSE 0 END AS fin_portfolio_value FROM customer"""
+           CASE c_custkey % 6 WHEN 0 THEN 100.0::DOUBLE WHEN 2 THEN c_acctbal / 2 ELSE 0 END AS fin_portfolio_value,
+           c_custkey * 3 AS step, CASE WHEN c_custkey % 3 <> 1 THEN c_acctbal / 7 END AS train_loss, CASE WHEN c_custkey % 5 <> 1 THEN c_acctbal / 9 END AS train_reward,
+           CASE WHEN c_custkey % 4 <> 1 THEN c_acctbal / 30 END AS fin_unrealized_pnl, c_acctbal / 50 AS fin_total_return_pct, c_acctbal / 70 AS fin_drawdown_pct FROM customer"""
 
 
 @query("resolve_kpis", f"""
-    WITH p AS (SELECT run, CASE key WHEN 'click' THEN 'realized_pnl' WHEN 'view' THEN 'win_rate' WHEN 'signup' THEN 'trades' ELSE 'portfolio_value' END AS key,
+    WITH p AS (SELECT run, CASE key WHEN 'click' THEN 'realized_pnl' WHEN 'view' THEN 'win_rate' WHEN 'signup' THEN 'trades' WHEN 'error' THEN 'unrealized_pnl' ELSE 'portfolio_value' END AS key,
                       pos, value FROM ({POINTS})),
     s AS (SELECT run, CAST(max(trunc(value)) FILTER (key = 'trades') AS BIGINT) AS tr, arg_max(value, pos) FILTER (key = 'realized_pnl') AS pnl,
-                 arg_max(value, pos) FILTER (key = 'portfolio_value') AS pv, arg_max(value, pos) FILTER (key = 'win_rate' AND abs(value) > 1e-12) AS wr
+                 arg_max(value, pos) FILTER (key = 'portfolio_value') AS pv, arg_max(value, pos) FILTER (key = 'unrealized_pnl') AS upnl, arg_max(value, pos) FILTER (key = 'win_rate' AND abs(value) > 1e-12) AS wr
           FROM p GROUP BY run),
-    j AS (SELECT k.*, greatest(fin_trades, coalesce(sum_trades, 0), coalesce(tr, 0)) AS trades, pnl, pv, wr,
+    j AS (SELECT k.*, greatest(fin_trades, coalesce(sum_trades, 0), coalesce(tr, 0)) AS trades, pnl, pv, wr, upnl,
                  CASE WHEN coalesce(sum_portfolio_value, 0) IN (0, 100) AND fin_portfolio_value NOT IN (0, 100) THEN fin_portfolio_value
                       ELSE coalesce(sum_portfolio_value, 0) END AS pv0
           FROM ({KPI_STATE}) k LEFT JOIN s ON k.run = s.run)
     SELECT run, trades, coalesce(nullif(sum_realized_pnl, 0), nullif(fin_realized_pnl, 0), nullif(pnl, 0), 0) AS realized_pnl,
            coalesce(nullif(sum_win_rate_pct, 0), nullif(fin_win_rate_pct, 0), CASE WHEN trades > 0 THEN wr END, 0) AS win_rate_pct,
-           coalesce(nullif(pv0, 0), pv, 0) AS portfolio_value FROM j""", "realized_pnl win_rate_pct portfolio_value")
+           coalesce(nullif(pv0, 0), pv, 0) AS portfolio_value, step, coalesce(train_loss, 0) AS train_loss, coalesce(train_reward, 0) AS train_reward,
+           coalesce(fin_unrealized_pnl, 0) AS unrealized_pnl, fin_total_return_pct AS total_return_pct, fin_drawdown_pct AS drawdown_pct,
+           coalesce(pnl, 0) AS train_realized_pnl, coalesce(upnl, 0) AS train_unrealized_pnl, coalesce(pv, 0) AS train_portfolio_value
+    FROM j""", "realized_pnl win_rate_pct portfolio_value train_loss train_reward unrealized_pnl total_return_pct drawdown_pct "
+       "train_realized_pnl train_unrealized_pnl train_portfolio_value")
 def _(spark, d):
     k, b = F.col("c_custkey"), F.col("c_acctbal")
     docs = t.table(spark, d, "customer").select(
@@ -446,10 +467,12 @@ def _(spark, d):
         (k % 11).alias("fin_trades"), F.when(k % 7 == 0, b / 20).otherwise(0.0).alias("fin_realized_pnl"),
         F.when(k % 13 == 0, 12.5).otherwise(0.0).alias("fin_win_rate_pct"),
         F.when(k % 6 == 0, 100.0).when(k % 6 == 2, b / 2).otherwise(0.0).alias("fin_portfolio_value"),
+        (k * 3).alias("step"), F.when(k % 3 != 1, b / 7).alias("train_loss"), F.when(k % 5 != 1, b / 9).alias("train_reward"),
+        F.when(k % 4 != 1, b / 30).alias("fin_unrealized_pnl"), (b / 50).alias("fin_total_return_pct"), (b / 70).alias("fin_drawdown_pct"),
     )
     name = (
         F.when(F.col("key") == "click", "realized_pnl").when(F.col("key") == "view", "win_rate")
-        .when(F.col("key") == "signup", "trades").otherwise("portfolio_value")
+        .when(F.col("key") == "signup", "trades").when(F.col("key") == "error", "unrealized_pnl").otherwise("portfolio_value")
     )
     return te.resolve_kpis(docs, t.telemetry(spark, d).withColumn("key", name))
 
@@ -527,7 +550,7 @@ def doc_summary(read):
         F.col("run.run_id").alias("run"), "finance.portfolio_value",
         F.when(F.col("finance.drawdown_pct").isNotNull(), 1).otherwise(0).cast("bigint").alias("missing"),
     )
-    return sums.join(heads, "run")
+    return sums.join(heads.distinct(), "run")
 
 
 @query("read_run_state", DOC_SQL, "total portfolio_value")
@@ -558,9 +581,9 @@ RESULT_SQL = """SELECT phase, config, seed, CAST(return_code AS BIGINT) AS retur
 
 @query("read_results", RESULT_SQL, "score " + " ".join(ex.METRICS))
 def _(spark, d):
-    """One document per group of runs, each with a ``results`` array."""
+    """Documents of at most 1000 runs each, with a ``results`` array."""
     root = scratch(spark, "results")
-    docs = results(spark, d).withColumn("doc", F.col("run") % 500).drop("run")
+    docs = results(spark, d).withColumn("doc", F.floor(F.col("run") / 1000)).drop("run")
     docs.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in docs.columns if c != "doc"])).alias("results")).write.json(root)
     rows = do.read_results(spark, root, multi_line=False)
     return rows.select("phase", "config", "seed", "return_code", "trade_band_ok", "score", *ex.METRICS)

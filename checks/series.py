@@ -12,7 +12,8 @@ from tapeworks.operators import cube as cu
 from tapeworks.operators import features as fe
 from tapeworks.operators import splits as sp
 from tapeworks.sources import candles as ca
-from tapeworks.sources.prepared import prepared
+from tapeworks.operators.load import load_bars
+from tapeworks.sources.prepared import prepared, source_version
 
 OHLCV = "open high low close volume"
 DAY_US = 24 * HOUR
@@ -73,7 +74,7 @@ UNITS = """
     SELECT symbol, step, CASE WHEN step >= 10000000000 THEN 'ns' WHEN step >= 10000000 THEN 'us' ELSE 'ms' END AS unit
     FROM ({UNITS})""")
 def _(spark, d):
-    return ca.infer_time_unit(t.ticks_epoch(spark, d), SYMBOLS)
+    return ca.infer_time_unit(t.ticks_epoch(spark, d))
 
 
 @query("epoch_to_ts", """
@@ -81,7 +82,7 @@ def _(spark, d):
                              ELSE make_timestamp(open_time) END AS ts FROM ticks""")
 def _(spark, d):
     rows = t.ticks_epoch(spark, d)
-    rows = ca.with_unit(rows, ca.infer_time_unit(rows, SYMBOLS), SYMBOLS)
+    rows = ca.with_unit(rows, ca.infer_time_unit(rows))
     ts = ca.epoch_to_ts(F.col("open_time"), F.col("unit")).cast("timestamp_ntz")
     return rows.select("symbol", "seq", ts.alias("ts"))
 
@@ -95,6 +96,27 @@ def _(spark, d):
     return rows.select("symbol", "bucket", "open_time", "close", "volume")
 
 
+LOADED = "open high low close volume log_close return_1 range_pct volume_log"
+
+
+@query("load_bars", f"""
+    WITH t AS (SELECT * REPLACE (CASE WHEN symbol IN ('click', 'view') THEN open_time // 1000 * 1000 ELSE open_time END AS open_time) FROM ticks),
+         r AS (SELECT t.* FROM t JOIN (SELECT symbol, max(open_time) AS last FROM t GROUP BY symbol) USING (symbol) WHERE open_time >= last - 10 * 86400000000),
+         b AS (SELECT symbol, open_time - open_time % 3600000000 AS bucket, max(open_time) AS open_time, first(open ORDER BY open_time, seq) AS open,
+                      max(high) AS high, min(low) AS low, last(close ORDER BY open_time, seq) AS close, sum(volume) AS volume
+               FROM r GROUP BY symbol, open_time - open_time % 3600000000)
+    SELECT *, ln(1 + greatest(close, 1e-9)) AS log_close,
+           coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bucket), 0) - 1, 0) AS return_1,
+           coalesce((high - low) / nullif(close, 0), 0) AS range_pct, ln(1 + volume) AS volume_log FROM b""", LOADED)
+def _(spark, d):
+    """The whole load path, kept and read back under its schema."""
+    root = scratch(spark, "loaded")
+    params = {"source": d, "version": source_version(spark, f"{d}/events.parquet"), "days": 10, "minutes": 60}
+    for _ in range(2):
+        rows = prepared(spark, root, params, lambda: load_bars(t.ticks_epoch(spark, d), 10, 60, tie="seq"))
+    return rows.select("symbol", "bucket", "open_time", *LOADED.split())
+
+
 # ---------------------------------------------------------------- bars
 
 
@@ -170,10 +192,10 @@ def _(spark, d):
     return ba.resample(t.ticks(spark, d), 1).select("symbol", "seq", "bucket", "close")
 
 
-@query("union_symbols", "SELECT symbol, bucket, close FROM bars WHERE symbol IN ('click', 'view')", "close")
+@query("union_symbols", "SELECT symbol, bucket, close FROM bars", "close")
 def _(spark, d):
     rows = t.bars(spark, d).select("symbol", "bucket", "close")
-    return ba.union_symbols(*[ca.only_symbols(rows, [s]) for s in ("click", "view")])
+    return ba.union_symbols(*[ca.only_symbols(rows, [s]) for s in SYMBOLS])
 
 
 # ---------------------------------------------------------------- features
@@ -253,10 +275,9 @@ def _(spark, d):
 
 
 @query("time_align", """
-    SELECT symbol, bucket, close FROM bars WHERE symbol IN ('click', 'view') AND bucket IN (
-      SELECT bucket FROM bars WHERE symbol IN ('click', 'view') GROUP BY bucket HAVING count(*) = 2)""", "close")
+    SELECT symbol, bucket, close FROM bars WHERE bucket IN (SELECT bucket FROM bars GROUP BY bucket HAVING count(*) = 5)""", "close")
 def _(spark, d):
-    return cu.time_align(t.bars(spark, d), ["click", "view"]).select("symbol", "bucket", "close")
+    return cu.time_align(t.bars(spark, d), SYMBOLS).select("symbol", "bucket", "close")
 
 
 @query("price_matrix", "SELECT step, " + ", ".join(f"max(close) FILTER (symbol = '{s}') AS {s}" for s in SYMBOLS)

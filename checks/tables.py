@@ -6,8 +6,6 @@ with them.  ``checks.views`` states the same tables in SQL.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,7 +128,7 @@ def lots(spark: SparkSession, d: str) -> DataFrame:
 
 def settled_lots(spark: SparkSession, d: str) -> DataFrame:
     """Lots for queries that read them several times."""
-    return settle(lots(spark, d), tempfile.gettempdir())
+    return settle(lots(spark, d))
 
 
 def lot_pnl(spark: SparkSession, d: str) -> DataFrame:
@@ -281,7 +279,7 @@ def telemetry(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-WIDE = ["click", "purchase", "view"]
+WIDE = ["click", "error", "purchase", "signup", "view"]
 
 
 def dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -170,9 +170,10 @@ VIEWS = {
                                     ELSE last(value ORDER BY pos) END AS value
         FROM telemetry WHERE value IS NOT NULL GROUP BY run, key, step""",
     "wide": """
-        SELECT run, step, max(value) FILTER (key = 'click') AS click, max(value) FILTER (key = 'purchase') AS purchase,
+        SELECT run, step, max(value) FILTER (key = 'click') AS click, max(value) FILTER (key = 'error') AS error,
+               max(value) FILTER (key = 'purchase') AS purchase, max(value) FILTER (key = 'signup') AS signup,
                max(value) FILTER (key = 'view') AS view
-        FROM dedup WHERE key IN ('click', 'purchase', 'view') GROUP BY run, step""",
+        FROM dedup GROUP BY run, step""",
     "run_index": """
         SELECT c_custkey AS seq,
                CASE WHEN c_custkey % 11 = 0 THEN concat('job-', c_custkey)

@@ -21,9 +21,19 @@ def not_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+#: What counts as a number in text; suffixes such as 5d are accepted by a cast alone.
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
+def parse_double(c: Column) -> Column:
+    """Text to double, null where it is not a number throughout."""
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def safe_float(c: Column, default: float | None = 0.0) -> Column:
     """Cast to double; anything that does not parse becomes ``default``."""
-    parsed = c.try_cast("double")
+    parsed = parse_double(c)
     return parsed if default is None else F.coalesce(parsed, F.lit(float(default)))
 
 

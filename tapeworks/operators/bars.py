@@ -7,6 +7,8 @@ combine: a hot symbol or a hot bucket shrinks before it is shuffled.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,33 +37,44 @@ def resample(candles: DataFrame, minutes: int, tie: str | None = None) -> DataFr
     ``open_time`` is the last time seen in the bucket; first and last skip
     missing values.  ``tie`` orders rows of equal time.  Buckets start at
     midnight of the symbol's first day, which for widths that divide a day is
-    the same as counting from the epoch.  ``minutes <= 1`` leaves rows as they are.
+    the same as counting from the epoch.  For other widths the raw rows are first
+    aggregated into the longest buckets that fit both a day and the width, so that
+    only those meet their symbol's first day.  ``minutes <= 1`` leaves rows as they are.
     """
     if int(minutes) <= 1:
         return candles.withColumn("bucket", F.col("open_time"))
     width = int(minutes) * MINUTE
-    t = F.col("open_time")
-    rows = candles
-    if DAY % width:
-        first = rows.groupBy("symbol").agg(F.min("open_time").alias("_first"))
-        rows = rows.join(first.withColumn("_origin", F.col("_first") - F.pmod(F.col("_first"), F.lit(DAY))), "symbol")
-        bucket = t - F.pmod(t - F.col("_origin"), F.lit(width))
-    else:
-        bucket = t - F.pmod(t, F.lit(width))
+    fine = gcd(width, DAY)
     at = _order_key(tie)
 
     def value(c: str) -> Column:
         return not_nan(F.col(c))
 
-    bars = rows.groupBy("symbol", bucket.alias("bucket")).agg(
+    def start(t: Column, origin: Column, size: int) -> Column:
+        return (t - F.pmod(t - origin, F.lit(size))).alias("bucket")
+
+    opens, closes = F.when(value("open").isNotNull(), at), F.when(value("close").isNotNull(), at)
+    bars = candles.groupBy("symbol", start(F.col("open_time"), F.lit(0), fine)).agg(
         F.max("open_time").alias("open_time"),
-        F.min_by(value("open"), F.when(value("open").isNotNull(), at)).alias("open"),
+        F.min_by(value("open"), opens).alias("open"),
         F.max(value("high")).alias("high"),
         F.min(value("low")).alias("low"),
-        F.max_by(value("close"), F.when(value("close").isNotNull(), at)).alias("close"),
-        F.coalesce(F.sum(value("volume")), F.lit(0.0)).alias("volume"),
+        F.max_by(value("close"), closes).alias("close"),
+        F.sum(value("volume")).alias("volume"),
+        *([F.min(opens).alias("_opened"), F.max(closes).alias("_closed"), F.min("open_time").alias("_first")] if fine < width else []),
     )
-    return drop_empty(bars)
+    if fine < width:
+        day = F.min("_first") - F.pmod(F.min("_first"), F.lit(DAY))
+        origin = bars.groupBy("symbol").agg(day.alias("_origin"))
+        bars = bars.join(origin, "symbol").groupBy("symbol", start(F.col("bucket"), F.col("_origin"), width)).agg(
+            F.max("open_time").alias("open_time"),
+            F.min_by("open", "_opened").alias("open"),
+            F.max("high").alias("high"),
+            F.min("low").alias("low"),
+            F.max_by("close", "_closed").alias("close"),
+            F.sum("volume").alias("volume"),
+        )
+    return drop_empty(bars.withColumn("volume", F.coalesce("volume", F.lit(0.0))))
 
 
 def drop_empty(bars: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import floor_div, ratio
+from tapeworks.plans.series import Fold, running
 
 # Defaults of the exit rules, and the order of reasons at one step.
 STOP_LOSS = 0.05
@@ -76,11 +77,18 @@ def stop_loss_exit(
 
 
 def time_limit_exit(entries: DataFrame, prices: DataFrame, limit: int = HOLD_LIMIT) -> DataFrame:
-    """Entries plus ``limit_step, limit_price``: the first step held longer than ``limit``."""
-    at = prices.select("symbol", F.col("step").alias("limit_step"), F.col("close").alias("limit_price"))
-    return entries.withColumn("limit_step", F.col("entry_step") + limit + 1).join(
-        at, ["symbol", "limit_step"], "left"
-    ).withColumn("limit_step", F.when(F.col("limit_price").isNotNull(), F.col("limit_step")))
+    """Entries plus ``limit_step, limit_price``: the first step held longer than ``limit``.
+
+    Steps may be missing.  Each entry becomes a mark among its symbol's prices, just
+    before the first step that counts, and looks ahead to the next price.
+    """
+    entry = F.struct(*[F.col(c) for c in entries.columns])
+    marks = entries.select("symbol", ((F.col("entry_step") + limit + 1) * 2).cast("bigint").alias("_at"), entry.alias("_entry"))
+    steps = prices.select("symbol", (F.col("step") * 2 + 1).cast("bigint").alias("_at"), F.struct("step", "close").alias("_price"))
+    rows = marks.unionByName(steps, allowMissingColumns=True)
+    ahead = running(rows, ["symbol"], "_at", {"_next": Fold("last", F.col("_price"), reverse=True)})
+    found = ahead.where(F.col("_entry").isNotNull())
+    return found.select("_entry.*", F.col("_next.step").alias("limit_step"), F.col("_next.close").alias("limit_price"))
 
 
 def end_of_data_exit(entries: DataFrame, prices: DataFrame) -> DataFrame:
@@ -122,8 +130,13 @@ def label_exits(
     entries: DataFrame, prices: DataFrame, stop_loss: float = STOP_LOSS, limit: int = HOLD_LIMIT
 ) -> DataFrame:
     """All exit rules on entries that may carry a recorded ``sell_step, sell_price``."""
-    rows = stop_loss_exit(entries, prices, stop_loss, limit)
-    return resolve_exit(end_of_data_exit(time_limit_exit(rows, prices, limit), prices))
+    rows = time_limit_exit(stop_loss_exit(entries, prices, stop_loss, limit), prices, limit)
+    # where steps are missing, the first one beyond the limit may be the one that loses too much
+    late = F.col("stop_step").isNull() & ((F.col("limit_price") - F.col("entry_price")) / F.col("entry_price") < F.lit(-float(stop_loss)))
+    late = late & (F.col("entry_price") > 0)
+    step, price = F.when(late, F.col("limit_step")).otherwise(F.col("stop_step")), F.when(late, F.col("limit_price")).otherwise(F.col("stop_price"))
+    rows = rows.withColumns({"stop_step": step, "stop_price": price})
+    return resolve_exit(end_of_data_exit(rows, prices))
 
 
 def exit_reason_mix(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:

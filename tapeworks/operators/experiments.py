@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.numeric import safe_float
+from tapeworks.functions.numeric import parse_double, safe_float
 from tapeworks.functions.text import last_line, last_match, lines
 from tapeworks.plans.medians import medians
 from tapeworks.plans.series import number_rows, top_k
@@ -66,7 +66,7 @@ def scrape_keywords(logs: DataFrame, text: str = "text") -> DataFrame:
         return own
 
     def number(x: Column) -> Column:
-        return x.try_cast("double")
+        return parse_double(x)
 
     tails = [
         lambda x: number(first_bar(F.replace(after(x, ":", -1), F.lit("%"), F.lit("")))),
@@ -139,9 +139,9 @@ RANKING = ["median_min_return_pct", "median_test_return_pct", "trade_band_ok_rat
 
 
 def rank_configs(aggregates: DataFrame) -> DataFrame:
-    """``rank`` by four figures, best first, the config name as last resort."""
+    """``rank`` by four figures, best first, the config name as last resort; missing figures rank last."""
     order = [F.col(c).desc() for c in RANKING] + [F.col("config").asc()]
-    coarse = F.floor(-F.col(RANKING[0]) * 100).cast("bigint")
+    coarse = F.coalesce(F.floor(-F.col(RANKING[0]) * 100).cast("bigint"), F.lit(1 << 62))
     return number_rows(aggregates, [], order, name="rank", chunk=coarse)
 
 

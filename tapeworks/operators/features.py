@@ -5,14 +5,16 @@ once by ``(symbol, block)``; all windows below then run without a further
 shuffle, and no task holds more than one block of a symbol at a time.
 
 The exponential average is a recurrence, which windows cannot state.  Its
-solution inside a stretch of ``STRETCH`` rows is a scaled running sum; what
-earlier stretches add has decayed by ``(1 - alpha) ** STRETCH`` each, so the
-last three of them carry the average to double precision for the spans used here.
+solution inside a stretch of rows is a scaled running sum; what earlier stretches
+add has decayed by ``(1 - alpha) ** stretch`` each.  :func:`reach` picks the stretch
+so that the scale stays a normal number, and so many earlier stretches that what
+lies before them is below double precision; the halo of a block holds them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,19 @@ def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
+def reach(alpha: float) -> tuple[int, int]:
+    """Rows of a stretch and number of earlier stretches that an average of weight ``alpha`` needs."""
+    if not 0 < alpha <= 1:
+        raise ValueError("the weight of an average is above 0 and at most 1")
+    if alpha == 1:
+        return STRETCH, 1
+    fade = -log(1 - alpha)
+    stretch = STRETCH
+    while stretch > 1 and stretch * fade > 600:  # the scale must stay above the smallest double
+        stretch //= 2
+    return stretch, max(1, ceil(38 / fade / stretch))
+
+
 def feature_schema(df: DataFrame, preferred: Sequence[str] = FEATURES) -> list[str]:
     """Feature columns present in ``df`` in preferred order, else ``close``."""
     missing = sorted(REQUIRED - set(df.columns))
@@ -58,12 +73,15 @@ def blocked(
     width: int = CHUNK * MINUTE,
     key: str = "symbol",
     block: int = BLOCK,
+    stretch: int = STRETCH,
+    lookback: int = LOOKBACK,
 ) -> DataFrame:
     """Bars with ``_rn`` (0-based row of the series), ``_block``, ``_halo``, ``_stretch`` and ``_p``."""
     rows = number_rows(bars, [key], order, width, name="_rn").withColumn("_rn", F.col("_rn") - 1)
-    rows = with_halo(rows, "_rn", block, HALO).repartition(F.col(key), F.col("_block"))
-    return rows.withColumn("_stretch", floor_div(F.col("_rn"), STRETCH)).withColumn(
-        "_p", F.pmod(F.col("_rn"), F.lit(STRETCH))
+    halo = stretch * lookback
+    rows = with_halo(rows, "_rn", max(block, halo), halo).repartition(F.col(key), F.col("_block"))
+    return rows.withColumn("_stretch", floor_div(F.col("_rn"), stretch)).withColumn(
+        "_p", F.pmod(F.col("_rn"), F.lit(stretch))
     )
 
 
@@ -72,8 +90,10 @@ def unblocked(df: DataFrame) -> DataFrame:
     return own.drop(*[c for c in own.columns if c.startswith("_")])
 
 
-def add_emas(df: DataFrame, emas: dict[str, tuple[Column, float, int]], key: str = "symbol") -> DataFrame:
-    """Add exponential averages to a ``blocked`` table.
+def add_emas(
+    df: DataFrame, emas: dict[str, tuple[Column, float, int]], key: str = "symbol", size: int = STRETCH, lookback: int = LOOKBACK
+) -> DataFrame:
+    """Add exponential averages to a table ``blocked`` with stretches of ``size`` rows and that lookback.
 
     Each entry is ``(value, alpha, seed)`` where row ``seed`` of the series holds
     the first value and seeds the average; rows before it stay null.
@@ -81,27 +101,34 @@ def add_emas(df: DataFrame, emas: dict[str, tuple[Column, float, int]], key: str
     stretch = Window.partitionBy(key, "_block", "_stretch").orderBy("_rn")
     so_far = stretch.rowsBetween(Window.unboundedPreceding, 0)
     stretches = Window.partitionBy(key, "_block").orderBy("_stretch")
+    whole_stretch = Window.partitionBy(key, "_block", "_stretch")
     p = F.col("_p")
+    for _, alpha, _s in emas.values():
+        rows, back = reach(alpha)
+        if rows < size or back * rows > lookback * size:
+            raise ValueError(f"an average of weight {alpha} needs other stretches than these")
 
     def local(value: Column, alpha: float, seed: int) -> Column:
         weight = F.when(F.col("_rn") == seed, 1.0).when(F.col("_rn") > seed, alpha)
+        if alpha == 1:
+            return F.when(F.col("_rn") >= seed, value)
         decay = F.pow(F.lit(1 - alpha), p)
         return F.sum(weight * value / decay).over(so_far) * decay
 
     df = df.select("*", *[local(*e).alias(f"_l_{n}") for n, e in emas.items()])
 
-    def carried(name: str, alpha: float, back: int) -> Column:
-        last = F.when(p == STRETCH - 1, F.col(f"_l_{name}"))
-        scale = (1 - alpha) ** (STRETCH * (back - 1))
-        return F.coalesce(F.sum(last).over(stretches.rangeBetween(-back, -back)), F.lit(0.0)) * scale
+    def ends(name: str) -> Column:
+        """What the stretches before a row's own end with, the nearest last; a seed may come late, hence the zeros."""
+        last = F.when(p == size - 1, F.coalesce(F.col(f"_l_{name}"), F.lit(0.0)))
+        return F.when(p == 0, F.collect_list(last).over(stretches.rangeBetween(-lookback, -1)))
 
-    df = df.select(
-        "*",
-        *[
-            sum((carried(n, a, b) for b in range(1, LOOKBACK + 1)), F.lit(0.0)).alias(f"_c_{n}")
-            for n, (_, a, _s) in emas.items()
-        ],
-    )
+    def carried(name: str, alpha: float) -> Column:
+        step = F.lit((1 - alpha) ** size)
+        total = F.aggregate(F.col(f"_e_{name}"), F.lit(0.0), lambda sum_, end: sum_ * step + end)
+        return F.coalesce(F.max(total).over(whole_stretch), F.lit(0.0))
+
+    df = df.select("*", *[ends(n).alias(f"_e_{n}") for n in emas])
+    df = df.select("*", *[carried(n, a).alias(f"_c_{n}") for n, (_, a, _s) in emas.items()])
     values = {
         n: F.when(
             F.col("_rn") >= seed,
@@ -117,8 +144,9 @@ def ema(
     width: int = CHUNK * MINUTE, key: str = "symbol", block: int = BLOCK,
 ) -> DataFrame:
     """Recursive exponential average of a column without nulls."""
-    rows = blocked(bars, order, width, key, block)
-    return unblocked(add_emas(rows, {name: (F.col(value), alpha, 0)}, key))
+    size, lookback = reach(alpha)
+    rows = blocked(bars, order, width, key, block, size, lookback)
+    return unblocked(add_emas(rows, {name: (F.col(value), alpha, 0)}, key, size, lookback))
 
 
 def add_features(

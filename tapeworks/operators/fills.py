@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,23 +160,24 @@ def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> Dat
     return rows.withColumn("dust", dust).drop("_share")
 
 
-def exact_lots(
-    fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = (), scratch: str | None = None
-) -> DataFrame:
+def exact_lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> DataFrame:
     """:func:`lots` where partial sells that leave only dust close the lot.
 
     Each round turns the first such sell of every lot into a full sell and starts
-    over, until no lot has one; rounds are settled so that the plan stays short.
+    over with the runs and symbols that had one; the others are done.  Rounds are
+    settled so that the plan stays short.
     """
-    key = ["run", "sym", "step"]
+    part = ["run", "sym"]
+    done = []
     while True:
-        found = lots(fills, width, carry)
-        closing = found.where("dust").groupBy("run", "sym", "lot").agg(F.min("step").alias("step"))
-        closing = settle(closing.select(*key), scratch)
+        found = settle(lots(fills, width, carry))
+        closing = settle(found.where("dust").groupBy(*part, "lot").agg(F.min("step").alias("step")).drop("lot"))
         if closing.isEmpty():
-            return found
-        marked = fills.join(closing.withColumn("_close", F.lit(True)), key, "left")
-        fills = marked.withColumn("pct", F.when(F.col("_close"), F.lit(1.0)).otherwise(F.col("pct"))).drop("_close")
+            return reduce(DataFrame.unionByName, [*done, found])
+        again = closing.select(part).distinct()
+        done.append(found.join(again, part, "left_anti"))
+        marked = fills.join(again, part, "left_semi").join(closing.withColumn("_close", F.lit(True)), [*part, "step"], "left")
+        fills = settle(marked.withColumn("pct", F.when(F.col("_close"), F.lit(1.0)).otherwise(F.col("pct"))).drop("_close"))
 
 
 def realized(sells: DataFrame, fee: Column | float) -> DataFrame:

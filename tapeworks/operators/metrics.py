@@ -128,7 +128,9 @@ def final_summary(splits: DataFrame, finance: DataFrame, points: DataFrame | Non
 
     ``splits`` is :func:`split_payload`; ``finance`` has one row per run with the
     same figures taken while training.  Figures missing there are taken from the
-    last points of the run's series, if ``points`` are given.
+    last points of the run's series, if ``points`` are given; figures the preferred
+    split lacks are taken from there too, and 0 is the last resort.  A ``mode`` column
+    of ``finance`` is kept.
     """
     if points is not None:
         traced = ["portfolio_value", "realized_pnl", "trades"]
@@ -166,11 +168,12 @@ def final_summary(splits: DataFrame, finance: DataFrame, points: DataFrame | Non
     rate = F.when(trades > 0, wins_out / trades * 100).otherwise(preferred("win_rate_pct"))
 
     def pick(c: Column, live: str) -> Column:
-        return F.when(combined, c).otherwise(F.coalesce(F.col(live), F.lit(0)))
+        return F.coalesce(F.when(combined, c), F.col(live), F.lit(0))
 
     source = F.when(F.col("_used") > 1, "dev+test aggregate").when(combined, "test/dev final")
     return rows.select(
         "run",
+        *[c for c in ["mode"] if c in finance.columns],
         F.when(combined, "split_aggregate").otherwise("finance_snapshot").alias("kind"),
         pick(preferred("final_portfolio_value"), "portfolio_value").alias("portfolio_value"),
         pick(preferred("total_return_pct"), "total_return_pct").alias("total_return_pct"),

@@ -72,7 +72,8 @@ def walk_forward(
     """Rows tagged with ``fold`` (from 1), ``start`` and ``split``.
 
     The folds holding a row are a range of numbers known from its position, so
-    each row is exploded into exactly its folds; no fold table is joined.
+    each row is exploded into exactly its folds; no fold table is joined.  It is an
+    error if not even one window fits the shortest symbol.
     """
     rows = number_rows(df, ["symbol"], order, width, name="_rn", scalars={"_n": shortest(df)})
     size = walk_forward_lengths(F.col("_n"), train, val, test, step)
@@ -82,7 +83,8 @@ def walk_forward(
     last_fold = F.least(floor_div(F.col("_n") - window, stride), F.lit(max(1, int(max_folds)) - 1))
     low = F.greatest(F.lit(0), floor_div(at - window, stride) + 1)
     high = F.least(floor_div(at, stride), last_fold)
-    rows = rows.where((at < F.col("_n")) & (window <= F.col("_n"))).where(low <= high)
+    too_short = F.raise_error(F.lit("not enough rows for one walk-forward window"))
+    rows = rows.where((at < F.col("_n")) & F.when(window > F.col("_n"), too_short.cast("boolean")).otherwise(True)).where(low <= high)
     rows = rows.withColumn("_fold", F.explode(F.sequence(low, high)))
     inside = at - F.col("_fold") * stride
     split = (

@@ -28,11 +28,17 @@ TINY = 1e-12
 VIEWS = {"Both": ["train", "dev", "test"], "Train": ["train"], "Eval": ["dev", "test"]}
 
 
-def explode_series(states: DataFrame, series: str = "series", run: str = "run") -> DataFrame:
-    """``map<key, array<step, value>>`` to points; null values are left out."""
-    by_key = states.select(F.col(run).alias("run"), F.explode(series).alias("key", "_points"))
-    points = by_key.select("run", "key", F.posexplode("_points").alias("pos", "_p"))
-    return points.select("run", "key", "pos", "_p.step", "_p.value").where(F.col("value").isNotNull())
+def explode_series(states: DataFrame, series: str = "series", run: str = "run", first: str | None = None) -> DataFrame:
+    """``map<key, array<step, value>>`` to points; null values are left out.
+
+    A long series may come in several documents; ``first`` then names the column with
+    the position of a document's first points.
+    """
+    start = F.lit(0) if first is None else F.col(first)
+    by_key = states.select(F.col(run).alias("run"), start.alias("_first"), F.explode(series).alias("key", "_points"))
+    points = by_key.select("run", "key", "_first", F.posexplode("_points").alias("_pos", "_p"))
+    pos = (F.col("_first") + F.col("_pos")).cast("int").alias("pos")
+    return points.select("run", "key", pos, "_p.step", "_p.value").where(F.col("value").isNotNull())
 
 
 def cap_series(points: DataFrame, most: int = MAX_POINTS) -> DataFrame:
@@ -174,7 +180,9 @@ def resolve_kpis(states: DataFrame, points: DataFrame) -> DataFrame:
     """Displayed figures per run, falling through summary, live finance and series.
 
     ``states`` has ``run`` and the columns ``sum_*`` and ``fin_*`` for trades,
-    realized_pnl, win_rate_pct and portfolio_value.
+    realized_pnl, win_rate_pct and portfolio_value; ``step``, ``train_loss``,
+    ``train_reward`` and ``fin_*`` for unrealized_pnl, total_return_pct and
+    drawdown_pct are 0 where the table lacks them.
     """
     rows = points.where(F.col("value").isNotNull())
     at = F.col("pos")
@@ -187,12 +195,13 @@ def resolve_kpis(states: DataFrame, points: DataFrame) -> DataFrame:
         F.max(F.when(F.col("key") == "trades", F.col("value").cast("bigint"))).alias("_trades"),
         latest("realized_pnl").alias("_pnl"),
         latest("portfolio_value").alias("_value"),
+        latest("unrealized_pnl").alias("_open"),
         latest("win_rate", F.abs("value") > TINY).alias("_rate"),
     )
     joined = states.join(seen, "run", "left")
 
     def zero(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in joined.columns else F.lit(0.0)
 
     trades = F.greatest(
         F.coalesce(F.col("fin_trades").cast("bigint"), F.lit(0)),
@@ -210,6 +219,15 @@ def resolve_kpis(states: DataFrame, points: DataFrame) -> DataFrame:
     value = F.when(unset & (live != 0) & (live != start), live).otherwise(value)
     return joined.select(
         "run",
+        zero("step").cast("bigint").alias("step"),
+        zero("train_loss").alias("train_loss"),
+        zero("train_reward").alias("train_reward"),
+        zero("fin_unrealized_pnl").alias("unrealized_pnl"),
+        zero("fin_total_return_pct").alias("total_return_pct"),
+        zero("fin_drawdown_pct").alias("drawdown_pct"),
+        zero("_pnl").alias("train_realized_pnl"),
+        zero("_open").alias("train_unrealized_pnl"),
+        zero("_value").alias("train_portfolio_value"),
         trades.alias("trades"),
         first_nonzero(zero("sum_realized_pnl"), zero("fin_realized_pnl"), zero("_pnl")).alias("realized_pnl"),
         first_nonzero(

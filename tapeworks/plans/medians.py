@@ -1,11 +1,13 @@
 """Exact medians of groups of any size.
 
 ``median`` and ``percentile`` keep all distinct values of a group in one task.
-Here equal values are counted first, and the value of a given rank is closed in
-on by two rounds of a histogram between the smallest and largest candidate, so
-that only the last, narrow interval of each group is ever sorted.  Values meet
-the bounds of their group in a salted join, so a group holding most of the
+Here a mergeable quantile sketch bounds the value of each rank from both sides,
+whatever the tails of the distribution, equal values are counted, one histogram
+between the bounds closes in further, and only what is left is sorted.  Values
+meet the bounds of their group in a salted join, so a group holding most of the
 values is spread over tasks there too.
+
+Finite values count; NaN, infinities and nulls do not.
 """
 
 from __future__ import annotations
@@ -13,59 +15,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.functions.numeric import finite
+
 BINS = 4096
-SALTS = 16
+#: Quantiles kept of each group, and the sketch's accuracy: its ranks are off by at most ``n / ACCURACY``.
+GRID, ACCURACY = 512, 16_384
 
 
-def ranked_values(
-    df: DataFrame, keys: list[str], value: str, ranks: Column, bins: int = BINS, rounds: int = 2
-) -> DataFrame:
-    """``keys, r, value`` for every rank in ``ranks``, an array built from the count ``n``."""
+def narrowed(df: DataFrame, keys: list[str], value: str, ranks: Column, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
+    """Counted values with a salt, and for each rank the interval ``_lo`` to ``_hi`` that holds it, with the number of values ``_before``."""
     v = F.col("_v")
-    freq = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    span = freq.groupBy(keys).agg(
-        F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    target = span.select(
-        *keys, F.explode(F.array_distinct(ranks)).alias("r"), "_lo", "_hi", F.lit(0).alias("_before")
+    rows = df.select(*keys, finite(F.col(value).cast("double")).alias("_v")).where(v.isNotNull())
+    freq = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    span = rows.groupBy(keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", grid, ACCURACY).alias("_q"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
     )
+    cell = F.floor(F.col("r") * F.lit(float(GRID)) / F.col("n")).cast("int")
+    # two cells of slack are far more than the sketch can be off
+    low = F.when(cell >= 3, F.get("_q", cell - 2)).otherwise(F.col("_least"))
+    high = F.when(cell <= GRID - 3, F.get("_q", cell + 3)).otherwise(F.col("_most"))
+    target = span.withColumn("r", F.explode(F.array_distinct(ranks))).select(*keys, "r", low.alias("_lo"), high.alias("_hi"))
     part = [*keys, "r"]
-    inside = v.between(F.col("_lo"), F.col("_hi"))
-    spread = freq.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    salts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = freq.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
+    copies = target.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    share = (v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    # halves, so that the span of two huge values of unlike sign stays finite
+    share = F.when(F.abs(F.col("_hi") / 2 - F.col("_lo") / 2) > 4e307, (v / 4 - F.col("_lo") / 4) / (F.col("_hi") / 4 - F.col("_lo") / 4)).otherwise(share)
+    inside = F.coalesce(F.least((share * bins).cast("int"), F.lit(bins - 1)), F.lit(0))
+    cells = (
+        spread.join(copies, [*keys, "_salt"]).where(v <= F.col("_hi"))
+        .groupBy(*part, F.when(v < F.col("_lo"), -1).otherwise(inside).alias("_bin"))
+        .agg(F.sum("_c").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        .withColumn("_end", F.sum("_size").over(Window.partitionBy(part).orderBy("_bin")))
+    )
+    bounds = cells.where((F.col("_end") >= F.col("r")) & (F.col("_end") - F.col("_size") < F.col("r")))
+    bounds = bounds.select(*part, "_lo", "_hi", (F.col("_end") - F.col("_size")).alias("_before"))
+    copies = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = spread.join(copies, [*keys, "_salt"]).where(v.between(F.col("_lo"), F.col("_hi")))
+    return left, bounds
 
-    def candidates(bounds: DataFrame) -> DataFrame:
-        copies = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return spread.join(copies, [*keys, "_salt"]).where(inside)
 
-    for _ in range(rounds):
-        share = (v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-        cell = F.coalesce(F.least((share * bins).cast("int"), F.lit(bins - 1)), F.lit(0))
-        cells = (
-            candidates(target)
-            .groupBy(*part, cell.alias("_bin"))
-            .agg(
-                F.sum("_c").alias("_size"),
-                F.min("_v").alias("_lo"),
-                F.max("_v").alias("_hi"),
-                F.max("_before").alias("_start"),
-            )
-        )
-        ends = F.sum("_size").over(Window.partitionBy(part).orderBy("_bin")) + F.col("_start")
-        target = (
-            cells.withColumn("_end", ends)
-            .where((F.col("_end") >= F.col("r")) & (F.col("_end") - F.col("_size") < F.col("r")))
-            .select(*part, "_lo", "_hi", (F.col("_end") - F.col("_size")).alias("_before"))
-        )
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: Column, bins: int = BINS) -> DataFrame:
+    """``keys, r, value`` for every rank in ``ranks``, an array built from the count ``n``."""
+    part = [*keys, "r"]
+    left, _ = narrowed(df, keys, value, ranks, bins)
     ends = F.sum("_c").over(Window.partitionBy(part).orderBy("_v")) + F.col("_before")
     return (
-        candidates(target)
-        .withColumn("_end", ends)
+        left.withColumn("_end", ends)
         .where((F.col("_end") >= F.col("r")) & (F.col("_end") - F.col("_c") < F.col("r")))
-        .select(*part, v.alias("value"))
+        .select(*part, F.col("_v").alias("value"))
     )
 
 

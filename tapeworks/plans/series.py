@@ -208,15 +208,12 @@ def top_k(
     return best if rank else best.drop(name)
 
 
-def settle(df: DataFrame, scratch: str | None = None) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a long plan with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``;
-    ``scratch`` is used only where that is unset.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``, or else the warehouse.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        if scratch is None:
-            raise ValueError("set spark.checkpoint.dir or name a scratch folder")
-        spark.sparkContext.setCheckpointDir(scratch)
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work")
     return df.checkpoint()

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 
 from tapeworks.functions.numeric import not_nan
-from tapeworks.operators.telemetry import MAX_POINTS, cap_series
+from tapeworks.operators.telemetry import MAX_POINTS
 from tapeworks.sources.documents import RUN_STATE
 
-BUCKETS = 64
-
 
 def stream_run_files(
     spark: SparkSession, path: str, files_per_batch: int = 1000, multi_line: bool = True
@@ -26,6 +27,7 @@ def stream_run_files(
         .option("multiLine", multi_line)
         .json(path)
         .where(F.col("run.run_id").isNotNull())
+        .withColumn("file", F.col("_metadata.file_path"))
     )
 
 
@@ -37,19 +39,24 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
-def stream_bars(ticks: DataFrame, minutes: int, delay: str) -> DataFrame:
-    """Bars of ``symbol, ts, price.., volume`` in event time; rows later than ``delay`` are dropped."""
+def stream_bars(ticks: DataFrame, minutes: int, delay: str, tie: str | None = None, origin: int = 0) -> DataFrame:
+    """Bars of ``symbol, ts, price.., volume`` in event time; rows later than ``delay`` are dropped.
+
+    ``tie`` orders rows of equal time, as in :func:`resample`.  Buckets count from
+    ``origin`` (epoch seconds); for widths that do not divide a day give the midnight
+    that batch bars start from.
+    """
     width = f"{int(minutes)} minutes"
-    at = F.unix_micros("ts")
+    at = F.unix_micros("ts") if tie is None else F.struct(F.unix_micros("ts"), F.col(tie))
 
     def value(c: str) -> Column:
         return not_nan(F.col(c))
 
     bars = (
         ticks.withWatermark("ts", delay)
-        .groupBy("symbol", F.window("ts", width))
+        .groupBy("symbol", F.window("ts", width, width, f"{origin % (60 * int(minutes))} seconds"))
         .agg(
-            F.max(at).alias("open_time"),
+            F.max(F.unix_micros("ts")).alias("open_time"),
             F.min_by(value("open"), F.when(value("open").isNotNull(), at)).alias("open"),
             F.max(value("high")).alias("high"),
             F.min(value("low")).alias("low"),
@@ -78,80 +85,59 @@ def stream_trade_rate(
     )
 
 
-class Snapshot:
-    """A keyed Parquet table kept up to date from micro-batches.
+def keep_changes(frame: DataFrame, root: str) -> DataStreamWriter:
+    """Write what each micro-batch changes under its batch id; a repeated batch replaces its own rows."""
 
-    Rows are spread over ``buckets`` folders by a hash of the run.  A batch
-    rewrites only the buckets it touches, under its own batch id, from versions
-    older than itself; running a batch again therefore gives the same result.
-    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
-    def __init__(self, spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS):
-        self.spark, self.root, self.merge, self.buckets = spark, root, merge, buckets
-
-    def _versions(self, before: int | None = None) -> dict[int, str]:
-        """Newest complete folder of every bucket, at most ``before`` exclusive."""
-        jvm = self.spark._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch_id=*/_SUCCESS")
-        fs = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        newest: dict[int, tuple[int, str]] = {}
-        for done in fs.globStatus(pattern) or []:
-            batch = done.getPath().getParent()
-            number = int(batch.getName().split("=")[1])
-            if before is not None and number >= before:
-                continue
-            for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{batch.toString()}/_bucket=*")):
-                bucket = int(part.getPath().getName().split("=")[1])
-                newest[bucket] = max(newest.get(bucket, (-1, "")), (number, part.getPath().toString()))
-        return {b: path for b, (_, path) in newest.items()}
-
-    def update(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64("run"), F.lit(self.buckets)))
-        rows.persist()
-        try:
-            # At most ``buckets`` numbers reach the driver.
-            touched = {r["_bucket"] for r in rows.select("_bucket").distinct().collect()}
-            if not touched:
-                return
-            old = [p for b, p in self._versions(batch_id).items() if b in touched]
-            merged = rows.drop("_bucket")
-            if old:
-                merged = merged.unionByName(self.spark.read.schema(merged.schema).parquet(*old))
-            merged = self.merge(merged).withColumn("_bucket", F.pmod(F.xxhash64("run"), F.lit(self.buckets)))
-            merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/batch_id={batch_id}")
-        finally:
-            rows.unpersist()
-
-    def read(self, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*self._versions().values())
-
-
-def latest_per_run(states: DataFrame, time: str = "ts") -> DataFrame:
-    """Newest document of every run (``run`` is the run id)."""
-    rest = [c for c in states.columns if c != "run"]
-    newest = states.groupBy("run").agg(F.max_by(F.struct(*rest), time).alias("_s"))
-    return newest.select("run", "_s.*")
+    return frame.writeStream.outputMode("update").foreachBatch(write)
 
 
-def stream_latest_state(spark: SparkSession, states: DataFrame, root: str) -> tuple[Snapshot, DataStreamWriter]:
-    """Keep the newest document per run in a snapshot."""
-    snapshot = Snapshot(spark, root, latest_per_run)
-    return snapshot, states.writeStream.foreachBatch(snapshot.update)
+def read_changes(spark: SparkSession, root: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The rows of each key's newest batch."""
+    fields = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(fields).parquet(root)
+    newest = rows.groupBy(keys).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [*keys, "batch_id"]).select(*schema.names)
 
 
-def stream_series_cap(
-    spark: SparkSession, points: DataFrame, root: str, most: int = MAX_POINTS
-) -> tuple[Snapshot, DataStreamWriter]:
-    """Keep the last points of every series in a snapshot.
+def latest_per_run(states: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Newest document of every run (``run`` is the run id) by the columns of ``order``."""
+    rest = [c for c in states.columns if c != "run"]
+    newest = states.groupBy("run").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_s"))
+    return newest.select("run", "_s.*")
+
+
+def stream_latest_state(states: DataFrame, root: str, order: Sequence[str] = ("ts",)) -> DataStreamWriter:
+    """Keep the newest document per run in the stream's state and write the runs that change.
 
-    Each batch is cut to ``most`` points per series before it meets the stored ones.
+    Time stamps have whole seconds, so ``order`` should name what decides between
+    documents of one second, such as the step and the file.
     """
-    snapshot = Snapshot(spark, root, lambda rows: cap_series(rows, most))
+    return keep_changes(latest_per_run(states.where(F.col("run").isNotNull()), order), root)
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        snapshot.update(cap_series(batch, most), batch_id)
 
-    return snapshot, points.writeStream.foreachBatch(update)
+def stream_series_cap(points: DataFrame, root: str, most: int = MAX_POINTS) -> DataStreamWriter:
+    """Keep the last points of every series in the stream's state and write the series that change.
+
+    The state of a series is a list of at most ``most`` points.
+    """
+    schema = "run string, key string, step bigint, pos bigint, value double"
+
+    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["step", "pos", "value"]
+        held = [pd.DataFrame(dict(zip(columns, state.get)))] if state.exists else []
+        rows = pd.concat([*held, *[b[columns] for b in batches]])
+        last = rows.drop_duplicates("pos", keep="last").nlargest(most, "pos")
+        state.update(tuple(last[c].tolist() for c in columns))
+        yield last.assign(run=key[0], key=key[1])[["run", "key", *columns]]
+
+    known = points.where("value IS NOT NULL AND run IS NOT NULL AND key IS NOT NULL").select("run", "key", "step", "pos", "value")
+    capped = known.groupBy("run", "key").applyInPandasWithState(
+        merge, schema, "step array<bigint>, pos array<bigint>, value array<double>", "update", "NoTimeout"
+    )
+    return keep_changes(capped, root)
 
 
 def replay(frame: DataFrame, out: str, checkpoint: str) -> DataFrame:

@@ -210,3 +210,36 @@ def test_prepared_tables_are_reused_per_parameters(spark, tmp_path):
         assert prepared.prepared(spark, str(tmp_path), {"source": source, "days": 7}, build).count() == 2
     assert len(calls) == 2
     assert prepared.cache_key({"a": 1, "b": 2}) == prepared.cache_key({"b": 2, "a": 1})
+
+
+def test_prepared_tables_keep_their_schema(spark, tmp_path):
+    build = lambda: spark.createDataFrame([("007", 1, 2.0), ("42", 1, 3.0)], "symbol string, bucket bigint, x double")
+    for _ in range(2):
+        got = prepared.prepared(spark, str(tmp_path), {"a": 1}, build)
+        assert got.columns == ["symbol", "bucket", "x"] and sorted(r["symbol"] for r in got.collect()) == ["007", "42"]
+    files = prepared.source_version(spark, str(tmp_path))
+    assert files and all(size >= 0 and time > 0 for _, size, time in files)
+
+
+def test_numbers_are_numbers_throughout(spark):
+    from tapeworks.functions.numeric import safe_float
+
+    texts = ["5d", "1.5f", "1e3", " 7 ", "-.5", "5.", "", None, "x", "1 2", "+3", "NaN", "Infinity"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(safe_float(F.col("t"), -1.0).alias("v")).collect()
+    assert [str(r["v"]) for r in rows] == ["-1.0", "-1.0", "1000.0", "7.0", "-0.5", "5.0", "-1.0", "-1.0", "-1.0", "-1.0", "3.0", "nan", "inf"]
+
+
+def test_load_bars(spark, tmp_path):
+    from tapeworks.operators.load import cached_bars
+
+    minute = 60_000
+    rows = [("007", i * minute, 10.0 + i, 11.0 + i, 9.0 + i, None if i == 5 else 10.5 + i, 1.0) for i in range(300)]
+    rows += [("B", i * minute * 1000 * 1000, 1.0, 1.0, 1.0, 1.0, 0.0) for i in range(60)]
+    candles = spark.createDataFrame(rows, "symbol string, open_time bigint, open double, high double, low double, close double, volume double")
+    candles.write.parquet(f"{tmp_path}/candles")
+    for _ in range(2):
+        bars = cached_bars(spark, f"{tmp_path}/candles", f"{tmp_path}/kept", 7, 15)
+        got = bars.groupBy("symbol").count().collect()
+        assert {r["symbol"]: r["count"] for r in got} == {"007": 20, "B": 4}
+    first = bars.where("symbol = '007'").orderBy("bucket").first()
+    assert (first.bucket, first.open_time, first.open, first.close, first.volume) == (0, 14 * minute * 1000, 10.0, 24.5, 15.0)

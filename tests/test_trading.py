@@ -59,9 +59,9 @@ def test_lots_match_a_replay(spark, width):
     same_lots(fills.lots(spark.createDataFrame(rows, SCHEMA), width), replay_lots(rows))
 
 
-def test_exact_lots_close_dust(spark, tmp_path):
+def test_exact_lots_close_dust(spark):
     rows = random_fills(4, 250, tiny=1e-7)
-    got = fills.exact_lots(spark.createDataFrame(rows, SCHEMA), 20, scratch=str(tmp_path))
+    got = fills.exact_lots(spark.createDataFrame(rows, SCHEMA), 20)
     expect = replay_lots(rows, dust=True)
     got = got.select("run", "sym", "step", "side", "lot").toPandas().sort_values("step")
     assert [tuple(r) for r in got.itertuples(index=False)] == [e[:5] for e in expect]
@@ -197,3 +197,16 @@ def test_split_and_gate_helpers(spark):
     assert got["min_test_return_pct"] == pytest.approx(-1.0) and not got["gate_pass"]
     with pytest.raises(ValueError):
         metrics.require_gate(metrics.fold_summary(folds))
+
+
+def test_time_limit_over_missing_steps(spark):
+    prices = spark.createDataFrame([("A", s, p) for s, p in ((1, 10.0), (2, 11.0), (9, 12.0), (10, 5.0))] + [("B", 1, 3.0)], "symbol string, step bigint, close double")
+    entries = spark.createDataFrame([("A", 1, 10.0), ("A", 1, 10.0), ("A", 2, 11.0), ("A", 8, 9.0), ("B", 1, 3.0), ("C", 1, 3.0)], "symbol string, entry_step bigint, entry_price double")
+    got = sorted(tuple(r) for r in exits.time_limit_exit(entries, prices, 4).fillna(-1).collect())
+    assert got == [
+        ("A", 1, 10.0, 9, 12.0), ("A", 1, 10.0, 9, 12.0), ("A", 2, 11.0, 9, 12.0), ("A", 8, 9.0, -1, -1.0), ("B", 1, 3.0, -1, -1.0), ("C", 1, 3.0, -1, -1.0),
+    ]
+    fallen = spark.createDataFrame([("A", 1, 10.0), ("A", 9, 1.0)], "symbol string, step bigint, close double")
+    one = spark.createDataFrame([("A", 1, 10.0)], "symbol string, entry_step bigint, entry_price double")
+    row = exits.label_exits(one.withColumn("sell_step", F.lit(None).cast("bigint")).withColumn("sell_price", F.lit(None).cast("double")), fallen, 0.1, 4).first()
+    assert (row.exit_step, row.reason) == (9, "stop_loss")
