@@ -13,7 +13,7 @@ shares the one shuffle between them (:func:`chunked`, :func:`summarize`).
 
 Ordering columns are integral and not null (bar start, step, position); where a
 series is unique in its ordering column, a chunk of width ``w`` holds at most
-``w`` rows, however long the series is.  Key columns are not null.
+``w`` rows, however long the series is.  A null key or ordering raises an error.
 """
 
 from __future__ import annotations
@@ -30,10 +30,17 @@ UNBOUNDED = Window.unboundedPreceding
 
 
 def with_chunk(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Add ``_chunk``.  The null filters are what a later join on the keys would
-    infer; stated here they are the same in every plan over the rows, which lets
-    Spark reuse whatever shuffle lies below."""
-    rows = df.withColumn("_chunk", chunk)
+    """Add ``_chunk``.  A null key or ordering is an error, for a later join on the
+    keys would lose its row.  The null filters are what that join would infer;
+    stated here they are the same in every plan over the rows, which lets Spark
+    reuse whatever shuffle lies below."""
+    types = dict(df.withColumn("_chunk", chunk).dtypes)
+
+    def given(value: Column, name: str) -> Column:
+        missing = F.raise_error(F.lit(f"null in {name}: a series needs keys and an ordering")).cast(types[name])
+        return F.when(value.isNull(), missing).otherwise(value)
+
+    rows = df.withColumns({**{k: given(F.col(k), k) for k in keys}, "_chunk": given(chunk, "_chunk")})
     for c in [*keys, "_chunk"]:
         rows = rows.where(F.col(c).isNotNull())
     return rows

@@ -269,3 +269,12 @@ def test_configs_without_a_median_rank_last(spark):
     df = spark.createDataFrame(rows, "config string, " + ", ".join(f"{c} double" for c in RANKING))
     got = {r["config"]: r["rank"] for r in rank_configs(df).collect()}
     assert (got["c"], got["b"]) == (1, 2) and {got["a"], got["d"]} == {3, 4}
+
+
+def test_null_keys_and_orderings_are_errors(spark):
+    schema = "run string, step bigint, v double"
+    for bad in ((None, 1, 1.0), ("a", None, 1.0)):
+        df = spark.createDataFrame([("a", 1, 1.0), bad], schema)
+        for plan in (number_rows(df, ["run"], "step"), running(df, ["run"], "step", {"s": Fold("sum", F.col("v"))})):
+            with pytest.raises(Exception, match="a series needs keys and an ordering"):
+                plan.collect()
