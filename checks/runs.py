@@ -412,6 +412,15 @@ def _(spark, d):
     return te.latest_by_mode(t.run_index(spark, d)).select("mode", "run_id", "status", "latest_model")
 
 
+@query("index_pointers", """
+    WITH i AS (SELECT *, concat('runs/', run_id, '.json') AS state_file FROM run_index), m AS (SELECT * FROM i WHERE mode <> 'walk_forward' ORDER BY seq DESC LIMIT 1),
+         l AS (SELECT * FROM i ORDER BY seq DESC LIMIT 1)
+    SELECT l.run_id AS latest_run_id, l.state_file AS latest_state_file, m.run_id AS latest_model_run_id, m.state_file AS latest_model_state_file,
+           m.mode AS latest_model_mode, m.status AS latest_model_status FROM l, m""")
+def _(spark, d):
+    return te.index_pointers(t.run_index(spark, d).withColumn("state_file", F.concat(F.lit("runs/"), "run_id", F.lit(".json"))))
+
+
 @query("sort_runs", f"SELECT run_id, mode, {EPOCH} AS run_epoch FROM run_index ORDER BY run_epoch DESC, run_id DESC")
 def _(spark, d):
     return te.sort_runs(t.run_index(spark, d)).select("run_id", "mode", "run_epoch")

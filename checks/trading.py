@@ -464,20 +464,23 @@ METRICS = f"""
                  count(*) AS steps, arg_max(n_positions, e.step) AS final_positions,
                  count(*) FILTER (action = 0) / count(*)::DOUBLE AS hold_pct, count(*) FILTER (action = 1) / count(*)::DOUBLE AS buy_pct,
                  count(*) FILTER (action = 2) / count(*)::DOUBLE AS sell_pct, count(*) FILTER (invalid_sell) / count(*)::DOUBLE AS invalid_sell_pct,
-                 count(*) FILTER (remapped) / count(*)::DOUBLE AS remapped_action_pct
+                 count(*) FILTER (remapped) / count(*)::DOUBLE AS remapped_action_pct,
+                 count(*) FILTER (action = 2 AND e.step % 5 = 0) AS sell_redirects, count(*) FILTER (action = 1 AND e.step % 7 = 0) AS bootstrap_buys,
+                 count(*) FILTER (remapped AND e.step % 4 = 0) AS constraint_remaps, arg_max(portfolio_value / 4, e.step) AS cash
           FROM equity e JOIN acts a ON e.run = a.run AND e.step = a.step GROUP BY ALL),
     x AS (SELECT run, {SPLIT} AS split, count(*) AS trades, count(*) FILTER (realized_pnl >= 0) AS winning_trades,
-                 count(*) FILTER (realized_pnl < 0) AS losing_trades, coalesce(sum(realized_pnl), 0) AS realized_pnl, sum(fee_paid) AS fees_paid
+                 count(*) FILTER (realized_pnl < 0) AS losing_trades, coalesce(sum(realized_pnl), 0) AS realized_pnl, sum(fee_paid) AS fees_paid,
+                 count(*) FILTER (realized_pnl IS NOT NULL AND step % 3 = 0) AS stop_loss_exits
           FROM lot_pnl GROUP BY ALL)
     SELECT s.*, coalesce(trades, 0) AS trades, coalesce(winning_trades, 0) AS winning_trades, coalesce(losing_trades, 0) AS losing_trades,
-           coalesce(realized_pnl, 0) AS realized_pnl, coalesce(fees_paid, 0) AS fees_paid, (final_portfolio_value - 100) / 100 AS total_return,
+           coalesce(realized_pnl, 0) AS realized_pnl, coalesce(fees_paid, 0) AS fees_paid, coalesce(stop_loss_exits, 0) AS stop_loss_exits, (final_portfolio_value - 100) / 100 AS total_return,
            final_portfolio_value - 100 - coalesce(realized_pnl, 0) AS unrealized_pnl,
            coalesce(winning_trades / nullif(trades, 0)::DOUBLE, 0) AS win_rate,
            (max_portfolio_value - final_portfolio_value) / max_portfolio_value AS drawdown_pct
     FROM s LEFT JOIN x ON s.run = x.run AND s.split = x.split"""
 
 METRIC_DOUBLES = """total_reward final_portfolio_value max_portfolio_value hold_pct buy_pct sell_pct invalid_sell_pct
-    remapped_action_pct realized_pnl fees_paid total_return unrealized_pnl win_rate drawdown_pct"""
+    remapped_action_pct cash realized_pnl fees_paid total_return unrealized_pnl win_rate drawdown_pct"""
 
 
 def metrics(spark, d):
@@ -485,7 +488,12 @@ def metrics(spark, d):
     acts = remapped(spark, d).select("run", "step", "action", "invalid_sell", "remapped")
     steps = t.equity(spark, d).select("run", "step", "portfolio_value", "n_positions").join(acts, ["run", "step"])
     steps = steps.withColumn("reward", F.col("portfolio_value") / 100 - 1).withColumn("split", split)
-    trades = t.lot_pnl(spark, d).withColumn("split", split)
+    every = lambda n: F.col("step") % n == 0
+    steps = steps.withColumns({
+        "redirected": (F.col("action") == 2) & every(5), "bootstrap": (F.col("action") == 1) & every(7), "constraint": F.col("remapped") & every(4),
+        "cash": F.col("portfolio_value") / 4,
+    })
+    trades = t.lot_pnl(spark, d).withColumn("split", split).withColumn("reason", F.when(every(3), "stop_loss").otherwise("sell"))
     return me.run_metrics(steps, trades)
 
 

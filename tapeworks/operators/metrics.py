@@ -18,6 +18,7 @@ REMAP_SHARE = 0.25
 PROMOTION_FLOOR = -0.75
 SUMMARY_TAIL = "%3d | WR: %5.1f%% | Return: %6.2f%%"
 TOP_TRADES = 5
+COUNTED = {"redirected": "sell_redirects", "bootstrap": "bootstrap_buys", "constraint": "constraint_remaps"}
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -29,7 +30,9 @@ def run_metrics(steps: DataFrame, trades: DataFrame, initial_cash: float = INITI
 
     ``steps`` has ``step, reward, portfolio_value, n_positions, action,
     invalid_sell, remapped``; ``trades`` has ``side, realized_pnl, fee_paid``.
-    Both sides are aggregated before they are joined.
+    Both sides are aggregated before they are joined.  Where ``steps`` has the flags
+    ``redirected``, ``bootstrap`` or ``constraint`` they are counted, its ``cash`` gives
+    the final cash, and a ``reason`` of ``trades`` the stop-loss exits.
     """
     keys = ["run", "split"]
     pv = F.col("portfolio_value")
@@ -45,6 +48,8 @@ def run_metrics(steps: DataFrame, trades: DataFrame, initial_cash: float = INITI
         F.count(F.lit(1)).alias("steps"),
         F.max_by("n_positions", "step").alias("final_positions"),
         *[(F.count_if(c) / F.count(F.lit(1))).alias(n) for n, c in actions.items()],
+        *[F.count_if(flag).alias(n) for flag, n in COUNTED.items() if flag in steps.columns],
+        *([F.max_by("cash", "step").alias("cash")] if "cash" in steps.columns else []),
     )
     close = F.col("side") == "sell"
     won = close & (F.col("realized_pnl") >= 0)
@@ -54,10 +59,9 @@ def run_metrics(steps: DataFrame, trades: DataFrame, initial_cash: float = INITI
         F.count_if(close & ~won).alias("losing_trades"),
         F.coalesce(F.sum(F.when(close, F.col("realized_pnl"))), F.lit(0.0)).alias("realized_pnl"),
         F.sum("fee_paid").alias("fees_paid"),
+        *([F.count_if(close & (F.col("reason") == "stop_loss")).alias("stop_loss_exits")] if "reason" in trades.columns else []),
     )
-    rows = per_run.join(per_trade, keys, "left").na.fill(
-        0, ["trades", "winning_trades", "losing_trades", "realized_pnl", "fees_paid"]
-    )
+    rows = per_run.join(per_trade, keys, "left").na.fill(0, [c for c in per_trade.columns if c not in keys])
     gain = F.col("final_portfolio_value") - cash
     return (
         rows.withColumn("total_return", gain / cash)

@@ -160,6 +160,15 @@ def latest_by_mode(index: DataFrame) -> DataFrame:
     return rows.withColumn("latest_model", F.coalesce(at == model, F.lit(False)))
 
 
+def index_pointers(index: DataFrame) -> DataFrame:
+    """One row: the run written last and the newest model run, each with its ``state_file``."""
+    model = F.col("mode").isin(MODEL_MODES)
+    return index.agg(
+        *[F.max_by(c, "seq").alias(f"latest_{c}") for c in ("run_id", "state_file")],
+        *[F.max_by(c, F.when(model, F.col("seq"))).alias(f"latest_model_{c}") for c in ("run_id", "state_file", "mode", "status")],
+    )
+
+
 def sort_runs(index: DataFrame) -> DataFrame:
     return index.withColumn("run_epoch", run_epoch(F.col("run_id"))).orderBy(F.desc("run_epoch"), F.desc("run_id"))
 
