@@ -32,7 +32,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 20
 #: Pseudo counts of a word bucket and of a word pair bucket; rarer buckets say little.
 PRIOR = (1.0, 10.0)
-MEMO = 200_000
+MEMO = 50_000
 #: The buckets travel in so many parts.
 PARTS = 128
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,20 +113,20 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame, ratios: np.ndarray, seed: int, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_ratio``, the log importance ratio, and ``_key``, the ratio plus Gumbel noise."""
-    sent, buckets = docs.sparkSession.sparkContext.broadcast(ratios), len(ratios)
+    """``docs`` with ``_ratio``, the log importance ratio, and ``_key``, the ratio plus Gumbel noise; the text becomes a string."""
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    sent, buckets, at = docs.sparkSession.sparkContext.broadcast(ratios), len(ratios), docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights = Features(buckets), sent.value
         for b in batches:
-            ratio = np.fromiter((weights[features(t.as_py())].sum(dtype=np.float64) for t in b.column("_text")), np.float64, b.num_rows)
-            uniform = ((b.column("_draw").to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            columns = [b.column(i) for i, n in enumerate(b.schema.names) if n not in ("_text", "_draw")]
-            names = [n for n in b.schema.names if n not in ("_text", "_draw")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ratio), pa.array(ratio - np.log(-np.log(uniform)))], [*names, "_ratio", "_key"])
+            ratio = np.fromiter((weights[features(t.as_py())].sum(dtype=np.float64) for t in b.column(at)), np.float64, b.num_rows)
+            uniform = ((b.column(b.num_columns - 1).to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+            columns = [*b.columns[:-1], pa.array(ratio), pa.array(ratio - np.log(-np.log(uniform)))]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:-1], "_ratio", "_key"])
 
     draw = F.xxhash64(F.lit(seed), F.col(ident), F.xxhash64(text))
-    given = docs.withColumns({"_text": F.col(text).cast("string"), "_draw": draw})
+    given = docs.withColumn("_draw", draw)
     return given.mapInArrow(score, StructType([*docs.schema.fields, StructField("_ratio", DoubleType()), StructField("_key", DoubleType())]))
 
 
