@@ -11,8 +11,9 @@ probability ``1 - error`` no stratum loses more than ``share`` of its good
 documents.  Of the certified cutoffs a rule uses the one that rejects most bad
 documents net of good ones, or none.
 
-Everything is built-in functions; the tables of tests and cutoffs have a row per
-stratum, rule and cutoff, and the labelled rows that take part are bounded.
+Everything is built-in functions.  All labelled documents take part: they are joined
+to the counts and counted per stratum, rule and cutoff, so only the tables of tests
+and cutoffs, with that many rows, are small.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tapeworks.llm.common import query, store, table
 
 BLANK = r"[\x20\x09-\x0D]+"
-SHARE, ERROR, LABELLED = 0.02, 0.05, 1_000_000
+SHARE, ERROR = 0.02, 0.05
 #: Good documents count so many times a bad one when a cutoff is chosen.
 WEIGHT = 20.0
 #: Statistic of each rule, and its cutoffs from lenient to strict; a document beyond a cutoff is rejected.
@@ -119,22 +120,20 @@ def cutoffs(labelled: DataFrame, rules=None, share: float = SHARE, error: float
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules])
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", rules=None, labelled: int = LABELLED, **options) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", rules=None, **options) -> DataFrame:
     """doc_id, stratum, the base counts, base_failed and kept, one row per row of ``docs``.
 
     ``labels``: doc_id and quality (1 good, 0 bad, null not labelled; of several the
-    worst).  About ``labelled`` labelled documents at most, chosen by a hash of the id,
-    take part; those that fail the base rules don't.  Null strata form one of their
-    own.  Without labels, or with too few to certify a cutoff, the base rules decide.
+    worst).  All labelled documents take part but those that fail the base rules.  Null
+    strata form one of their own.  Without labels, or with too few to certify a cutoff,
+    the base rules decide.
     """
     rules = rules or RULES
     given = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text).alias("_text"))
     counted = store(base_counts(given, "_text").withColumn("base_failed", base_failed()), "counts")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    part = min(1.0, labelled / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    seen = store(counted.where("not base_failed").join(F.broadcast(known), "doc_id"), "labelled")
-    cuts = cutoffs(seen, rules, **options)  # few rows: certifying one takes hundreds of the bounded labels
+    seen = store(counted.where("not base_failed").join(known, "doc_id"), "labelled")
+    cuts = cutoffs(seen, rules, **options)  # a row per stratum with some hundreds of labels or more
     beyond = [F.coalesce(F.expr(stat) > F.col(f"cut_{name}"), F.lit(False)) for name, (stat, _) in rules.items()]
     out = F.array_contains(F.array(*beyond), True)
     return counted.join(F.broadcast(cuts), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~out).drop(*[f"cut_{r}" for r in rules])

@@ -60,3 +60,12 @@ def test_judge(spark, make, awkward):
     flags = spark.createDataFrame([(i, int(i < 2000), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in judge(make(good + bad), flags, share=0.1).where("kept").collect()}
     assert kept == {i for i, _ in good}
+
+
+def test_every_label_counts(spark):
+    # 1,100,000 more labels, of documents that are not here: the 1200 good ones of a rare language still certify a cutoff
+    body = lambda mark: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), F.col("id"), F.lit("x"), k, F.lit(mark))), " ")
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.lit("rare").alias("lang"), F.when(F.col("id") < 1200, body("")).otherwise(body("***")).alias("text"))
+    labels = spark.range(1_101_300).select(F.col("id").alias("doc_id"), ((F.col("id") < 1200) | (F.col("id") >= 1300)).cast("int").alias("quality"))
+    kept = judge(docs, labels).where("kept").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("last")).first()
+    assert (kept.n, kept.last) == (1200, 1199)
