@@ -11,7 +11,9 @@ Given and family names are mapped each on their own, so ``Ms Ada Long`` and
 
 Draws may meet.  The distinct values are compared with each other's surrogates
 and with all originals; all but one of the values that share a surrogate, and
-those whose surrogate is somebody's original, draw again until none is left.
+those whose surrogate is somebody's original, draw again until none is left.  The
+pool that a value draws from grows with its attempts, so each finds a surrogate
+however crowded the values of its shape are.
 Texts are not shuffled: the few values that had to draw again are sent to the
 tasks that rewrite the texts, or, where they are many, joined to the documents.
 """
@@ -106,7 +108,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     if any(h in text for h in SECRET_HINTS):
         for pattern in SECRETS:
-            found += [(m.start(1), m.end(1), "secret", m[1]) for m in pattern.finditer(text)]
+            # one separator over and over is a blank to fill in or a masked value
+            found += [(m.start(1), m.end(1), "secret", m[1]) for m in pattern.finditer(text) if m[1][0].isalnum() or len(set(m[1])) > 1]
     rest = text  # with what is found blanked out, so that neighbours do not run together
     for m in QUAD.finditer(text):
         if all(int(x) < 256 and (x == "0" or x[0] != "0") for x in m[0].split(".")):
@@ -119,7 +122,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         digits = re.sub(r"\D", "", m[0])
         if SSN.fullmatch(m[0]):
             kind = "ssn"
-        elif 13 <= len(digits) <= 19 and luhn(digits):
+        elif m[0][0] != "+" and 13 <= len(digits) <= 19 and luhn(digits):
             kind = "card"
         elif m[0][0] in "+(" or m[0][0] == "0" or PHONE.search(m[0]):
             kind = "phone"
@@ -149,29 +152,37 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def draw(kind: str, value: str, attempt: int, key: bytes) -> str:
-    """The canonical surrogate of a canonical value."""
-    d = Draws(key, kind, value, attempt)
+    """The canonical surrogate of a canonical value; every eighth attempt widens the pool, for most kinds by a digit."""
+    d, wider = Draws(key, kind, value, attempt), attempt // 8
+
+    def digits(n: int) -> str:
+        return "".join(str(d.below(10)) for _ in range(n))
+
     if kind == "email":
         local, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{d.like(local)}@{Draws(key, 'domain', domain).like(host)}.{top}"
+        return f"{d.like(local)}{digits(wider)}@{Draws(key, 'domain', domain).like(host)}.{top}"
     if kind == "secret":
-        return d.like(value)
+        return d.like(value if any(c.isalnum() for c in value) else "a" * len(value)) + digits(wider)
+    if kind == "ip" and wider:
+        return ".".join(str(d.below(256)) for _ in range(4))
     if kind == "ip":
         low = {1: (1, 9), 2: (10, 90), 3: (100, 156)}
         return ".".join(str(low[len(x)][0] + d.below(low[len(x)][1])) for x in value.split("."))
     if kind == "iban":
-        body = value[:2] + "00" + "".join(str(d.below(10)) if c.isdigit() else chr(65 + d.below(26)) for c in value[4:])
+        body = value[:2] + "00" + "".join(str(d.below(10)) if c.isdigit() else chr(65 + d.below(26)) for c in value[4:]) + digits(wider)
         return f"{value[:2]}{98 - _iban_rest(body):02d}{body[4:]}"
     if kind == "card":
-        body = value[0] + "".join(str(d.below(10)) for _ in value[1:-1])
+        body = value[0] + digits(len(value) - 2 + wider)
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind in ("phone", "number", "ssn"):
-        kept = re.match(r"\+1|\+\d\d|0*", value)[0]
-        rest = value[len(kept) :]
-        return kept + "".join(str(1 + d.below(9)) if i == 0 else str(d.below(10)) for i in range(len(rest)))
+        if kind == "ssn":  # nine digits as long as there are any left
+            kept, wider = "" if wider else re.match("0{0,2}", value)[0], wider // 8
+        else:
+            kept = re.match(r"\+1|\+\d\d|0{0,2}", value)[0]
+        return kept + str(1 + d.below(9)) + digits(len(value) - len(kept) - 1 + wider)
     consonants, vowels = SCRIPTS[_script(value)]
-    syllables = max(2, min(4, len(value) // 2)) + attempt // 8
+    syllables = max(2, min(4, len(value) // 2)) + wider
     name = "".join(consonants[d.below(len(consonants))] + vowels[d.below(len(vowels))] for _ in range(syllables))
     if kind == "given_f":
         return name[:-1] + vowels[0]
@@ -182,10 +193,10 @@ def dress(raw: str, drawn: str) -> str:
     """A canonical surrogate in the format of the original."""
     if drawn.lstrip("+").isdigit():
         digits = iter(drawn.lstrip("+"))
-        return "".join(next(digits) if c.isdigit() else c for c in raw)
+        return "".join([*(next(digits) if c.isdigit() else c for c in raw), *digits])
     if " " in raw:  # an IBAN in groups
         plain = iter(drawn)
-        return "".join(c if c == " " else next(plain) for c in raw)
+        return "".join([*(c if c == " " else next(plain) for c in raw), *plain])
     if len(raw) == len(drawn):
         return "".join(y.upper() if x.isupper() else y for x, y in zip(raw, drawn))
     return drawn.upper() if raw.isupper() else drawn[0].upper() + drawn[1:] if raw[0].isupper() else drawn

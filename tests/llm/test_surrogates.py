@@ -73,3 +73,23 @@ def test_redrawn_values_reach_the_text(spark, make):
         texts = [r.text for r in replace_private(make(docs), small=small).collect()]
         assert len(set(texts)) == len(docs) and not {t for _, t in docs} & set(texts)
     assert entities(make(docs)).count() == len(docs)
+
+
+def test_every_value_can_settle(spark):
+    assert find("password: ________ or Password = ........ or token: ------") == []
+    for text in ("000-00-0000", "0000000", "password=./-_./", "call +49 151 2345 67896"):
+        (a, b, kind, value), = find(text)
+        assert not luhn("49151234567896") or kind != "card"
+        assert surrogate(text) != text and len({draw(kind, value, n, KEY) for n in range(64)}) == 64
+    crowded = [("phone", f"0000000{n}") for n in range(1, 10)] + [("ssn", "0" * 9), ("phone", "0" * 7), ("secret", "./-_./"), ("secret", "------")]
+    rows = settled(spark.createDataFrame(crowded, "kind string, value string")).collect()
+    assert len({(r.kind, r.drawn) for r in rows} - set(crowded)) == len(crowded)
+
+
+def test_pools_grow_and_keep_the_format():
+    long = {"email": "a@x.com", "secret": "123456", "ip": "1.2.3.4", "iban": "DE89370400440532013000", "card": "4111111111111", "phone": "+4912345", "number": "123456789", "ssn": "078051120"}
+    for kind, value in long.items():
+        drawn = [draw(kind, value, n, KEY) for n in (0, 8, 64, 80)]
+        assert len(set(drawn)) == 4 and (kind == "ip" or len(drawn[3]) > len(value))
+        assert all(dress(value, x) == x for x in drawn)  # nothing of the longer ones is lost
+    assert dress("+49 12 345", "+49678901") == "+49 67 8901" and luhn(draw("card", long["card"], 80, KEY))
