@@ -6,25 +6,30 @@ raw text, give each document its log importance ratio.  A document's key is that
 ratio plus Gumbel noise drawn from a hash of the row, and the documents with the
 k largest keys are a sample without replacement in proportion to importance.
 
-``k`` is given, or follows from the labels: the size at which all but ``loss`` of
-the good documents held out of the target model are still in the sample.
-
-Both models are tables of ``buckets`` numbers, whatever the size of the corpus:
+``k`` is given, or the sample follows from the labels.  Keys are sums over tokens, so
+each length class has a threshold of its own, at which all but ``loss`` of the good
+documents held out of the model stay.  A second pair of models, of the toxic and of
+the good labelled documents, gives weights to the buckets that are far more frequent
+among toxic ones; a document above the weight that all but ``toxic_loss`` of the good
+held-out ones of its class stay below is rejected as well.
+
+The models are tables of ``buckets`` numbers, whatever the size of the corpus:
 each task returns its counts per bucket, and the ratios (4 MB for the default
 size) are what the scoring tasks receive.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tapeworks.llm.common import query, store, table
 
@@ -35,6 +40,10 @@ PRIOR = (1.0, 10.0)
 MEMO = 50_000
 #: The buckets travel in so many parts.
 PARTS = 128
+#: Classes of 2^n to 2^(n+1) tokens, the first and last open; neighbours are joined up to so many held-out documents.
+CLASSES, CALIBRATE = range(4, 12), 200
+#: Standard deviations by which a bucket must be more frequent in toxic documents.
+DEVIATIONS = 6.0
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -62,8 +71,11 @@ class Features:
         return np.r_[one % self.half, two % self.half + self.half].astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Counts of a table with ``text`` and boolean ``target``: ``part`` of the buckets and its ``raw`` and ``target`` counts as arrays of bytes."""
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, once: bool = False) -> DataFrame:
+    """Counts of a table with ``text`` and boolean ``target``: ``part`` of the buckets and its ``raw`` and ``target`` counts as arrays of bytes.
+
+    ``once``: documents are counted, not occurrences.
+    """
     width = max(1, buckets // PARTS)
     names = ["part", "raw", "target"]
 
@@ -79,6 +91,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         for b in batches:
             for text, good in zip(b.column(0), b.column(1).to_pylist()):
                 f = features(text.as_py())
+                f = np.unique(f) if once else f
                 np.add.at(raw, f, 1)
                 if good:
                     np.add.at(target, f, 1)
@@ -98,13 +111,19 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return docs.select("text", "target").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind)
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio of the smoothed models per bucket; the driver gets two numbers for each bucket."""
+def _gather(counts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts on the driver: two numbers for each bucket."""
     width = max(1, buckets // PARTS)
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for part, *both in counts.toLocalIterator():
         for x, y in zip((raw, target), both):
             x[part * width : (part + 1) * width] = np.frombuffer(y, np.int64)
+    return raw, target
+
+
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Log ratio of the smoothed models per bucket."""
+    raw, target = _gather(counts, buckets)
     out = np.zeros(buckets, np.float32)
     for half, prior in zip((slice(0, buckets // 2), slice(buckets // 2, buckets)), PRIOR):
         scale = target[half].sum() / max(1.0, raw[half].sum())
@@ -112,22 +131,46 @@ def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return out
 
 
-def with_keys(docs: DataFrame, ratios: np.ndarray, seed: int, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_ratio``, the log importance ratio, and ``_key``, the ratio plus Gumbel noise; the text becomes a string."""
+def toxic_weights(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Log ratio of toxic to good documents for the buckets that tell them apart, else 0.
+
+    ``docs`` has ``text`` and boolean ``target``, true for toxic and false for good.
+    """
+    n, toxic = docs.agg(F.count(F.lit(1)), F.count_if("target")).first()
+    both, bad = _gather(bucket_counts(docs, buckets, once=True), buckets)
+    share = toxic / max(1, n)
+    far = (bad - both * share) / np.sqrt(both * share * (1 - share) + 1) > DEVIATIONS
+    weights = np.log((bad + 1) / ((both - bad) * toxic / max(1, n - toxic) + 1))
+    return np.where(far, np.maximum(weights, 0), 0).astype(np.float32)
+
+
+def with_keys(docs: DataFrame, ratios: np.ndarray, seed: int, text: str = "text", ident: str = "doc_id", toxic: np.ndarray | None = None) -> DataFrame:
+    """``docs`` with ``_ratio``, the log importance ratio, and ``_key``, the ratio plus Gumbel noise; the text becomes a string.
+
+    With weights in ``toxic`` also ``_toxic``, their sum, and ``_class``, the place of the length class.
+    """
     docs = docs.withColumn(text, F.col(text).cast("string"))
-    sent, buckets, at = docs.sparkSession.sparkContext.broadcast(ratios), len(ratios), docs.columns.index(text)
+    given = [ratios] if toxic is None else [ratios, toxic]
+    sent, buckets, at = docs.sparkSession.sparkContext.broadcast(given), len(ratios), docs.columns.index(text)
+    names = ["_ratio", "_key", "_toxic", "_class"][: 2 * len(given)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weights = Features(buckets), sent.value
+        features, models = Features(buckets), sent.value
         for b in batches:
-            ratio = np.fromiter((weights[features(t.as_py())].sum(dtype=np.float64) for t in b.column(at)), np.float64, b.num_rows)
+            sums, tokens = np.zeros((len(models), b.num_rows)), np.zeros(b.num_rows, np.int64)
+            for i, t in enumerate(b.column(at)):
+                f = features(t.as_py())
+                tokens[i] = (len(f) + 1) // 2
+                for row, weights in zip(sums, models):
+                    row[i] = weights[f].sum(dtype=np.float64)
             uniform = ((b.column(b.num_columns - 1).to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            columns = [*b.columns[:-1], pa.array(ratio), pa.array(ratio - np.log(-np.log(uniform)))]
-            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:-1], "_ratio", "_key"])
+            place = np.clip(np.log2(np.maximum(tokens, 1)).astype(np.int32), CLASSES[0], CLASSES[-1]) - CLASSES[0]
+            added = [sums[0], sums[0] - np.log(-np.log(uniform)), sums[-1], place.astype(np.int32)][: len(names)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, added)], [*b.schema.names[:-1], *names])
 
     draw = F.xxhash64(F.lit(seed), F.col(ident), F.xxhash64(text))
-    given = docs.withColumn("_draw", draw)
-    return given.mapInArrow(score, StructType([*docs.schema.fields, StructField("_ratio", DoubleType()), StructField("_key", DoubleType())]))
+    kinds = [StructField(n, IntegerType() if n == "_class" else DoubleType()) for n in names]
+    return docs.withColumn("_draw", draw).mapInArrow(score, StructType([*docs.schema.fields, *kinds]))
 
 
 def top_k_threshold(scored: DataFrame, k: int, key: str) -> float:
@@ -155,41 +198,61 @@ def top_k_threshold(scored: DataFrame, k: int, key: str) -> float:
     return low
 
 
-def calibrated_k(scored: DataFrame, loss: float) -> int:
-    """The sample size that keeps all but ``loss`` of the rows where ``held`` is true; all rows without such rows."""
-    held = scored.where("held")
-    n = held.count()
-    if not n:
-        return scored.count()
-    worst = top_k_threshold(held, n - int(n * loss), "_key")
-    return scored.where(F.col("_key") >= worst).count()
+def class_bounds(held: DataFrame, loss: float, toxic_loss: float) -> list[tuple[float, float]]:
+    """Least ``_key`` and largest ``_toxic`` of each length class, at which all but the given shares of the held-out rows stay.
+
+    The rows are some of the bounded labelled ones.  Without any, everything stays.
+    """
+    rows = held.select("_class", "_key", "_toxic").toPandas()
+    if rows.empty:
+        return [(-math.inf, math.inf)] * len(CLASSES)
+    sizes, joined = np.bincount(rows["_class"], minlength=len(CLASSES)), [[]]
+    for c in range(len(CLASSES)):
+        if sizes[joined[-1]].sum() >= CALIBRATE and sizes[c:].sum() >= CALIBRATE:
+            joined.append([])
+        joined[-1].append(c)
+    bounds = []
+    for classes in joined:
+        own = rows[rows["_class"].isin(classes)]
+        n = len(own)
+        bounds += [(float(np.sort(own["_key"])[int(n * loss)]), float(np.sort(own["_toxic"])[n - 1 - int(n * toxic_loss)]))] * len(classes)
+    return bounds
 
 
 class Resampler:
-    """Models and threshold for one corpus; ``keys`` holds id, ratio and key of every row.
+    """Models and thresholds for one corpus; ``keys`` holds id, ratio, key, toxic weight and length class of every row.
 
     ``docs``: doc_id and text; ``labels``: doc_id, quality and toxic (null: unknown).  A
-    document with contradicting labels is not good.  At most about ``labelled`` good
-    documents, chosen by a hash of their id, take part; a fifth of them is held out.
+    document with contradicting labels is not good.  At most about ``labelled`` good or
+    toxic documents, chosen by a hash of their id, take part; a fifth of them is held out.
+    A given ``k`` is the size of the sample by key alone.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, k: int | None = None, loss: float = 0.001, seed: int = 7, labelled: int = 1_000_000, buckets: int = BUCKETS):
+    def __init__(
+        self, docs: DataFrame, labels: DataFrame, k: int | None = None, loss: float = 0.001, seed: int = 7, labelled: int = 1_000_000, buckets: int = BUCKETS, toxic_loss: float = 0.005
+    ):
         known = labels.where("doc_id is not null").groupBy("doc_id").agg(
             F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")
-        ).where("quality = 1 and toxic = 0").select("doc_id")
+        ).where("toxic = 1 or quality = 1").select("doc_id", (F.col("toxic") == 0).alias("good"))
         share = min(1.0, labelled / max(1, known.count()))
         part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-        good = F.broadcast(known.where(part).select("doc_id", F.lit(True).alias("good")))
         held = F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 0
-        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, "doc_id", "left")
-        marked = rows.select(
-            "doc_id", "text", (F.col("good").isNotNull() & ~held).alias("target"), (F.col("good").isNotNull() & held).alias("held")
-        )
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known.where(part)), "doc_id", "left")
+        good = F.coalesce("good", F.lit(False))
+        marked = rows.select("doc_id", "text", (good & ~held).alias("target"), (good & held).alias("held"))
         self.seed = seed
         self.ratios = log_ratios(bucket_counts(marked, buckets), buckets)
-        self.keys = store(with_keys(marked.drop("target"), self.ratios, seed).drop("text"), "keys")
-        size = calibrated_k(self.keys, loss) if k is None else k
-        self.threshold = top_k_threshold(self.keys, size, "_key")
+        self.toxic = toxic_weights(rows.where(F.col("good").isNotNull() & ~held).select("text", (~F.col("good")).alias("target")), buckets)
+        self.keys = store(with_keys(marked.drop("target"), self.ratios, seed, toxic=self.toxic).drop("text"), "keys")
+        if k is None:
+            self.bounds = class_bounds(self.keys.where("held"), loss, toxic_loss)
+        else:
+            self.bounds = [(top_k_threshold(self.keys, k, "_key"), math.inf)] * len(CLASSES)
+
+    def stays(self) -> Column:
+        """Whether a row with keys belongs to the sample."""
+        low, high = (F.get(F.array(*map(F.lit, x)), F.col("_class")) for x in zip(*self.bounds))
+        return (F.col("_key") >= low) & (F.col("_toxic") <= high)
 
 
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -201,7 +264,7 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     fitted = Resampler(docs, labels, **options)
     return fitted.keys.select(
-        "doc_id", F.col("_ratio").alias("log_ratio"), F.col("_key").alias("key"), (F.col("_key") >= F.lit(fitted.threshold)).alias("selected")
+        "doc_id", F.col("_ratio").alias("log_ratio"), F.col("_key").alias("key"), fitted.stays().alias("selected")
     )
 
 
@@ -213,4 +276,4 @@ def op8(spark, d):
 def keep_quality(spark, docs: DataFrame, d: str) -> DataFrame:
     """Pipeline stage: the documents that the sample keeps, with their columns."""
     fitted = Resampler(docs, table(spark, d, "labels"))
-    return with_keys(docs, fitted.ratios, fitted.seed).where(F.col("_key") >= F.lit(fitted.threshold)).drop("_ratio", "_key")
+    return with_keys(docs, fitted.ratios, fitted.seed, toxic=fitted.toxic).where(fitted.stays()).drop("_ratio", "_key", "_toxic", "_class")

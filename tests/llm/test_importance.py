@@ -82,3 +82,15 @@ def test_awkward(spark, make, awkward):
     odd = spark.createDataFrame([(None, 1, 0, ""), (5, 1, 0, ""), (5, 0, 0, ""), (6, None, None, ""), (6, 1, 0, "")], LABELS)
     assert len(resample(make(awkward), odd).collect()) == len(awkward)
     assert len(Resampler(make(awkward), odd).ratios) == BUCKETS
+
+
+def test_toxic_and_short_junk_go(spark, make):
+    rnd = random.Random(5)
+    prose = lambda n: rnd.choices([f"w{i}" for i in range(50)], k=n)
+    good = [(i, " ".join(prose(rnd.choice([20, 40, 100, 400])))) for i in range(4000)] + [(4000, "zz " * 400)] * 2
+    toxic = [(5000 + i, " ".join(prose(100) + ["idiot", "moron", "scum"])) for i in range(300)]
+    junk = [(6000 + i, " ".join(rnd.choices(["#$%", "|||", "&&&"], k=20))) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, 0, "") for i, _ in good[:4001]] + [(i, 1, 1, "") for i, _ in toxic[::2]] + [(i, 0, 0, "") for i, _ in junk], LABELS)
+    chosen = {r.doc_id for r in resample(make(good + toxic + junk), labels, buckets=1 << 16).where("selected").collect()}
+    left = lambda docs: len(chosen & {i for i, _ in docs}) / len({i for i, _ in docs})
+    assert left(good) > 0.98 and left(toxic) < 0.05 and left(junk) == 0
