@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tapeworks.llm.collocations  # noqa: F401
 import tapeworks.llm.decontamination  # noqa: F401
+import tapeworks.llm.html_text  # noqa: F401
 import tapeworks.llm.importance  # noqa: F401
+import tapeworks.llm.lexical_search  # noqa: F401
 import tapeworks.llm.lm  # noqa: F401
 import tapeworks.llm.packing  # noqa: F401
 import tapeworks.llm.quality_rules  # noqa: F401
