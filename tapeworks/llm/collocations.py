@@ -9,9 +9,11 @@ suffixes, and each group sorts its suffixes on its own: read in order they are i
 subtree, depth first, and the count of a phrase is the total of the leaves below
 its node.
 
-A task encodes its texts in blocks and sends each distinct suffix of a block once,
-with its number.  What rare words and pairs are is told to the tasks by bit maps of a
-fixed size, in which a rare one may pass by chance; all counts are exact.
+Texts are encoded in blocks; a join with the frequent words turns their words into
+numbers, and other words into breaks.  A block sends each distinct suffix once, with
+its number, one row for all suffixes of a prefix.  Which pairs are rare is told to the
+tasks by a bit map of a fixed size, made from counters that several pairs may share: a
+rare one may pass by chance, a frequent one always passes, and all counts are exact.
 """
 
 from __future__ import annotations
@@ -22,33 +24,32 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import query, store, table
 from tapeworks.llm.lm import planes, unplanes
-from tapeworks.plans.series import top_k
+from tapeworks.plans.series import number_rows, top_k
 
 LEAST, LONGEST, BEST = 100, 5, 2000
 BLOCK = 8 << 20
-#: Suffixes of a group, and how many groups' worth of heavy prefixes the driver may hold at most.
+#: Suffixes of a group, and how many heavy prefixes of one length the driver may hold at most.
 BUDGET, HEAVY = 500_000, 1_000_000
-#: Bits of a filter: 8 MB, whatever the corpus.
-BITS = 26
+#: Counters of pairs (a bit each in the map that tasks get: 16 MB), and the ranges they are counted in.
+BITS, RANGES, PER_RANGE = 27, 64, 50_000_000
 # The break characters end a piece, tabs are blanks, A-Z are lower-cased.
 CODES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n\n")
-MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def encode(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Blocks of the texts of one language (lang, words, tokens): 0 in tokens ends a piece, i is the i-th of words."""
+    """Blocks of the texts of one language (block, lang, words, tokens): 0 in tokens ends a piece, i is the i-th of words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple[dict, list]] = {}
         sizes: dict[str, int] = defaultdict(int)
+        number = count(TaskContext.get().partitionId() << 32)
 
         def done(lang: str) -> pa.RecordBatch:
             known, parts = open_.pop(lang)
@@ -57,8 +58,8 @@ def encode(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             tokens = np.concatenate(parts)
             tokens = np.maximum(tokens[tokens > 0] - 1, 0).astype(np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([planes(tokens)])],
-                ["lang", "words", "tokens"],
+                [pa.array([next(number)]), pa.array([lang]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.array([planes(tokens)])],
+                ["block", "lang", "words", "tokens"],
             )
 
         for b in batches:
@@ -81,101 +82,122 @@ def encode(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         for lang in list(open_):
             yield done(lang)
 
-    return docs.mapInArrow(rows, "lang string, words array<binary>, tokens binary")
+    return docs.mapInArrow(rows, "block bigint, lang string, words array<binary>, tokens binary")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
-    """Language, words, their hashes and tokens of one block at a time."""
-    for b in batches:
-        for i in range(b.num_rows):
-            lang, words = b.column(0)[i].as_py(), b.column(1)[i].values
-            seed = xxhash.xxh64_intdigest(lang.encode())
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
-            yield lang, words.cast(pa.string()), hashes, unplanes(b.column(2)[i].as_py(), "int32")
+def block_words(blocks: DataFrame) -> DataFrame:
+    """The words of each block with their place in it and their number of occurrences: block, lang, word, place, f."""
 
+    def rows(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                words = b.column("words")[i].values
+                f = np.bincount(unplanes(b.column("tokens")[i].as_py(), "int32"), minlength=len(words) + 1)[1:]
+                n = len(words)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, b.column("block")[i].as_py())), pa.array([b.column("lang")[i].as_py()] * n, pa.string()),
+                    words.cast(pa.string()), pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(f.astype(np.int64)),
+                ], ["block", "lang", "word", "place", "f"])
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return blocks.mapInArrow(rows, "block bigint, lang string, word string, place int, f bigint")
 
 
-def _pair_slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _slots((first * MIX_A) ^ ((second * MIX_B) >> np.uint64(17)) ^ (second * MIX_A << np.uint64(29)))
+def numbered_tokens(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Blocks with the numbers of the ``dictionary`` (lang, word, number) for words; 0 is a break or any other word."""
+    known = block_words(blocks).join(dictionary.select("lang", "word", "number"), ["lang", "word"])
+    named = known.groupBy("block").agg(F.collect_list(F.struct("place", "number")).alias("names"))
 
+    def rows(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                names, tokens = b.column("names")[i].values, unplanes(b.column("tokens")[i].as_py(), "int32")
+                number = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
+                number[names.field("place").to_numpy()] = names.field("number").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([planes(number[tokens])])], ["tokens"])
 
-def _among(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return blocks.select("block", "tokens").join(named, "block").mapInArrow(rows, "tokens binary")
 
 
-def bit_map(rows: DataFrame) -> np.ndarray:
-    """The bits at the ``slot`` of each row: never more than 2 ** BITS, however many rows."""
-    packed = rows.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
-    bits = np.zeros(1 << BITS - 6, np.uint64)
-    found = packed.toArrow()
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return bits
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield unplanes(b.column("tokens")[i].as_py(), "int32")
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """Occurrences f of every word: lang, word, slot, f."""
+def _slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The counter of each pair of numbers."""
+    pair = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+    mixed = (pair ^ (pair >> np.uint64(29))) * MIX
+    return ((mixed ^ (mixed >> np.uint64(32))) * MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def rows(batches):
-        for lang, words, hashes, tokens in _blocks(batches):
-            f = np.bincount(tokens, minlength=len(words) + 1)[1:].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(_slots(hashes)), pa.array(f)], ["lang", "word", "slot", "f"])
 
-    parts = blocks.mapInArrow(rows, "lang string, word string, slot bigint, f bigint")
-    return parts.groupBy("lang", "word").agg(F.min("slot").alias("slot"), F.sum("f").alias("f"))
+def _among(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
-def pair_counts(blocks: DataFrame, frequent: Callable[[], np.ndarray]) -> DataFrame:
-    """Occurrences f of pairs of frequent words within pieces: lang, w1, w2, slot, f."""
+def pair_counters(coded: DataFrame, ranges: int, least: int, most: int) -> DataFrame:
+    """Counters of pairs in ranges: range, bits (which reach ``least``) and heavy (which exceed ``most``)."""
+    wide = (1 << BITS) // ranges
 
-    def rows(batches):
-        for lang, words, hashes, tokens in _blocks(batches):
-            known = np.concatenate([[False], _among(frequent(), _slots(hashes))])[tokens]
-            at = np.flatnonzero(known[:-1] & known[1:])
-            size = len(words) + 1
-            keys, f = np.unique(tokens[at].astype(np.int64) * size + tokens[at + 1], return_counts=True)
-            first, second = keys // size - 1, keys % size - 1
-            for i in range(0, len(keys), 100_000):
-                a, b = first[i : i + 100_000], second[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(a), pa.string()), words.take(pa.array(a)), words.take(pa.array(b)), pa.array(_pair_slots(hashes[a], hashes[b])), pa.array(f[i : i + 100_000].astype(np.int64))],
-                    ["lang", "w1", "w2", "slot", "f"],
-                )
-
-    parts = blocks.mapInArrow(rows, "lang string, w1 string, w2 string, slot bigint, f bigint")
-    return parts.groupBy("lang", "w1", "w2").agg(F.min("slot").alias("slot"), F.sum("f").alias("f"))
-
-
-def _under(columns: np.ndarray, words: pa.Array, phrases: list[tuple[str, ...]], depth: int) -> np.ndarray:
-    """Which rows of word numbers begin with one of ``phrases``, each of ``depth`` words."""
-    hit = np.zeros(len(columns), bool)
-    if not phrases:
-        return hit
-    number = {w: i for i, w in enumerate(words.to_pylist(), 1)}
-    local = [tuple(number.get(w, -1) for w in p) for p in phrases]
-    local = np.array([p for p in local if min(p) > 0], np.int64).reshape(-1, depth)
-    both, keys = np.unique(np.concatenate([local, columns[:, :depth]]), axis=0, return_inverse=True)
-    keys = keys.ravel()
-    return np.isin(keys[len(local) :], keys[: len(local)])
-
-
-def suffixes(blocks: DataFrame, frequent: Callable, pairs: Callable, heavy: Callable[[], dict], only: int | None = None) -> DataFrame:
-    """Distinct suffixes of each block with their number f: lang, w1 to w5, depth of the prefix they belong to, f.
-
-    ``heavy()`` maps (lang, depth) to the prefixes that are extended.  What is no longer
-    than a heavy prefix is left out, for that prefix is counted already.  ``only`` keeps
-    the prefixes of that depth under heavy ones instead, with their number.
+    def parts(batches):
+        for tokens in _tokens(batches):
+            at = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
+            slots, f = np.unique(_slots(tokens[at], tokens[at + 1]), return_counts=True)
+            cuts = np.searchsorted(slots, np.arange(ranges + 1) * wide)
+            some = np.flatnonzero(np.diff(cuts))
+            blobs = [planes(np.concatenate([np.diff(slots[cuts[r] : cuts[r + 1]], prepend=r * wide), f[cuts[r] : cuts[r + 1]]]).astype(np.int32)) for r in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "part"])
+
+    def sums(batches):
+        now, counters = None, np.zeros(wide, np.int64)
+
+        def done():
+            bits = np.packbits(counters >= least, bitorder="little").tobytes()
+            heavy = (np.flatnonzero(counters > most) + now * wide).tolist()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits]), pa.array([heavy], pa.list_(pa.int64()))], ["range", "bits", "heavy"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.column("range")[i].as_py()
+                if r != now:
+                    if now is not None:
+                        yield done()
+                    now = r
+                    counters[:] = 0
+                steps, f = np.split(unplanes(b.column("part")[i].as_py(), "int32"), 2)
+                counters[np.cumsum(steps)] += f
+        if now is not None:
+            yield done()
+
+    dealt = coded.mapInArrow(parts, "range int, part binary").repartition(ranges, "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(sums, "range int, bits binary, heavy array<bigint>")
+
+
+def _under(cols: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    """Which rows begin with one of ``phrases``, rows of numbers of one length."""
+    if not len(phrases):
+        return np.zeros(len(cols), bool)
+    every = np.concatenate([phrases, cols[:, : phrases.shape[1]]])
+    keys = np.unique(every, axis=0, return_inverse=True)[1].ravel()
+    return np.isin(keys[len(phrases) :], keys[: len(phrases)])
+
+
+def suffixes(coded: DataFrame, frequent: Callable[[], np.ndarray], heavy: Callable[[], dict], only: int | None = None) -> DataFrame:
+    """Suffixes of each block by prefix: head (its numbers, big-endian), rest (numbers behind it, and how often).
+
+    ``heavy()`` maps a length to the prefixes that are extended; those of two words are named by
+    their counters.  What is no longer than a heavy prefix is left out, for that prefix is
+    counted already.  ``only`` keeps prefixes of that length under heavy ones, without a rest.
     """
 
     def rows(batches):
-        for lang, words, hashes, tokens in _blocks(batches):
-            known = np.concatenate([[False], _among(frequent(), _slots(hashes))])[tokens]
-            at = np.flatnonzero(known[:-1] & known[1:])
+        for tokens in _tokens(batches):
+            at = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
+            slots = _slots(tokens[at], tokens[at + 1])
+            keep = _among(frequent(), slots)
+            at, slots = at[keep], slots[keep]
             joined = np.zeros(len(tokens) + LONGEST, bool)
-            joined[at] = _among(pairs(), _pair_slots(hashes[tokens[at] - 1], hashes[tokens[at + 1] - 1]))
-            at = np.flatnonzero(joined)
+            joined[at] = True
             padded = np.concatenate([tokens, np.zeros(LONGEST, np.int32)])
             cols = np.zeros((len(at), LONGEST), np.int32)
             alive = np.ones(len(at), bool)
@@ -183,89 +205,104 @@ def suffixes(blocks: DataFrame, frequent: Callable, pairs: Callable, heavy: Call
             for k in range(1, LONGEST):
                 alive &= joined[at + k - 1]
                 cols[:, k] = np.where(alive, padded[at + k], 0)
-            depth = np.full(len(at), 2, np.int8)
-            for d in range(2, LONGEST):
-                depth[(depth == d) & _under(cols, words, heavy().get((lang, d), []), d)] = d + 1
-            keep = cols[np.arange(len(at)), depth - 1] > 0
-            if only:
-                keep &= depth == only
-                cols[:, only:] = 0
+            depth = np.where(np.isin(slots, heavy().get(2, ())), 3, 2)
+            if only == 2:
+                keep, cols[:, 2:] = depth == 3, 0
+                depth[:] = 2
+            else:
+                for d in range(3, LONGEST):
+                    open_ = np.flatnonzero(depth == d)
+                    depth[open_[_under(cols[open_], heavy().get(d, ()))]] = d + 1
+                keep = cols[np.arange(len(at)), depth - 1] > 0
+                if only:
+                    keep &= depth == only
+                    cols[:, only:] = 0
             cols, depth = cols[keep], depth[keep]
             order = np.lexsort(cols.T[::-1])
             cols, depth = cols[order], depth[order]
-            fresh = np.ones(len(cols), bool)
-            fresh[1:] = (cols[1:] != cols[:-1]).any(axis=1)
-            starts = np.flatnonzero(fresh)
-            f = np.diff(np.append(starts, len(cols)))
+            starts = np.flatnonzero(np.append(True, (cols[1:] != cols[:-1]).any(axis=1))) if len(cols) else np.zeros(0, int)
+            f = np.diff(np.append(starts, len(cols))).astype(np.int32)
             cols, depth = cols[starts], depth[starts]
-            for i in range(0, len(cols), 100_000):
-                part = cols[i : i + 100_000]
-                taken = [words.take(pa.array(np.where(c > 0, c - 1, 0), mask=c == 0)) for c in part.T]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(part), pa.string()), *taken, pa.array(depth[i : i + 100_000]), pa.array(f[i : i + 100_000].astype(np.int64))],
-                    ["lang", *WORDS, "depth", "f"],
-                )
+            same = np.ones((len(cols), LONGEST), bool)
+            same[1:] = np.logical_and.accumulate(cols[1:] == cols[:-1], axis=1)
+            heads = np.flatnonzero(~same[np.arange(len(cols)), depth - 1] | (np.arange(len(cols)) == 0))
+            ends = np.append(heads[1:], len(cols))
+            big = cols.astype(">i4")
+            for i in range(0, len(heads), 50_000):
+                part = list(zip(heads[i : i + 50_000].tolist(), ends[i : i + 50_000].tolist()))
+                names = [big[lo, : depth[lo]].tobytes() for lo, _ in part]
+                rest = [np.column_stack([cols[lo:hi, depth[lo] :], f[lo:hi]]).astype(np.int32).T.tobytes() for lo, hi in part]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(rest, pa.binary())], ["head", "rest"])
 
-    return blocks.mapInArrow(rows, "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", depth byte, f bigint")
+    return coded.mapInArrow(rows, "head binary, rest binary")
 
 
-def subtrees(rows: DataFrame, groups: int, least: int = LEAST) -> DataFrame:
-    """Phrases (lang, words, f) below the prefixes of ``rows`` with at least ``least`` occurrences.
+def _numbers(head: bytes) -> np.ndarray:
+    return np.frombuffer(head, ">i4").astype(np.int32)
 
-    A partition is a group of whole prefixes in sorted order; a node ends where the
-    path to it changes, and only the open path is kept.
+
+def prefix_counts(rows: DataFrame) -> DataFrame:
+    """``head, f`` of suffixes without a rest."""
+
+    def counted(batches):
+        for b in batches:
+            f = [int(np.frombuffer(r, np.int32)[-1]) for r in b.column("rest").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("head"), pa.array(f, pa.int64())], ["head", "f"])
+
+    return rows.mapInArrow(counted, "head binary, f bigint").groupBy("head").agg(F.sum("f").alias("f"))
+
+
+def subtrees(rows: DataFrame, groups: int, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
+    """Phrases (numbers, f) below the prefixes of ``rows`` with at least ``least`` occurrences.
+
+    A partition is a group of whole prefixes in sorted order.  Prefixes are taken together up to
+    the budget, sorted, and every node's count is summed over its stretch of leaves.
     """
 
+    def counted(cols, f, depth):
+        order = np.lexsort(cols.T[::-1])
+        cols, f, depth = cols[order], f[order], depth[order]
+        for k in range(2, LONGEST + 1):
+            at = np.flatnonzero((cols[:, k - 1] > 0) & (depth <= k))
+            if not len(at):
+                continue
+            # Within the rows that are long enough a node starts where the path to it changes.
+            starts = np.flatnonzero(np.append(True, (cols[at[1:], :k] != cols[at[:-1], :k]).any(axis=1)))
+            totals = np.add.reduceat(f[at], starts)
+            good = totals >= least
+            found = cols[at[starts[good]], :k]
+            if len(found):
+                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(found.ravel())), pa.array(totals[good])], ["numbers", "f"])
+
     def walk(batches):
-        open_: list[tuple[tuple, int, int] | None] = [None] * (LONGEST + 1)
+        parts, size, last = [], 0, None
 
-        def close(k, out):
-            if open_[k] and open_[k][1] >= least and open_[k][2] <= k:
-                out.append((open_[k][0], open_[k][1]))
-            open_[k] = None
-
-        def batch(out):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p, _ in out], pa.string()), pa.array([p[1:] for p, _ in out], pa.list_(pa.string())), pa.array([f for _, f in out], pa.int64())],
-                ["lang", "words", "f"],
-            )
+        def done():
+            return counted(*(np.concatenate(x) for x in zip(*parts)))
 
         for b in batches:
-            out, n = [], b.num_rows
-            f, depth = b.column("f").to_numpy(), b.column("depth").to_numpy()
-            same = np.ones(max(n - 1, 0), bool)
-            for k, name in enumerate(["lang", *WORDS]):
-                col = b.column(name)
-                same = same & pc.fill_null(pc.equal(col[1:], col[:-1]), False).to_numpy(zero_copy_only=False)
-                if k < 2 or not n:
-                    continue
-                at = np.flatnonzero(pc.is_valid(col).to_numpy(zero_copy_only=False))
-                if not len(at):
-                    continue
-                fresh = np.concatenate([[True], ~same])[at]
-                fresh[0] = True
-                starts = np.flatnonzero(fresh)
-                totals = np.add.reduceat(f[at], starts)
-                path = lambda i: tuple(b.column(c)[int(i)].as_py() for c in ["lang", *WORDS[:k]])  # noqa: B023, E731
-                if open_[k] and open_[k][0] == path(at[0]):
-                    totals[0] += open_[k][1]
-                    open_[k] = None
-                close(k, out)
-                rowof = at[starts]
-                for j in np.flatnonzero((totals[:-1] >= least) & (depth[rowof[:-1]] <= k)):
-                    out.append((path(rowof[j]), int(totals[j])))
-                open_[k] = path(rowof[-1]), int(totals[-1]), int(depth[rowof[-1]])
-            if out:
-                yield batch(out)
-        out = []
-        for k in range(2, LONGEST + 1):
-            close(k, out)
-        if out:
-            yield batch(out)
+            for i in range(b.num_rows):
+                head = b.column("head")[i].as_py()
+                if head != last and size >= budget:
+                    yield from done()
+                    parts, size = [], 0
+                last, numbers = head, _numbers(head)
+                d = len(numbers)
+                rest = np.frombuffer(b.column("rest")[i].as_py(), np.int32).reshape(LONGEST - d + 1, -1)
+                cols = np.empty((rest.shape[1], LONGEST), np.int32)
+                cols[:, :d], cols[:, d:] = numbers, rest[:-1].T
+                parts.append((cols, rest[-1].astype(np.int64), np.full(len(cols), d, np.int8)))
+                size += len(cols)
+        if parts:
+            yield from done()
+
+    dealt = rows.repartition(groups, "head").sortWithinPartitions("head")
+    return dealt.mapInArrow(walk, "numbers array<int>, f bigint")
 
-    prefix = [F.col("lang"), F.col("w1"), F.col("w2"), *[F.when(F.col("depth") >= k, F.col(f"w{k}")) for k in range(3, LONGEST + 1)]]
-    dealt = rows.repartition(groups, *prefix).sortWithinPartitions("lang", *WORDS)
-    return dealt.mapInArrow(walk, "lang string, words array<string>, f bigint")
+
+def _shared(spark: SparkSession, value):
+    return spark.sparkContext.broadcast(value)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, budget: int = BUDGET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -273,40 +310,55 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     spark = docs.sparkSession
     given = docs.select(F.col(text).cast("string").alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("l"))
     blocks = store(encode(given, block), "blocks", "zstd")
-    words = store(word_counts(blocks), "words")
+    words = store(block_words(blocks).groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = words.where(F.col("f") >= least)
-    shared = [spark.sparkContext.broadcast(bit_map(often))]
-    frequent = shared[0]
-    pairs = store(pair_counts(blocks, lambda: frequent.value).where(F.col("f") >= least), "pairs")
-    shared.append(spark.sparkContext.broadcast(bit_map(pairs)))
-    known = shared[1]
-    windows, = pairs.agg(F.sum("f")).first()
-    most = max(budget, (windows or 0) // HEAVY)
-    heads, heavy = pairs.drop("slot"), {}
+    often = number_rows(words.where(F.col("f") >= least), [], [F.col("lang"), F.col("word")], name="number", chunk=F.pmod(F.xxhash64("lang", "word"), F.lit(1024)))
+    dictionary = store(often.withColumn("number", F.col("number").cast("int")), "dictionary")
+    coded = store(numbered_tokens(blocks, dictionary), "coded", "zstd")
+    every = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(budget, every // HEAVY)
+    ranges = RANGES
+    while ranges < min(4096, every // PER_RANGE):
+        ranges *= 2
+    bits, heavy = np.zeros(1 << BITS - 3, np.uint8), {}
+    wide = len(bits) // ranges
+    crowded = []
+    for r in pair_counters(coded, ranges, least, most).collect():  # one bit a counter, and at most HEAVY of them by number
+        bits[r.range * wide : (r.range + 1) * wide] = np.frombuffer(r.bits, np.uint8)
+        crowded += r.heavy
+    told = [_shared(spark, bits)]
+    frequent = told[0]
+
+    def cut(only: int | None = None) -> DataFrame:
+        told.append(_shared(spark, dict(heavy)))
+        known = told[-1]
+        return suffixes(coded, lambda: frequent.value, lambda: known.value, only)
+
     counted = []
-    for depth in range(2, LONGEST):
-        crowded = heads.where(F.col("f") > most).select("lang", F.array(*WORDS[:depth]).alias("words"), "f")
-        found = crowded.collect()  # at most HEAVY, as the total is at most HEAVY times ``most``
-        if not found:
-            break
-        counted.append(crowded)
-        for r in found:
-            heavy.setdefault((r.lang, depth), []).append(tuple(r.words))
-        shared.append(spark.sparkContext.broadcast(dict(heavy)))
-        told = shared[-1]
-        longer = suffixes(blocks, lambda: frequent.value, lambda: known.value, lambda told=told: told.value, depth + 1)
-        heads = store(longer.groupBy("lang", *WORDS[: depth + 1]).agg(F.sum("f").alias("f")).where(F.col("f") >= least), "prefixes")
-    shared.append(spark.sparkContext.broadcast(heavy))
-    told = shared[-1]
-    rows = suffixes(blocks, lambda: frequent.value, lambda: known.value, lambda: told.value)
-    nodes = store(subtrees(rows, max(1, -(-(windows or 0) // most)), least), "nodes")
-    for b in shared:
+    if crowded:
+        heavy[2] = np.array(sorted(crowded))
+        counted.append(store(prefix_counts(cut(2)).where(F.col("f") >= least), "prefixes"))
+        for depth in range(3, LONGEST):
+            longer = store(prefix_counts(cut(depth)).where(F.col("f") > most), "prefixes")
+            found = longer.collect()  # at most HEAVY, as all together are at most HEAVY times ``most``
+            if not found:
+                break
+            counted.append(longer)
+            heavy[depth] = np.array([_numbers(bytes(r.head)) for r in found])
+    nodes = store(subtrees(cut(), max(1, -(-every // most)), least, most), "nodes")
+    for b in told:
         b.destroy()
-    phrases = often.select("lang", F.array("word").alias("words"), "f").unionByName(nodes)
-    for crowded in counted:
-        phrases = phrases.unionByName(crowded)
-    return totals, store(phrases, "phrases")
+    numbers = F.expr("transform(sequence(1, octet_length(head) - 3, 4), i -> cast(conv(hex(substring(head, i, 4)), 16, 10) AS int))")
+    for c in counted:
+        nodes = nodes.unionByName(c.select(numbers.alias("numbers"), "f"))
+    named = nodes.select(F.monotonically_increasing_id().alias("id"), "numbers", "f")
+    named = store(named, "phrases")
+    spelled = named.select("id", "f", F.posexplode("numbers").alias("at", "number")).join(dictionary.select("number", "lang", "word"), "number")
+    spelled = spelled.groupBy("id").agg(
+        F.first("lang").alias("lang"), F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"), F.first("f").alias("f")
+    )
+    single = dictionary.select("lang", F.array("word").alias("words"), "f")
+    return totals, store(spelled.select("lang", "words", "f").unionByName(single), "phrases")
 
 
 def _joined(words: Column) -> Column:

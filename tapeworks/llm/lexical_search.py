@@ -31,7 +31,7 @@ from tapeworks.llm.common import ascii_lower, query, shuffle_partitions, store,
 from tapeworks.llm.decontamination import words
 
 BEST = 10
-#: Terms of a block of items, documents of a bucket, and documents that set the first thresholds.
+#: Terms of a block of items, documents of a bucket, and about how many of the longest set the first thresholds.
 TERMS, BUCKET, SEEDS = 1_000_000, 4096, 8192
 SAFE = 1 + 1e-9
 # All ASCII but digits and letters separates terms; A-Z are lower-cased.
@@ -238,8 +238,8 @@ def ranking(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str
             weights[r.term] = r.w
         ordered = by_length(vectors, weights, total, size)
         sought = [(r.item, [place[t] for t in r.terms]) for r in mine]
-        cut = ordered.select("length").orderBy(F.col("length").desc()).offset(SEEDS).limit(1).first()
-        seeds = search(ordered if cut is None else ordered.where(F.col("length") >= cut.length), sought, weights, {}, total, size, best)
+        cut = ordered.agg(F.percentile_approx("length", max(0.0, 1 - SEEDS / total), 100_000)).first()[0]
+        seeds = search(ordered if cut is None else ordered.where(F.col("length") >= cut), sought, weights, {}, total, size, best)
         nth = F.row_number().over(Window.partitionBy("item").orderBy(F.col("score").desc()))
         floors = {r.item: r.score for r in seeds.withColumn("nth", nth).where(F.col("nth") == best).collect()}
         parts.append(store(search(ordered, sought, weights, floors, total, size, best), "hits"))
