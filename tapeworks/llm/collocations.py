@@ -11,7 +11,7 @@ its node.
 
 Texts are encoded in blocks; a join with the frequent words turns their words into
 numbers, and other words into breaks.  A block sends each distinct suffix once, with
-its number, one row for all suffixes of a prefix.  Which pairs are rare is told to the
+its number, in one row for all suffixes of a group.  Which pairs are rare is told to the
 tasks by a bit map of a fixed size, made from counters that several pairs may share: a
 rare one may pass by chance, a frequent one always passes, and all counts are exact.
 """
@@ -182,81 +182,87 @@ def _under(cols: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     return np.isin(keys[len(phrases) :], keys[: len(phrases)])
 
 
-def suffixes(coded: DataFrame, frequent: Callable[[], np.ndarray], heavy: Callable[[], dict], only: int | None = None) -> DataFrame:
-    """Suffixes of each block by prefix: head (its numbers, big-endian), rest (numbers behind it, and how often).
+def _suffixes(tokens: np.ndarray, frequent: np.ndarray, heavy: dict, only: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct suffixes of a block in order: their numbers (0 behind the end), how often, and the length of their prefix."""
+    at = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
+    slots = _slots(tokens[at], tokens[at + 1])
+    keep = _among(frequent, slots)
+    at, slots = at[keep], slots[keep]
+    joined = np.zeros(len(tokens) + LONGEST, bool)
+    joined[at] = True
+    padded = np.concatenate([tokens, np.zeros(LONGEST, np.int32)])
+    cols = np.zeros((len(at), LONGEST), np.int32)
+    alive = np.ones(len(at), bool)
+    cols[:, 0] = padded[at]
+    for k in range(1, LONGEST):
+        alive &= joined[at + k - 1]
+        cols[:, k] = np.where(alive, padded[at + k], 0)
+    depth = np.where(np.isin(slots, heavy.get(2, ())), 3, 2)
+    if only == 2:
+        keep, cols[:, 2:] = depth == 3, 0
+        depth[:] = 2
+    else:
+        for d in range(3, LONGEST):
+            open_ = np.flatnonzero(depth == d)
+            depth[open_[_under(cols[open_], heavy.get(d, ()))]] = d + 1
+        keep = cols[np.arange(len(at)), depth - 1] > 0
+        if only:
+            keep &= depth == only
+            cols[:, only:] = 0
+    cols, depth = cols[keep], depth[keep]
+    order = np.lexsort(cols.T[::-1])
+    cols, depth = cols[order], depth[order]
+    starts = np.flatnonzero(np.append(True, (cols[1:] != cols[:-1]).any(axis=1))) if len(cols) else np.zeros(0, int)
+    return cols[starts], np.diff(np.append(starts, len(cols))).astype(np.int32), depth[starts].astype(np.int32)
+
+
+def prefix_counts(coded: DataFrame, frequent: Callable[[], np.ndarray], heavy: Callable[[], dict], length: int) -> DataFrame:
+    """Prefixes of ``length`` words under heavy ones: head (their numbers, big-endian) and f."""
+
+    def rows(batches):
+        for tokens in _tokens(batches):
+            cols, f, _ = _suffixes(tokens, frequent(), heavy(), length)
+            heads = cols[:, :length].astype(">i4")
+            yield pa.RecordBatch.from_arrays([pa.array([h.tobytes() for h in heads], pa.binary()), pa.array(f.astype(np.int64))], ["head", "f"])
+
+    return coded.mapInArrow(rows, "head binary, f bigint").groupBy("head").agg(F.sum("f").alias("f"))
+
+
+def suffixes(coded: DataFrame, frequent: Callable[[], np.ndarray], heavy: Callable[[], dict], groups: int) -> DataFrame:
+    """Suffixes of each block, dealt by prefix: group and part (numbers, how often and length of the prefix, by column).
 
     ``heavy()`` maps a length to the prefixes that are extended; those of two words are named by
     their counters.  What is no longer than a heavy prefix is left out, for that prefix is
-    counted already.  ``only`` keeps prefixes of that length under heavy ones, without a rest.
+    counted already.
     """
 
     def rows(batches):
         for tokens in _tokens(batches):
-            at = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
-            slots = _slots(tokens[at], tokens[at + 1])
-            keep = _among(frequent(), slots)
-            at, slots = at[keep], slots[keep]
-            joined = np.zeros(len(tokens) + LONGEST, bool)
-            joined[at] = True
-            padded = np.concatenate([tokens, np.zeros(LONGEST, np.int32)])
-            cols = np.zeros((len(at), LONGEST), np.int32)
-            alive = np.ones(len(at), bool)
-            cols[:, 0] = padded[at]
-            for k in range(1, LONGEST):
-                alive &= joined[at + k - 1]
-                cols[:, k] = np.where(alive, padded[at + k], 0)
-            depth = np.where(np.isin(slots, heavy().get(2, ())), 3, 2)
-            if only == 2:
-                keep, cols[:, 2:] = depth == 3, 0
-                depth[:] = 2
-            else:
-                for d in range(3, LONGEST):
-                    open_ = np.flatnonzero(depth == d)
-                    depth[open_[_under(cols[open_], heavy().get(d, ()))]] = d + 1
-                keep = cols[np.arange(len(at)), depth - 1] > 0
-                if only:
-                    keep &= depth == only
-                    cols[:, only:] = 0
-            cols, depth = cols[keep], depth[keep]
-            order = np.lexsort(cols.T[::-1])
-            cols, depth = cols[order], depth[order]
-            starts = np.flatnonzero(np.append(True, (cols[1:] != cols[:-1]).any(axis=1))) if len(cols) else np.zeros(0, int)
-            f = np.diff(np.append(starts, len(cols))).astype(np.int32)
-            cols, depth = cols[starts], depth[starts]
-            same = np.ones((len(cols), LONGEST), bool)
-            same[1:] = np.logical_and.accumulate(cols[1:] == cols[:-1], axis=1)
-            heads = np.flatnonzero(~same[np.arange(len(cols)), depth - 1] | (np.arange(len(cols)) == 0))
-            ends = np.append(heads[1:], len(cols))
-            big = cols.astype(">i4")
-            for i in range(0, len(heads), 50_000):
-                part = list(zip(heads[i : i + 50_000].tolist(), ends[i : i + 50_000].tolist()))
-                names = [big[lo, : depth[lo]].tobytes() for lo, _ in part]
-                rest = [np.column_stack([cols[lo:hi, depth[lo] :], f[lo:hi]]).astype(np.int32).T.tobytes() for lo, hi in part]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(rest, pa.binary())], ["head", "rest"])
-
-    return coded.mapInArrow(rows, "head binary, rest binary")
+            cols, f, depth = _suffixes(tokens, frequent(), heavy(), None)
+            mixed = np.zeros(len(cols), np.uint64)
+            for k in range(LONGEST):
+                own = np.where(k < depth, cols[:, k], 0).astype(np.uint64)
+                mixed = (mixed ^ own) * MIX
+                mixed ^= mixed >> np.uint64(29)
+            group = (mixed % np.uint64(groups)).astype(np.int32)
+            order = np.argsort(group, kind="stable")
+            table = np.column_stack([cols, f, depth])[order]
+            cuts = np.searchsorted(group[order], np.arange(groups + 1))
+            some = np.flatnonzero(np.diff(cuts))
+            parts = [planes(np.ascontiguousarray(table[cuts[g] : cuts[g + 1]].T).ravel()) for g in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], ["group", "part"])
+
+    return coded.mapInArrow(rows, "group int, part binary")
 
 
 def _numbers(head: bytes) -> np.ndarray:
     return np.frombuffer(head, ">i4").astype(np.int32)
 
 
-def prefix_counts(rows: DataFrame) -> DataFrame:
-    """``head, f`` of suffixes without a rest."""
-
-    def counted(batches):
-        for b in batches:
-            f = [int(np.frombuffer(r, np.int32)[-1]) for r in b.column("rest").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("head"), pa.array(f, pa.int64())], ["head", "f"])
-
-    return rows.mapInArrow(counted, "head binary, f bigint").groupBy("head").agg(F.sum("f").alias("f"))
-
-
-def subtrees(rows: DataFrame, groups: int, least: int = LEAST, budget: int = BUDGET) -> DataFrame:
+def subtrees(rows: DataFrame, groups: int, least: int = LEAST) -> DataFrame:
     """Phrases (numbers, f) below the prefixes of ``rows`` with at least ``least`` occurrences.
 
-    A partition is a group of whole prefixes in sorted order.  Prefixes are taken together up to
-    the budget, sorted, and every node's count is summed over its stretch of leaves.
+    A group is sorted as a whole, and every node's count is summed over its stretch of leaves.
     """
 
     def counted(cols, f, depth):
@@ -276,29 +282,24 @@ def subtrees(rows: DataFrame, groups: int, least: int = LEAST, budget: int = BUD
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(found.ravel())), pa.array(totals[good])], ["numbers", "f"])
 
     def walk(batches):
-        parts, size, last = [], 0, None
+        parts, now = [], None
 
         def done():
-            return counted(*(np.concatenate(x) for x in zip(*parts)))
+            table = np.concatenate(parts, axis=1)
+            return counted(np.ascontiguousarray(table[:LONGEST].T), table[LONGEST].astype(np.int64), table[LONGEST + 1])
 
         for b in batches:
             for i in range(b.num_rows):
-                head = b.column("head")[i].as_py()
-                if head != last and size >= budget:
+                group = b.column("group")[i].as_py()
+                if parts and group != now:
                     yield from done()
-                    parts, size = [], 0
-                last, numbers = head, _numbers(head)
-                d = len(numbers)
-                rest = np.frombuffer(b.column("rest")[i].as_py(), np.int32).reshape(LONGEST - d + 1, -1)
-                cols = np.empty((rest.shape[1], LONGEST), np.int32)
-                cols[:, :d], cols[:, d:] = numbers, rest[:-1].T
-                parts.append((cols, rest[-1].astype(np.int64), np.full(len(cols), d, np.int8)))
-                size += len(cols)
+                    parts = []
+                now = group
+                parts.append(unplanes(b.column("part")[i].as_py(), "int32").reshape(LONGEST + 2, -1))
         if parts:
             yield from done()
 
-    dealt = rows.repartition(groups, "head").sortWithinPartitions("head")
-    return dealt.mapInArrow(walk, "numbers array<int>, f bigint")
+    return rows.repartition(groups, "group").sortWithinPartitions("group").mapInArrow(walk, "numbers array<int>, f bigint")
 
 
 def _shared(spark: SparkSession, value):
@@ -329,23 +330,25 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     told = [_shared(spark, bits)]
     frequent = told[0]
 
-    def cut(only: int | None = None) -> DataFrame:
+    def known() -> Callable[[], dict]:
         told.append(_shared(spark, dict(heavy)))
-        known = told[-1]
-        return suffixes(coded, lambda: frequent.value, lambda: known.value, only)
+        sent = told[-1]
+        return lambda: sent.value
 
     counted = []
     if crowded:
         heavy[2] = np.array(sorted(crowded))
-        counted.append(store(prefix_counts(cut(2)).where(F.col("f") >= least), "prefixes"))
+        pairs = prefix_counts(coded, lambda: frequent.value, known(), 2)
+        counted.append(store(pairs.where(F.col("f") >= least), "prefixes"))
         for depth in range(3, LONGEST):
-            longer = store(prefix_counts(cut(depth)).where(F.col("f") > most), "prefixes")
+            longer = store(prefix_counts(coded, lambda: frequent.value, known(), depth).where(F.col("f") > most), "prefixes")
             found = longer.collect()  # at most HEAVY, as all together are at most HEAVY times ``most``
             if not found:
                 break
             counted.append(longer)
             heavy[depth] = np.array([_numbers(bytes(r.head)) for r in found])
-    nodes = store(subtrees(cut(), max(1, -(-every // most)), least, most), "nodes")
+    groups = max(1, -(-every // most))
+    nodes = store(subtrees(suffixes(coded, lambda: frequent.value, known(), groups), groups, least), "nodes")
     for b in told:
         b.destroy()
     numbers = F.expr("transform(sequence(1, octet_length(head) - 3, 4), i -> cast(conv(hex(substring(head, i, 4)), 16, 10) AS int))")
