@@ -92,6 +92,38 @@ def _(spark, d):
     )
 
 
+def phase_files(spark, d):
+    """Numbered lines of one text file per share of the logs, in the order of the logs."""
+    root = scratch(spark, "log-files")
+    logs = t.logs(spark, d).select((F.col("log") % 20).cast("int").alias("phase"), "log", "text")
+    logs.repartition("phase").sortWithinPartitions("phase", "log").drop("log").write.partitionBy("phase").text(root)
+    rows = do.read_log_lines(spark, f"{root}/phase=*")
+    return rows.withColumn("log", F.regexp_extract("folder", r"phase=(\d+)$", 1).cast("int"))
+
+
+PHASE_LINES = """
+    SELECT CAST(log % 20 AS INTEGER) AS phase, line, row_number() OVER (PARTITION BY log % 20 ORDER BY log, i) AS line_no, count(*) OVER (PARTITION BY log % 20) AS n
+    FROM (SELECT log, unnest(string_split(text, E'\\n')) AS line, generate_subscripts(string_split(text, E'\\n'), 1) AS i FROM logs)"""
+
+
+@query("read_log_lines", f"""
+    SELECT phase, count(*) AS n_lines, max(line_no) AS last_line, sum(strlen(line))::BIGINT AS n_bytes, sum(line_no * strlen(line))::BIGINT AS placed,
+           sum(line_no) FILTER (contains(line, 'start of run'))::BIGINT AS starts FROM ({PHASE_LINES}) GROUP BY phase""")
+def _(spark, d):
+    size = F.octet_length("line").cast("bigint")
+    return phase_files(spark, d).groupBy(F.col("log").alias("phase")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line"), F.sum(size).alias("n_bytes"), F.sum(F.col("line_no") * size).alias("placed"),
+        F.sum(F.when(F.col("line").contains("start of run"), F.col("line_no"))).alias("starts"),
+    )
+
+
+@query("log_files_head_tail", f"""
+    SELECT phase AS log, 'head' AS part, line_no, line FROM ({PHASE_LINES}) WHERE line_no <= 10
+    UNION ALL SELECT phase, 'tail', line_no, line FROM ({PHASE_LINES}) WHERE line_no > n - 35""")
+def _(spark, d):
+    return do.lines_head_tail(phase_files(spark, d), 10, 35)
+
+
 # ---------------------------------------------------------------- experiments
 
 

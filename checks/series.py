@@ -10,9 +10,11 @@ from checks.views import HOUR
 from tapeworks.operators import bars as ba
 from tapeworks.operators import cube as cu
 from tapeworks.operators import features as fe
+from tapeworks.operators import market as mk
+from tapeworks.operators import orders as od
 from tapeworks.operators import splits as sp
 from tapeworks.sources import candles as ca
-from tapeworks.operators.load import load_bars
+from tapeworks.operators.load import growing_bars, load_bars
 from tapeworks.sources.prepared import prepared, source_version
 
 OHLCV = "open high low close volume"
@@ -425,3 +427,80 @@ def _(spark, d):
            max(open_time) AS last_time FROM ({FOLDS}) GROUP BY fold, split""")
 def _(spark, d):
     return sp.split_summary(folds(spark, d), ["fold", "split"])
+
+
+# ---------------------------------------------------------------- several widths, risk, market, votes
+
+WIDTHS = [15, 60, 240]
+MULTI = " UNION ALL ".join(f"""
+    SELECT {m} AS minutes, symbol, open_time - open_time % {m * 60_000_000} AS bucket, max(open_time) AS open_time, first(open ORDER BY open_time, seq) AS open,
+           max(high) AS high, min(low) AS low, last(close ORDER BY open_time, seq) AS close, sum(volume) AS volume
+    FROM ticks GROUP BY symbol, open_time - open_time % {m * 60_000_000}""" for m in WIDTHS)
+
+
+@query("bars_multi", MULTI, OHLCV)
+def _(spark, d):
+    return ba.resample_many(t.ticks(spark, d), WIDTHS, tie="seq")
+
+
+RETURNS = "(SELECT symbol, bucket, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bucket), 0) - 1, 0) AS return_1 FROM bars)"
+
+
+@query("rolling_risk", f"""
+    SELECT symbol, bucket, return_1, n, CASE WHEN n >= 2 THEN mean END AS mean_return, CASE WHEN n >= 2 AND std > 1e-12 THEN mean / std END AS sharpe,
+           CASE WHEN n >= 2 AND down > 0 THEN mean / sqrt(down / n) END AS sortino
+    FROM (SELECT *, count(return_1) OVER w AS n, avg(return_1) OVER w AS mean, stddev_samp(return_1) OVER w AS std,
+                 sum(least(return_1, 0) * least(return_1, 0)) OVER w AS down
+          FROM {RETURNS} WINDOW w AS (PARTITION BY symbol ORDER BY bucket RANGE BETWEEN {DAY_US - 1} PRECEDING AND CURRENT ROW))""",
+       "return_1 mean_return sharpe sortino")
+def _(spark, d):
+    rows = fe.add_features(t.bars(spark, d)).select("symbol", "bucket", "return_1")
+    return mk.rolling_risk(rows)
+
+
+LEADERS = ["click", "view"]
+
+
+@query("market_proxy", f"""
+    WITH r AS (SELECT symbol, bucket, close, CASE WHEN close > 0 AND {PREV} > 0 THEN ln(close / {PREV}) ELSE 0 END AS log_return_1 FROM bars),
+         m AS (SELECT bucket AS at, avg(log_return_1) AS market_value, count(*) AS market_members FROM r WHERE symbol IN ('click', 'view') GROUP BY bucket)
+    SELECT symbol, bucket, close, log_return_1, CASE WHEN bucket - at <= 3 * {HOUR} THEN market_value END AS market_value,
+           CASE WHEN bucket - at <= 3 * {HOUR} THEN market_members END AS market_members,
+           CASE WHEN bucket - at <= 3 * {HOUR} THEN log_return_1 - market_value END AS market_excess
+    FROM r ASOF LEFT JOIN m ON r.bucket >= m.at""", "close log_return_1 market_value market_excess")
+def _(spark, d):
+    rows = fe.add_features(t.bars(spark, d)).select("symbol", "bucket", "close", "log_return_1")
+    return mk.market_proxy(rows, LEADERS, tolerance=3 * HOUR)
+
+
+@query("majority_vote", """
+    WITH v AS (SELECT step, CAST(trunc(greatest(0, least(a1, 4))) AS INTEGER) AS symbol, CAST(trunc(greatest(0, least(a0_legacy, 2))) AS INTEGER) AS action FROM decisions),
+         c AS (SELECT step, symbol, action, count(*) AS k FROM v GROUP BY step, symbol, action),
+         r AS (SELECT *, row_number() OVER (PARTITION BY step, symbol ORDER BY k DESC, action) AS r, sum(k) OVER (PARTITION BY step, symbol)::BIGINT AS votes FROM c),
+         b AS (SELECT step, symbol, votes, max(CASE WHEN r = 1 THEN action END) AS leading_action, max(CASE WHEN r = 1 THEN k END) AS leading_votes,
+                      coalesce(max(CASE WHEN r = 2 THEN k END), 0) AS runner_up FROM r GROUP BY step, symbol, votes)
+    SELECT *, 10 * leading_votes >= 6 * votes AS agreed, CASE WHEN 10 * leading_votes >= 6 * votes THEN leading_action ELSE 0 END AS action FROM b""")
+def _(spark, d):
+    rows = od.decode_legacy(t.decisions(spark, d).withColumn("a0", F.col("a0_legacy")), 5)
+    return mk.majority_vote(rows.select("step", F.col("symbol_idx").alias("symbol"), "action"))
+
+
+GROWN = ["log_close", "return_1", "range_pct", "volume_log", "volume_z"]
+
+
+@query("growing_bars", f"""
+    SELECT symbol, bucket, open_time, open, high, low, close, volume, ln(1 + greatest(close, 1e-9)) AS log_close,
+           coalesce(close / nullif({PREV}, 0) - 1, 0) AS return_1, coalesce((high - low) / nullif(close, 0), 0) AS range_pct, ln(1 + greatest(volume, 0)) AS volume_log,
+           CASE WHEN count(*) OVER w >= 3 AND stddev_pop(volume) OVER w > 1e-9 THEN (volume - avg(volume) OVER w) / stddev_pop(volume) OVER w ELSE 0 END AS volume_z
+    FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", f"{OHLCV} {' '.join(GROWN)}")
+def _(spark, d):
+    """Three deliveries of candle files: three weeks, then a few late rows with the next days, then the rest."""
+    root = scratch(spark, "growing")
+    rows = t.ticks(spark, d)
+    day = t.div(F.col("open_time") - 1_704_067_200_000_000, DAY_US)
+    late = (day == 20) & (F.col("seq") % 97 == 0)
+    part = F.when(day < 21, F.when(late, 1).otherwise(0)).when(day < 25, 1).otherwise(2)
+    for i in range(3):
+        rows.where(part == i).write.mode("append").parquet(f"{root}/in")
+        grown = growing_bars(spark, f"{root}/in", f"{root}/kept", 60, GROWN, "seq")
+    return grown

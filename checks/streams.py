@@ -18,14 +18,19 @@ LATE = "epoch_us(ts) < epoch_us(TIMESTAMP '2024-01-06') AND event_id % 97 = 0"
 
 
 def event_stream(spark, d, root):
-    """The events in slices of five days, a file and a micro-batch each; some rows of the first come with the fourth."""
+    """The events in slices of five days, a micro-batch each; some rows of the first come with the fourth.
+
+    A slice is written by many tasks, each its own file; all slices have the same number of files.
+    """
     rows = t.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
     own = F.greatest(F.lit(0), F.least(F.floor(day / DAYS), F.lit(SLICES - 1)))
     rows = rows.withColumn("_slice", F.when((day < DAYS) & (F.col("event_id") % 97 == 0), 3).otherwise(own))
-    for i in range(SLICES):
-        rows.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return st.stream_table(spark, f"{root}/in", files_per_batch=1)
+    least = min(r["count"] for r in rows.groupBy("_slice").count().collect())
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), least // 40))
+    for i in range(SLICES):  # rows are dealt in turn, so no file is empty
+        rows.where(F.col("_slice") == i).drop("_slice").repartition(files).write.mode("append").parquet(f"{root}/in")
+    return st.stream_table(spark, f"{root}/in", files_per_batch=files)
 
 
 BARS = """
@@ -73,20 +78,37 @@ def finish(writer, root):
     writer.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-@query("stream_series_cap", """
-    SELECT run, key, step, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY pos DESC) AS r FROM telemetry
-    WHERE value IS NOT NULL) WHERE r <= 8""", "value")
-def _(spark, d):
+def capped_series(spark, d, run, most):
     root = scratch(spark, "stream-series")
     k = t.props_k()
     value = F.when(k % 10 == 0, F.lit(None)).when(k % 10 == 1, 0.0).otherwise(F.col("value"))
     points = event_stream(spark, d, root).select(
-        F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run"), F.col("event_type").alias("key"),
+        run.alias("run"), F.col("event_type").alias("key"),
         F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint").alias("step"),
         F.col("event_id").alias("pos"), value.alias("value"),
     )
-    finish(st.stream_series_cap(points, f"{root}/changes", 8), root)
-    return st.read_changes(spark, f"{root}/changes", points.schema, ["run", "key"])
+    finish(st.stream_series_cap(points, f"{root}/changes", most, compact_every=2), root)
+    return st.read_series(spark, f"{root}/changes", most)
+
+
+def user_run():
+    return F.concat(F.lit("run-"), F.col("user_id").cast("string"))
+
+
+@query("stream_series_cap", """
+    SELECT run, key, step, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY pos DESC) AS r FROM telemetry
+    WHERE value IS NOT NULL) WHERE r <= 8""", "value")
+def _(spark, d):
+    return capped_series(spark, d, user_run(), 8)
+
+
+@query("stream_series_hot", """
+    SELECT run, key, step, pos, value FROM (
+      SELECT * REPLACE (CASE WHEN pos % 3 = 0 THEN 'hot' ELSE run END AS run), row_number() OVER (PARTITION BY CASE WHEN pos % 3 = 0 THEN 'hot' ELSE run END, key ORDER BY pos DESC) AS r
+      FROM telemetry WHERE value IS NOT NULL) WHERE r <= 500""", "value")
+def _(spark, d):
+    """One run holds a third of all points."""
+    return capped_series(spark, d, F.when(F.col("event_id") % 3 == 0, "hot").otherwise(user_run()), 500)
 
 
 def state_files(spark, d, root):

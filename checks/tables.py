@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from tapeworks.operators import equity as eq
 from tapeworks.operators import experiments as ex
 from tapeworks.operators.bars import MINUTE, resample
-from tapeworks.operators.cube import symbol_index, tail_align
+from tapeworks.operators.cube import tail_align
 from tapeworks.operators.fills import lots as rebuild_lots
 from tapeworks.operators.fills import realized, size_buy
 from tapeworks.operators.telemetry import align_series, dedup_step
 from tapeworks.plans.medians import medians
-from tapeworks.plans.series import CHUNK, number_rows, settle
+from tapeworks.plans.series import CHUNK, number_rows
 
 FEE = 0.001
 TRADE_FEE = 1 / 900
@@ -88,7 +88,7 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(
         F.col("user_id").alias("run"), "event_id", "event_type", "value", props_k().alias("k"), "ts"
     )
-    return number_rows(rows, ["run"], "event_id", name="step")
+    return number_rows(rows, ["run"], "event_id", name="step", total="last_step")
 
 
 def decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def all_fills(spark: SparkSession, d: str) -> DataFrame:
     )
     pct = F.when(k % 4 == 0, 1.0).when(k % 4 == 1, 0.25).when(k % 4 == 2, 0.5).otherwise(0.75)
     return steps(spark, d).select(
-        "run", "step", (k % 3).alias("sym"), side.alias("side"), pct.alias("pct"),
+        "run", "step", "last_step", (k % 3).alias("sym"), side.alias("side"), pct.alias("pct"),
         (F.col("value") + 8 / 7).alias("price"), (4 + k).cast("double").alias("cash"),
     )
 
@@ -123,12 +123,7 @@ def fills(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lots(spark: SparkSession, d: str) -> DataFrame:
-    return rebuild_lots(fills(spark, d), carry=["amount"])
-
-
-def settled_lots(spark: SparkSession, d: str) -> DataFrame:
-    """Lots for queries that read them several times."""
-    return settle(lots(spark, d))
+    return rebuild_lots(fills(spark, d), carry=["amount", "last_step"])
 
 
 def lot_pnl(spark: SparkSession, d: str) -> DataFrame:
@@ -142,22 +137,29 @@ def lot_pnl(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def cash_flow(spark: SparkSession, d: str, taken: DataFrame | None = None) -> DataFrame:
-    delta = F.when(F.col("side") == "buy", -F.col("amount")).otherwise(F.col("qty") * F.col("price") * (1 - FEE))
-    moved = (taken if taken is not None else lots(spark, d)).select("run", "step", delta.alias("_delta"))
+def cash_delta() -> Column:
+    return F.when(F.col("side") == "buy", -F.col("amount")).otherwise(F.col("qty") * F.col("price") * (1 - FEE))
+
+
+def cash_flow(spark: SparkSession, d: str) -> DataFrame:
+    moved = lots(spark, d).select("run", "step", cash_delta().alias("_delta"))
     rows = steps(spark, d).select("run", "step").join(moved, ["run", "step"], "left")
     return rows.select("run", "step", F.coalesce(F.col("_delta"), F.lit(0.0)).alias("cash_delta"))
 
 
-def segments(spark: SparkSession, d: str, taken: DataFrame | None = None) -> DataFrame:
-    last = table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("last_step"))
-    return eq.holdings(taken if taken is not None else lots(spark, d), last)
+def run_steps(spark: SparkSession, d: str) -> DataFrame:
+    return eq.run_steps(table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.count(F.lit(1)).alias("last_step")))
+
+
+def moves(spark: SparkSession, d: str) -> DataFrame:
+    return eq.holdings(lots(spark, d), cash_delta())
 
 
 def run_prices(spark: SparkSession, d: str) -> DataFrame:
     """``sym, step, close``: aligned prices by symbol index."""
     rows = aligned(spark, d)
-    return rows.join(symbol_index(rows), "symbol").select(F.col("idx").alias("sym"), "step", "close")
+    names = table(spark, d, "events").agg(F.array_sort(F.collect_set("event_type"))).scalar()
+    return rows.select((F.array_position(names, F.col("symbol")) - 1).cast("int").alias("sym"), "step", "close")
 
 
 def equity(spark: SparkSession, d: str) -> DataFrame:

@@ -103,10 +103,10 @@ def redirect(name, mode, order):
     FROM asks a LEFT JOIN chosen c ON a.run = c.run AND a.step = c.step""")
     def _(spark, d):
         asks = od.decode_inventory(t.decisions(spark, d), 5).select("run", "step", "action", "symbol_idx")
-        held = eq.held_at_steps(t.segments(spark, d, t.settled_lots(spark, d))).join(t.run_prices(spark, d), ["sym", "step"])
+        held = eq.held_values(t.moves(spark, d), t.run_prices(spark, d)).where(F.col("close").isNotNull())
         positions = held.select(
             "run", (F.col("step") + 1).alias("step"), F.col("sym").alias("symbol_idx"), "entry_step",
-            (F.col("qty") * F.col("close")).alias("notional"),
+            (F.col("held") * F.col("close")).alias("notional"),
         )
         return od.sell_redirect(asks, positions, mode).select("run", "step", "action", "redirected", "symbol_idx")
 
@@ -234,6 +234,32 @@ def _(spark, d):
     return t.lots(spark, d).select("run", "sym", "step", "side", "lot", "entry_step", "entry_price", "qty0", "qty", "remaining")
 
 
+DUST = 0.02
+
+WALK = f"""
+    ordered AS (SELECT run, sym, step, side, pct, price, qty, row_number() OVER (PARTITION BY run, sym ORDER BY step) AS i FROM fills),
+    walk AS (
+      SELECT DISTINCT run, sym, 0::BIGINT AS i, NULL::BIGINT AS step, NULL::VARCHAR AS side, false AS held, false AS taken, 0::BIGINT AS lot,
+             NULL::BIGINT AS entry_step, NULL::DOUBLE AS entry_price, NULL::DOUBLE AS qty0, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS remaining, false AS closed FROM fills
+      UNION ALL
+      SELECT run, sym, i, step, side, CASE WHEN side = 'buy' THEN true WHEN NOT held THEN false ELSE NOT (pct >= 1 OR remaining - sold < {DUST}) END,
+             CASE WHEN side = 'buy' THEN NOT held ELSE held END, CASE WHEN opens THEN lot + 1 ELSE lot END,
+             CASE WHEN opens THEN step ELSE entry_step END, CASE WHEN opens THEN price ELSE entry_price END, CASE WHEN opens THEN q ELSE qty0 END,
+             CASE WHEN side = 'buy' THEN q ELSE sold END, CASE WHEN opens THEN q WHEN side = 'buy' THEN remaining ELSE remaining - sold END,
+             side = 'sell' AND held AND (pct >= 1 OR remaining - sold < {DUST})
+      FROM (SELECT w.run, w.sym, o.i, o.step, o.side, o.pct, o.price, o.qty AS q, w.held, w.lot, w.entry_step, w.entry_price, w.qty0, w.remaining,
+                   o.side = 'buy' AND NOT w.held AS opens, CASE WHEN o.pct >= 1 THEN w.remaining ELSE w.remaining * o.pct END AS sold
+            FROM walk w JOIN ordered o ON o.run = w.run AND o.sym = w.sym AND o.i = w.i + 1))"""
+
+
+@query("lots_exact", "SELECT run, sym, step, side, lot, entry_step, entry_price, qty0, qty, remaining, closed FROM walk WHERE taken",
+       "entry_price qty0 qty remaining", WALK)
+def _(spark, d):
+    rows = fi.exact_lots(t.fills(spark, d), dust=DUST)
+    closed = (F.col("side") == "sell") & ((F.col("pct") >= 1) | F.col("dust"))
+    return rows.select("run", "sym", "step", "side", "lot", "entry_step", "entry_price", "qty0", "qty", "remaining", closed.alias("closed"))
+
+
 @query("realized_pnl", """
     SELECT run, sym, step, gross, fee_paid, gross - fee_paid AS proceeds, realized_pnl, (price - entry_price) / entry_price AS return_pct
     FROM lot_pnl WHERE side = 'sell'""", "gross fee_paid proceeds realized_pnl return_pct")
@@ -370,9 +396,7 @@ def _(spark, d):
       FROM held h JOIN (SELECT idx, step, close FROM aligned JOIN symbol_ids USING (symbol)) p ON p.idx = h.sym AND p.step = h.step
       GROUP BY run, h.step) m ON c.run = m.run AND c.step = m.step""", "cash position_value portfolio_value")
 def _(spark, d):
-    taken = t.settled_lots(spark, d)
-    cash = eq.running_cash(t.cash_flow(spark, d, taken))
-    return eq.mark_to_market(cash, t.segments(spark, d, taken), t.run_prices(spark, d))
+    return eq.mark_to_market(t.run_steps(spark, d), t.moves(spark, d), t.run_prices(spark, d))
 
 
 @query("peak_drawdown", "SELECT run, step, peak_before, peak, drawdown, step_drawdown FROM dd", "peak_before peak drawdown step_drawdown")

@@ -14,11 +14,6 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def last_match(text: Column, pattern: str, group: int) -> Column:
-    """Group of the last match, null if there is none."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
-
-
 def last_line(text: Column, wanted) -> Column:
     """Last line for which ``wanted(line)`` holds, trimmed; null if there is none."""
     return F.trim(F.try_element_at(F.filter(lines(text), wanted), F.lit(-1)))

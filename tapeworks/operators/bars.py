@@ -7,6 +7,7 @@ combine: a hot symbol or a hot bucket shrinks before it is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import gcd
 
 from pyspark.sql import Column, DataFrame
@@ -77,6 +78,47 @@ def resample(candles: DataFrame, minutes: int, tie: str | None = None) -> DataFr
     return drop_empty(bars.withColumn("volume", F.coalesce("volume", F.lit(0.0))))
 
 
+def resample_many(candles: DataFrame, minutes: Sequence[int], tie: str | None = None) -> DataFrame:
+    """Bars of several widths at once: :func:`resample` of each, with a column ``minutes``.
+
+    The candles are read and shuffled once, into bars of the greatest width that divides
+    all others and a day.  These carry what decides between first and last values, so
+    every width is merged from them.
+    """
+    if not minutes or min(int(m) for m in minutes) < 1:
+        raise ValueError("widths are at least one minute")
+    widths = sorted({int(m) for m in minutes})
+    fine = gcd(DAY, *[m * MINUTE for m in widths])
+    at = _order_key(tie)
+    opened, closed = not_nan(F.col("open")), not_nan(F.col("close"))
+    opens, closes = F.when(opened.isNotNull(), at), F.when(closed.isNotNull(), at)
+    base = candles.groupBy("symbol", (F.col("open_time") - F.pmod(F.col("open_time"), F.lit(fine))).alias("_start")).agg(
+        F.min_by(opened, opens).alias("open"), F.min(opens).alias("_opens"),
+        F.max_by(closed, closes).alias("close"), F.max(closes).alias("_closes"),
+        F.max(not_nan(F.col("high"))).alias("high"), F.min(not_nan(F.col("low"))).alias("low"),
+        F.sum(not_nan(F.col("volume"))).alias("volume"), F.max("open_time").alias("open_time"),
+    )
+    whole = [m for m in widths if DAY % (m * MINUTE) == 0]
+    odd = [m for m in widths if m not in whole]
+    length = F.col("minutes").cast("bigint") * F.lit(MINUTE)
+
+    def merged(rows: DataFrame, sizes: list[int], origin: Column) -> DataFrame:
+        wide = rows.withColumn("minutes", F.explode(F.array(*[F.lit(m) for m in sizes])))
+        bucket = F.col("_start") - F.pmod(F.col("_start") - origin, length)
+        bars = wide.groupBy("symbol", "minutes", bucket.alias("bucket")).agg(
+            F.max("open_time").alias("open_time"), F.min_by("open", "_opens").alias("open"), F.max("high").alias("high"),
+            F.min("low").alias("low"), F.max_by("close", "_closes").alias("close"), F.sum("volume").alias("volume"),
+        )
+        return drop_empty(bars.withColumn("volume", F.coalesce("volume", F.lit(0.0))))
+
+    parts = [merged(base, whole, F.lit(0))] if whole else []
+    if odd:
+        first = base.groupBy("symbol").agg(F.min("_start").alias("_first"))
+        day = F.col("_first") - F.pmod(F.col("_first"), F.lit(DAY))
+        parts.append(merged(base.join(first, "symbol"), odd, day))
+    return union_symbols(*parts)
+
+
 def drop_empty(bars: DataFrame) -> DataFrame:
     """Buckets without a close go; missing buckets are not filled in."""
     return bars.where(not_nan(F.col("close")).isNotNull())

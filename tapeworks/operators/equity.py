@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.numeric import ratio
+from tapeworks.functions.numeric import floor_div, ratio
 from tapeworks.operators.fills import INITIAL_CASH
-from tapeworks.plans.series import CHUNK, Fold, number_rows, running, top_k, with_halo
+from tapeworks.plans.series import CHUNK, UNBOUNDED, Fold, attach, chunked, number_rows, running, summarize, top_k, with_halo
+
+#: Steps of a packed array of prices.
+PIECE = 256
 
 # Defaults of the reward terms.
 MAX_DRAWDOWN = 0.20
@@ -35,51 +38,94 @@ def running_cash(events: DataFrame, initial_cash: float = INITIAL_CASH, width: i
     return rows.withColumn("cash", F.lit(float(initial_cash)) + F.col("cash"))
 
 
-def holdings(lot_events: DataFrame, last_step: DataFrame, width: int = CHUNK) -> DataFrame:
-    """Segments of constant quantity: ``run, sym, lot, entry_step, from_step, to_step, qty``.
+def holdings(lot_events: DataFrame, cash_delta: Column) -> DataFrame:
+    """Lot events as ``run, sym, lot, entry_step, step, to_step, held, cash_delta``.
 
-    A segment starts at a buy or a partial sell and ends just before the next
-    event of its ``(run, sym)``, or at the run's last step (``run, last_step``).
+    ``held`` is what is held from the step of the event until just before the next event of
+    its ``(run, sym)``, or up to the run's ``last_step``; null where nothing is.
     """
-    nxt = running(
-        lot_events, ["run", "sym"], "step", {"_next": Fold("last", F.col("step"), False, True)}, width
+    open_ = (F.col("remaining") > 0) & ~((F.col("side") == "sell") & (F.col("pct") >= 1.0))
+    return lot_events.select(
+        "run", "sym", "lot", "entry_step", F.col("step").cast("bigint").alias("step"),
+        F.when(open_, F.coalesce(F.col("next_step") - 1, F.col("last_step"))).cast("bigint").alias("to_step"),
+        F.when(open_, F.col("remaining")).alias("held"), cash_delta.alias("cash_delta"),
     )
-    open_ = nxt.where((F.col("remaining") > 0) & ~((F.col("side") == "sell") & (F.col("pct") >= 1.0)))
-    ended = open_.where(F.col("_next").isNotNull()).withColumn("to_step", F.col("_next") - 1)
-    tail = open_.where(F.col("_next").isNull()).join(last_step, "run").withColumnRenamed("last_step", "to_step")
-    columns = [
-        "run", "sym", "lot", "entry_step", F.col("step").alias("from_step"), "to_step",
-        F.col("remaining").alias("qty"),
-    ]
-    return ended.select(*columns).unionByName(tail.select(*columns))
 
 
-def held_at_steps(segments: DataFrame) -> DataFrame:
-    """One row per ``(run, step)`` and open position: the sum of held steps, not runs x steps x symbols."""
-    return segments.select(
-        "run", "sym", "lot", "entry_step", "qty", F.explode(F.sequence("from_step", "to_step")).alias("step")
-    )
+def _priced_pieces(moves: DataFrame, prices: DataFrame, size: int) -> DataFrame:
+    """``moves`` in pieces of at most ``size`` steps, each with the prices of its piece.
+
+    Prices are packed into one array per ``(sym, piece)``, null where a step has none, so a
+    holding meets a few arrays in an equi-join instead of a row per step.  The first piece
+    of a move carries its cash.
+    """
+    def fill(acc: Column, x: Column) -> Column:
+        gap = F.pmod(x["step"], F.lit(size)) - F.size(acc)
+        return F.concat(acc, F.array_repeat(F.lit(None).cast("double"), gap.cast("int")), F.array(x["close"]))
+
+    path = F.array_sort(F.collect_list(F.struct(F.col("step").cast("bigint").alias("step"), F.col("close").cast("double").alias("close"))))
+    packed = prices.groupBy("sym", floor_div(F.col("step"), size).alias("_piece")).agg(path.alias("_path"))
+    packed = packed.select("sym", "_piece", F.aggregate("_path", F.array().cast("array<double>"), fill).alias("_closes"))
+    own = floor_div(F.col("step"), size)
+    last = F.greatest(own, floor_div(F.col("to_step"), size))
+    cut = moves.withColumn("_piece", F.explode(F.sequence(own, F.coalesce(last, own))))
+    start = F.col("_piece") * size
+    cut = cut.withColumns({"_start": start, "_from": F.greatest(F.col("step"), start), "_to": F.when(F.col("to_step").isNotNull(), F.least(F.col("to_step"), start + size - 1))})
+    return cut.join(packed, ["sym", "_piece"], "left")
 
 
-def mark_to_market(cash: DataFrame, segments: DataFrame, prices: DataFrame) -> DataFrame:
-    """``run, step, cash, n_positions, position_value, portfolio_value`` for every row of ``cash``.
+def held_values(moves: DataFrame, prices: DataFrame, size: int = PIECE) -> DataFrame:
+    """``run, sym, entry_step, step, held, close``: a row per step and open position."""
+    rows = _priced_pieces(moves.where(F.col("held").isNotNull()), prices, size)
+    at = rows.where(F.col("_from") <= F.col("_to")).withColumn("step", F.explode(F.sequence("_from", "_to")))
+    return at.select("run", "sym", "entry_step", "step", "held", F.get("_closes", (F.col("step") - F.col("_start")).cast("int")).alias("close"))
+
+
+def run_steps(sizes: DataFrame, width: int = CHUNK) -> DataFrame:
+    """``run, step`` for the steps 1 to ``last_step`` of every run, made in chunks of ``width``."""
+    chunks = sizes.select("run", "last_step", F.explode(F.sequence(F.lit(0).cast("bigint"), floor_div(F.col("last_step") - 1, width))).alias("_c"))
+    first, last = F.col("_c") * width + 1, F.least(F.col("last_step"), (F.col("_c") + 1) * width)
+    return chunks.select("run", F.explode(F.sequence(first, last)).alias("step"))
+
+
+def mark_to_market(
+    steps: DataFrame, moves: DataFrame, prices: DataFrame, initial_cash: float = INITIAL_CASH, width: int = CHUNK, size: int = PIECE
+) -> DataFrame:
+    """``run, step, cash, n_positions, position_value, portfolio_value`` for every row of ``steps(run, step)``.
 
-    ``prices(sym, step, close)``; steps without a price leave the value null.
+    ``moves`` are :func:`holdings`, ``prices(sym, step, close)``; steps without a price leave
+    the value null.  Steps, cash and held values meet in one shuffle by run and chunk of
+    steps, where the cash is summed as well.
     """
-    valued = held_at_steps(segments).join(prices, ["sym", "step"], "left")
-    worth = valued.groupBy("run", "step").agg(
-        F.count(F.lit(1)).alias("n_positions"),
-        F.sum(F.col("qty") * F.col("close")).alias("_value"),
-        F.count_if(F.col("close").isNull()).alias("_unpriced"),
+    rows = _priced_pieces(moves, prices, size)
+    part = F.struct  # step, cash, how many are held, their value, and how many have no price
+    none = F.lit(None).cast("double")
+    price = F.get("_closes", (F.col("_at") - F.col("_start")).cast("int"))
+    spans = F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to")).otherwise(F.array().cast("array<bigint>"))
+    spent = F.when(F.col("_from") == F.col("step"), F.array(part(F.col("step").alias("_at"), F.col("cash_delta").alias("cash"), F.lit(False).alias("held")))).otherwise(
+        F.array().cast("array<struct<_at:bigint,cash:double,held:boolean>>"))
+    spans = F.transform(spans, lambda x: part(x.alias("_at"), none.alias("cash"), F.lit(True).alias("held")))
+    events = rows.select("run", "held", "_start", "_closes", F.inline(F.concat(spent, spans).cast("array<struct<_at:bigint,cash:double,is_held:boolean>>")))
+    events = events.select(
+        "run", F.col("_at").alias("step"), F.col("cash").alias("_cash"), F.when(F.col("is_held"), price * F.col("held")).alias("_worth"),
+        F.col("is_held").cast("int").alias("_n"), (F.col("is_held") & price.isNull()).cast("int").alias("_unpriced"), F.lit(0).alias("_asked"),
     )
-    rows = cash.join(worth, ["run", "step"], "left")
-    value = F.when(F.coalesce(F.col("_unpriced"), F.lit(0)) == 0, F.coalesce(F.col("_value"), F.lit(0.0)))
-    return rows.select(
-        "run", "step", "cash",
-        F.coalesce(F.col("n_positions"), F.lit(0)).alias("n_positions"),
-        value.alias("position_value"),
-        (F.col("cash") + value).alias("portfolio_value"),
+    asked = steps.select("run", F.col("step").cast("bigint").alias("step"), none.alias("_cash"), none.alias("_worth"), *[F.lit(v).alias(n) for n, v in (("_n", 0), ("_unpriced", 0), ("_asked", 1))])
+    every = chunked(asked.unionByName(events), ["run"], floor_div(F.col("step"), width))
+    columns = ["run", "step", "_cash", "_worth", "_n", "_unpriced", "_asked"]
+    chunk = ["run", "_chunk"]
+    moved = summarize(every, chunk, [F.sum("_cash").alias("_moved")], columns)
+    before = Window.partitionBy("run").orderBy("_chunk").rowsBetween(UNBOUNDED, -1)
+    carried = moved.select(*chunk, "_touch", F.coalesce(F.sum("_moved").over(before), F.lit(0.0)).alias("_carried"))
+    at = every.groupBy(*chunk, "step").agg(
+        F.coalesce(F.sum("_cash"), F.lit(0.0)).alias("_cash"), F.sum("_n").alias("n_positions"), F.coalesce(F.sum("_worth"), F.lit(0.0)).alias("_worth"),
+        F.sum("_unpriced").alias("_unpriced"), F.max("_asked").alias("_asked"), F.bit_xor(F.xxhash64(*columns)).alias("_seen"),
     )
+    so_far = Window.partitionBy(*chunk).orderBy("step").rowsBetween(UNBOUNDED, 0)
+    at = attach(at.withColumn("_so_far", F.sum("_cash").over(so_far)), carried, chunk).where((F.col("_asked") == 1) & F.col("_seen").isNotNull())
+    cash = F.lit(float(initial_cash)) + F.col("_carried") + F.col("_so_far")
+    value = F.when(F.col("_unpriced") == 0, F.col("_worth"))
+    return at.select("run", "step", cash.alias("cash"), "n_positions", value.alias("position_value"), (cash + value).alias("portfolio_value"))
 
 
 def drawdown(equity: DataFrame, initial_cash: float = INITIAL_CASH, width: int = CHUNK) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import parse_double, safe_float
-from tapeworks.functions.text import last_line, last_match, lines
+from tapeworks.functions.text import last_line, lines
 from tapeworks.plans.medians import medians
 from tapeworks.plans.series import number_rows, top_k
 
@@ -33,13 +33,19 @@ TAG_OPTIONS = {
 
 
 def scrape_summary(logs: DataFrame, text: str = "text") -> DataFrame:
-    """Metrics of the last validation and test summary in each log; 0 where there is none."""
-    found = []
-    for split in ("Val", "Test"):
-        for group, name in enumerate(("trades", "win_rate_pct", "return_pct"), 1):
-            raw = last_match(F.col(text), SUMMARY % split, group)
-            found.append(safe_float(raw).alias(f"{split.lower()}_{name}"))
-    return logs.select(*[c for c in logs.columns if c != text], *found)
+    """Metrics of the last validation and test summary in each log; 0 where there is none.
+
+    One pass over the text lists the summaries; the numbers are cut from the last of each kind.
+    """
+    kept = [c for c in logs.columns if c != text]
+    found = logs.select(*kept, F.regexp_extract_all(F.col(text), F.lit(SUMMARY % "(?:Val|Test)"), F.lit(0)).alias("_found"))
+    last = {k: F.try_element_at(F.filter("_found", lambda x, k=k: x.startswith(k)), F.lit(-1)) for k in ("Val", "Test")}
+    found = found.select(*kept, *[c.alias(f"_{k}") for k, c in last.items()])
+    numbers = [
+        safe_float(F.regexp_extract(f"_{k}", SUMMARY % k, g)).alias(f"{k.lower()}_{name}")
+        for k in last for g, name in enumerate(("trades", "win_rate_pct", "return_pct"), 1)
+    ]
+    return found.select(*kept, *numbers)
 
 
 def scrape_keywords(logs: DataFrame, text: str = "text") -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import floor_div, hash_uniform, ratio
-from tapeworks.plans.series import CHUNK, UNBOUNDED, attach, chunked, settle, summarize, top_k
+from tapeworks.operators.lot_states import dust_closings
+from tapeworks.plans.series import CHUNK, UNBOUNDED, attach, chunked, summarize, top_k
 
 # Fee presets (buy and sell alike), account limits, ledger length.
 FEE_PRESETS = {"mexc_spot_mx": 0.0004, "legacy": 0.0010}
@@ -82,14 +82,17 @@ def size_buy(
 LOT_INPUT = ["run", "sym", "step", "side", "pct", "price", "qty"]
 
 
-def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> DataFrame:
+def lots(
+    fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = (), closes: str | None = None, least: float = DUST
+) -> DataFrame:
     """Rebuild positions from ``run, sym, step, side, pct, price, qty`` (and columns to ``carry``).
 
     Holdings are not added to: a buy counts only if the last earlier buy or full
     sell of the same ``(run, sym)`` was a full sell, or there was none; a sell
     counts only while something is held.  The result has the accepted buys and
-    sells with ``lot, entry_step, entry_price, qty0, qty`` (bought or sold) and
-    ``remaining``; ``dust`` marks a remainder below ``DUST`` after a partial sell.
+    sells with ``lot, entry_step, entry_price, qty0, qty`` (bought or sold),
+    ``remaining`` and ``next_step``, that of the next row of the same ``(run, sym)``; ``dust`` marks a remainder below ``least`` after a partial sell.
+    ``closes`` names a column that marks partial sells to end their lot.
 
     The work is two passes over one shuffle by ``(run, sym, chunk of steps)``: the
     first carries whether something is held into each chunk, the second carries
@@ -97,9 +100,10 @@ def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> Dat
     """
     keys, part = ["run", "sym"], ["run", "sym", "_chunk"]
     buy = F.col("side") == "buy"
-    full = (F.col("side") == "sell") & (F.col("pct") >= 1.0)
+    ends_lot = F.coalesce(F.col(closes), F.lit(False)) if closes else F.lit(False)
+    full = (F.col("side") == "sell") & ((F.col("pct") >= 1.0) | ends_lot)
     state = F.when(buy, F.lit(1)).when(full, F.lit(0))
-    columns = [*LOT_INPUT, *carry]
+    columns = [*LOT_INPUT, *carry, *([closes] if closes else [])]
     rows = fills.where(F.col("side").isin("buy", "sell")).select(*columns)
     rows = chunked(rows, keys, floor_div(F.col("step"), width))
     in_chunk = Window.partitionBy(part).orderBy("step")
@@ -119,6 +123,7 @@ def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> Dat
     rows = rows.select(
         "*",
         F.count_if(buy).over(so_far).alias("_lots"),
+        F.lead("step").over(in_chunk).alias("_next"),
         *[F.last(F.when(buy, c), True).over(so_far).alias(n) for n, c in entry.items()],
     )
     in_lot = Window.partitionBy(*part, "_lots").orderBy("step").rowsBetween(UNBOUNDED, -1)
@@ -130,6 +135,7 @@ def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> Dat
         part,
         [
             F.count_if(buy).alias("_n"),
+            F.min("step").alias("_begin"),
             F.max_by(F.col("_share") * kept, "step").alias("_tail"),
             *[F.max_by(c, bought).alias(f"_e_{n}") for n, c in entry.items()],
         ],
@@ -142,6 +148,7 @@ def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> Dat
         *part, "_touch",
         F.sum("_n").over(earlier).alias("_lots_in"),
         F.lag("_open_share").over(chunks).alias("_share_in"),
+        F.lead("_begin").over(chunks).alias("_next_in"),
         *[F.last(f"_e_{n}", True).over(earlier).alias(f"_in_{n}") for n in entry],
     )
     rows = attach(rows, carried, part)
@@ -151,33 +158,25 @@ def lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> Dat
         (F.coalesce(F.col("_lots_in"), F.lit(0)) + F.col("_lots")).alias("lot"),
         *[F.coalesce(F.col(n), F.col(f"_in_{n}")).alias(n) for n in entry],
         (F.col("_share") * carried_over).alias("_share"),
+        F.coalesce("_next", "_next_in").alias("next_step"),
     )
     before = F.col("qty0") * F.col("_share")
     sold = F.when(F.col("pct") >= 1.0, before).otherwise(before * F.col("pct"))
     rows = rows.withColumn("qty", F.when(buy, F.col("qty0")).otherwise(sold))
     rows = rows.withColumn("remaining", F.when(buy, F.col("qty0")).otherwise(before - F.col("qty")))
-    dust = ~buy & (F.col("pct") < 1.0) & (F.col("remaining") < DUST)
+    dust = ~buy & (F.col("pct") < 1.0) & (F.col("remaining") < least)
     return rows.withColumn("dust", dust).drop("_share")
 
 
-def exact_lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = ()) -> DataFrame:
-    """:func:`lots` where partial sells that leave only dust close the lot.
+def exact_lots(fills: DataFrame, width: int = CHUNK, carry: Sequence[str] = (), dust: float = DUST) -> DataFrame:
+    """:func:`lots` where partial sells that leave less than ``dust`` close the lot.
 
-    Each round turns the first such sell of every lot into a full sell and starts
-    over with the runs and symbols that had one; the others are done.  Rounds are
-    settled so that the plan stays short.
+    Those sells are found first, from composed state transitions; their lots then end
+    like any other.  What such a sell leaves stays in ``remaining`` of its row.
     """
-    part = ["run", "sym"]
-    done = []
-    while True:
-        found = settle(lots(fills, width, carry))
-        closing = settle(found.where("dust").groupBy(*part, "lot").agg(F.min("step").alias("step")).drop("lot"))
-        if closing.isEmpty():
-            return reduce(DataFrame.unionByName, [*done, found])
-        again = closing.select(part).distinct()
-        done.append(found.join(again, part, "left_anti"))
-        marked = fills.join(again, part, "left_semi").join(closing.withColumn("_close", F.lit(True)), [*part, "step"], "left")
-        fills = settle(marked.withColumn("pct", F.when(F.col("_close"), F.lit(1.0)).otherwise(F.col("pct"))).drop("_close"))
+    closing = dust_closings(fills, dust, width).withColumn("_closes", F.lit(True))
+    marked = fills.join(closing, ["run", "sym", "step"], "left")
+    return lots(marked, width, carry, "_closes", dust).drop("_closes")
 
 
 def realized(sells: DataFrame, fee: Column | float) -> DataFrame:

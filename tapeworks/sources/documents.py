@@ -2,55 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.functions.numeric import finite
 from tapeworks.functions.text import lines
 
-_SPLIT = """steps bigint, total_reward double, avg_reward_per_step double, proxy_loss double,
- final_portfolio_value double, total_return_pct double, trades bigint, winning_trades bigint,
- losing_trades bigint, win_rate_pct double, realized_pnl double, unrealized_pnl double"""
-
-_SUMMARY = """kind string, mode string, portfolio_value double, total_return_pct double,
- realized_pnl double, unrealized_pnl double, trades bigint, winning_trades bigint,
- losing_trades bigint, win_rate_pct double, source string"""
-
-def _run_state_schema() -> str:
-    return " ".join(
-        f"""
-        ts string,
-        run struct<run_id: string, mode: string, status: string, started_at: string,
-          started_ts_epoch: bigint, finished_at: string, finished_ts_epoch: bigint,
-          elapsed_seconds: bigint, state_file: string, total_timesteps: bigint,
-          current_step: bigint, progress_pct: double, final_summary: struct<{_colons(_SUMMARY)}>>,
-        technical struct<step: bigint, epoch: bigint, n_updates: bigint, n_steps: bigint,
-          batch_size: bigint, learning_rate: double, num_data_rows: bigint,
-          memory: struct<device: string, ram_mb: double, vram_allocated_mb: double,
-            vram_reserved_mb: double, vram_process_mb: double, vram_gpu_used_mb: double>,
-          loss: struct<train: double, dev: double, test: double, policy: double, value: double,
-            entropy: double, approx_kl: double, clip_fraction: double>>,
-        rewards struct<train: double, dev: double, test: double>,
-        finance struct<initial_cash: double, portfolio_value: double, total_return_pct: double,
-          realized_pnl: double, unrealized_pnl: double, num_positions: bigint, trades: bigint,
-          winning_trades: bigint, losing_trades: bigint, win_rate_pct: double,
-          stop_loss_exits: bigint, fees_paid: double, drawdown_pct: double>,
-        splits struct<dev: struct<{_colons(_SPLIT)}>, test: struct<{_colons(_SPLIT)}>>,
-        series map<string, array<struct<step: bigint, value: double>>>
-        """.split()
-    )
-
-
-def _colons(columns: str) -> str:
-    return ", ".join(": ".join(c.split()) for c in columns.split(","))
-
+# Fields of run documents, index entries and results.
+_SPLIT = (
+    "steps: bigint, total_reward: double, avg_reward_per_step: double, proxy_loss: double, "
+    "final_portfolio_value: double, total_return_pct: double, trades: bigint, winning_trades: bigint, "
+    "losing_trades: bigint, win_rate_pct: double, realized_pnl: double, unrealized_pnl: double"
+)
 
-RUN_STATE = _run_state_schema()
+RUN_STATE = (
+    "ts string, "
+    "run struct<run_id: string, mode: string, status: string, started_at: string, "
+    "started_ts_epoch: bigint, finished_at: string, finished_ts_epoch: bigint, "
+    "elapsed_seconds: bigint, state_file: string, total_timesteps: bigint, "
+    "current_step: bigint, progress_pct: double, "
+    "final_summary: struct<kind: string, mode: string, portfolio_value: double, total_return_pct: double, "
+    "realized_pnl: double, unrealized_pnl: double, trades: bigint, winning_trades: bigint, "
+    "losing_trades: bigint, win_rate_pct: double, source: string>>, "
+    "technical struct<step: bigint, epoch: bigint, n_updates: bigint, n_steps: bigint, "
+    "batch_size: bigint, learning_rate: double, num_data_rows: bigint, "
+    "memory: struct<device: string, ram_mb: double, vram_allocated_mb: double, "
+    "vram_reserved_mb: double, vram_process_mb: double, vram_gpu_used_mb: double>, "
+    "loss: struct<train: double, dev: double, test: double, policy: double, value: double, "
+    "entropy: double, approx_kl: double, clip_fraction: double>>, "
+    "rewards struct<train: double, dev: double, test: double>, "
+    "finance struct<initial_cash: double, portfolio_value: double, total_return_pct: double, "
+    "realized_pnl: double, unrealized_pnl: double, num_positions: bigint, trades: bigint, "
+    "winning_trades: bigint, losing_trades: bigint, win_rate_pct: double, "
+    "stop_loss_exits: bigint, fees_paid: double, drawdown_pct: double>, "
+    f"splits struct<dev: struct<{_SPLIT}>, test: struct<{_SPLIT}>>, "
+    "series map<string, array<struct<step: bigint, value: double>>>"
+)
 
 RUN_INDEX = (
-    "run_id string, mode string, status string, started_at string, finished_at string, "
-    "elapsed_seconds bigint, state_file string"
+    "run_id: string, mode: string, status: string, started_at: string, finished_at: string, "
+    "elapsed_seconds: bigint, state_file: string"
 )
 
 RESULTS = (
@@ -81,7 +73,7 @@ def read_run_state(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 def read_run_index(spark: SparkSession, path: str) -> DataFrame:
     """Entries of an index document with ``seq``, their order."""
-    docs = _read_json(spark, path, f"runs array<struct<{_colons(RUN_INDEX)}>>", True)
+    docs = _read_json(spark, path, f"runs array<struct<{RUN_INDEX}>>", True)
     return docs.select(F.posexplode("runs").alias("seq", "r")).select("seq", "r.*")
 
 
@@ -101,6 +93,37 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``log, folder, line_no, line, n_lines``: numbered lines of text files of any size.
+
+    Files are read in splits, several per file where it is long.  A split starts at a byte
+    of its file and its lines come in order, so the lines are counted per split, the counts
+    are summed along each file, and a line's number is its place in the split plus the lines
+    before.  Only that table of splits is shuffled and ordered by file.  A line ends at a
+    line feed; an empty file has no rows.
+    """
+    file, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        name.alias("log"), F.regexp_replace(file, "/[^/]*$", "").alias("folder"), file.alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"),
+    )
+    splits = rows.groupBy("_file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy("_file")
+    before = whole.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumn("n_lines", F.sum("_size").over(whole))
+    place = F.col("_id") - F.col("_first")
+    moved = F.raise_error(F.lit("a log changed while it was read")).cast("bigint")
+    number = F.when((place >= 0) & (place < F.col("_size")), place + F.col("_before") + 1).otherwise(moved)
+    return rows.join(splits, ["_file", "_split"]).select("log", "folder", number.alias("line_no"), "line", "n_lines")
+
+
+def lines_head_tail(numbered: DataFrame, head: int = 10, tail: int = 20) -> DataFrame:
+    """First and last lines of each log as ``log, part, line_no, line``, from :func:`read_log_lines`: a filter."""
+    parts = {"head": F.col("line_no") <= head, "tail": F.col("line_no") > F.col("n_lines") - tail}
+    wanted = F.filter(F.array(*[F.when(c, F.lit(p)) for p, c in parts.items()]), lambda p: p.isNotNull())
+    return numbered.select("log", F.explode(wanted).alias("part"), "line_no", "line")
+
+
 def _file_lines(text: Column) -> Column:
     """Lines of a file; a final line break does not start another line."""
     return lines(F.regexp_replace(text, "\n\\z", ""))

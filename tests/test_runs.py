@@ -188,6 +188,31 @@ def test_results_and_index_documents(spark, tmp_path):
     assert [(r["seq"], r["run_id"]) for r in got] == [(0, "a"), (1, "b")]
 
 
+@pytest.mark.parametrize("split", [50, 400, 1 << 20])
+def test_numbered_lines_over_splits(spark, tmp_path, split):
+    texts = {"a.log": "".join(f"line {i} é\r\n" if i % 7 == 0 else f"{'x' * (i % 90)}{i}\n" for i in range(300)), "b.log": "", "c.log": "one", "d.log": "\n\n", "e.log": "y" * 3000 + "\nend"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in kept:
+            spark.conf.set(c, split)
+        lines = documents.read_log_lines(spark, f"{tmp_path}/*.log")
+        if split == 50:
+            assert lines.rdd.getNumPartitions() and spark.read.text(f"{tmp_path}/a.log").rdd.getNumPartitions() > 8
+        got = sorted(tuple(r) for r in lines.select("log", "line_no", "line", "n_lines").collect())
+        ends = sorted((r["log"], r["part"], r["line_no"]) for r in documents.lines_head_tail(lines, 2, 3).collect())
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    expect = []
+    for name, text in texts.items():
+        parts = text.split("\n")[:-1] if text.endswith("\n") else text.split("\n") if text else []
+        expect += [(name, i, p, len(parts)) for i, p in enumerate(parts, 1)]
+    assert got == sorted(expect)
+    assert ends == sorted((n, p, i) for n, i, _, k in expect for p, keep in (("head", i <= 2), ("tail", i > k - 3)) if keep)
+
+
 def test_logs_are_read_whole(spark, tmp_path):
     (tmp_path / "m1.log").write_text("a\nb\nc\n")
     (tmp_path / "m2.log").write_text("")

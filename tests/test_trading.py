@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeworks.operators import equity, exits, fills, metrics, orders
 
 
-def replay_lots(rows, dust=False):
+def replay_lots(rows, dust=None):
     """Lots rebuilt one order at a time."""
     out, state, lots = [], {}, {}
     for run, sym, step, side, pct, price, qty in sorted(rows, key=lambda r: r[2]):
@@ -22,7 +22,7 @@ def replay_lots(rows, dust=False):
             sold = held if pct >= 1 else held * pct
             state[key][0] = held - sold
             out.append((run, sym, step, side, lots[key], at, entry, sold, held - sold))
-            if pct >= 1 or (dust and state[key][0] < fills.DUST):
+            if pct >= 1 or (dust is not None and state[key][0] < dust):
                 del state[key]
     return out
 
@@ -59,12 +59,36 @@ def test_lots_match_a_replay(spark, width):
     same_lots(fills.lots(spark.createDataFrame(rows, SCHEMA), width), replay_lots(rows))
 
 
-def test_exact_lots_close_dust(spark):
-    rows = random_fills(4, 250, tiny=1e-7)
-    got = fills.exact_lots(spark.createDataFrame(rows, SCHEMA), 20)
-    expect = replay_lots(rows, dust=True)
-    got = got.select("run", "sym", "step", "side", "lot").toPandas().sort_values("step")
-    assert [tuple(r) for r in got.itertuples(index=False)] == [e[:5] for e in expect]
+@pytest.mark.parametrize("width,tiny,dust", [(20, 1e-7, 1e-8), (7, 1.0, 0.3), (1, 1.0, 0.05), (1000, 1.0, 0.3), (5, 1.0, 0.0), (9, 0.1, 0.25)])
+def test_exact_lots_close_dust(spark, width, tiny, dust):
+    rows = random_fills(width, 250, tiny)
+    same_lots(fills.exact_lots(spark.createDataFrame(rows, SCHEMA), width, dust=dust), replay_lots(rows, dust))
+
+
+def test_exact_lots_awkward_orders(spark):
+    def orders(series, *rows):
+        return [("r", series, i, side, pct, 10.0, qty) for i, (side, pct, qty) in enumerate(rows)]
+
+    half = ("sell", 0.5, None)
+    rows = [
+        *orders(0, *[("buy", 1.0, 1.0), *[half] * 40, ("buy", 1.0, 2.0), half]),  # falls to dust over many chunks, then opens again
+        *orders(1, half, ("buy", 1.0, 1e-9), ("buy", 1.0, 5.0), ("sell", 0.0, None), ("buy", 1.0, 3.0)),  # bought below the dust level
+        *orders(2, ("sell", 1.0, None), ("buy", 1.0, 4.0), ("sell", 1.5, None), half),
+        *orders(3, ("none", 0.5, 1.0)),
+    ]
+    got = fills.exact_lots(spark.createDataFrame(rows, SCHEMA), 4)
+    expect = replay_lots([r[:6] + (r[6] if r[6] is not None else 0.0,) for r in rows], fills.DUST)
+    got = got.select("sym", "step", "side", "lot").toPandas().sort_values(["sym", "step"])
+    assert [tuple(r) for r in got.itertuples(index=False)] == [(e[1], *e[2:5]) for e in sorted(expect, key=lambda e: (e[1], e[2]))]
+    assert fills.exact_lots(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_exact_lots_need_no_job(spark):
+    """Nothing runs while the plan is built, however many lots fall to dust."""
+    rows = spark.createDataFrame(random_fills(3, 60, 1e-7), SCHEMA)
+    spark.sparkContext.setJobGroup("lots", "lots")
+    fills.exact_lots(rows, 10)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("lots"))
 
 
 def test_small_lot_sequence(spark):
@@ -74,7 +98,8 @@ def test_small_lot_sequence(spark):
     assert [r["qty"] for r in got] == [2.0, 1.0, 1.0, 2.0]
 
 
-def test_cash_plus_positions_is_equity(spark):
+@pytest.mark.parametrize("size", [1, 7, 256])
+def test_cash_plus_positions_is_equity(spark, size):
     rows = [r for r in random_fills(9, 120) if r[0] == "r"]
     rows = [(*r[:2], i, *r[3:]) for i, r in enumerate(rows)]
     n = len(rows)
@@ -82,12 +107,11 @@ def test_cash_plus_positions_is_equity(spark):
     price = [(s, t, 5.0 + s + t / 10) for s in range(2) for t in range(n)]
     prices = spark.createDataFrame(price, "sym int, step bigint, close double")
     delta = F.when(F.col("side") == "buy", -F.col("qty") * F.col("price")).otherwise(F.col("qty") * F.col("price"))
-    flow = spark.range(n).select(F.lit("r").alias("run"), F.col("id").alias("step"))
-    flow = flow.join(lots.select("run", "step", delta.alias("d")), ["run", "step"], "left")
-    flow = flow.select("run", "step", F.coalesce("d", F.lit(0.0)).alias("cash_delta"))
-    last = spark.createDataFrame([("r", n - 1)], "run string, last_step bigint")
-    got = equity.mark_to_market(equity.running_cash(flow, 100.0, 9), equity.holdings(lots, last, 9), prices)
+    steps = spark.range(n).select(F.lit("r").alias("run"), F.col("id").alias("step"))
+    moves = equity.holdings(lots.withColumn("last_step", F.lit(n - 1)), delta)
+    got = equity.mark_to_market(steps, moves, prices, 100.0, 9, size)
     got = got.orderBy("step").collect()
+    assert len(got) == n
 
     held, cash = {}, 100.0
     events = {e[2]: e for e in replay_lots(rows)}
@@ -104,6 +128,19 @@ def test_cash_plus_positions_is_equity(spark):
         assert r["n_positions"] == len(held)
 
 
+def test_steps_without_a_price_have_no_value(spark):
+    moves = spark.createDataFrame([("r", 0, 1, 2, 2, 9, 4.0, -8.0), ("r", 1, 1, 3, 3, 3, 1.0, -1.0), ("r", 0, 1, 2, 10, None, None, 50.0)],
+                                  "run string, sym int, lot int, entry_step bigint, step bigint, to_step bigint, held double, cash_delta double")
+    prices = spark.createDataFrame([(0, t, float(t)) for t in range(12) if t not in (4, 8)], "sym int, step bigint, close double")
+    sizes = spark.createDataFrame([("r", 11), ("other", 2)], "run string, last_step bigint")
+    got = {(r["run"], r["step"]): tuple(r)[2:] for r in equity.mark_to_market(equity.run_steps(sizes, 3), moves, prices, 100.0, 4, 5).collect()}
+    assert len(got) == 13 and got[("other", 1)] == (100.0, 0, 0.0, 100.0) and got[("r", 1)] == (100.0, 0, 0.0, 100.0)
+    assert got[("r", 2)] == (92.0, 1, 8.0, 100.0) and got[("r", 3)] == (91.0, 2, None, None) and got[("r", 4)] == (91.0, 1, None, None)
+    assert got[("r", 5)] == (91.0, 1, 20.0, 111.0) and got[("r", 10)] == (141.0, 0, 0.0, 141.0)
+    held = {(r["sym"], r["step"]): r["close"] for r in equity.held_values(moves, prices, 3).collect()}
+    assert held[(0, 4)] is None and held[(0, 9)] == 9.0 and held[(1, 3)] is None and len(held) == 9
+
+
 @pytest.mark.parametrize("limit", [1, 5, 37])
 def test_stop_loss_matches_a_scan(spark, limit):
     rng = np.random.default_rng(limit)
