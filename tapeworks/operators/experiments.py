@@ -39,7 +39,11 @@ def scrape_summary(logs: DataFrame, text: str = "text") -> DataFrame:
     """
     kept = [c for c in logs.columns if c != text]
     found = logs.select(*kept, F.regexp_extract_all(F.col(text), F.lit(SUMMARY % "(?:Val|Test)"), F.lit(0)).alias("_found"))
-    last = {k: F.try_element_at(F.filter("_found", lambda x, k=k: x.startswith(k)), F.lit(-1)) for k in ("Val", "Test")}
+
+    def last_of(kind: str) -> Column:
+        return F.try_element_at(F.filter("_found", lambda x: x.startswith(kind)), F.lit(-1))
+
+    last = {k: last_of(k) for k in ("Val", "Test")}
     found = found.select(*kept, *[c.alias(f"_{k}") for k, c in last.items()])
     numbers = [
         safe_float(F.regexp_extract(f"_{k}", SUMMARY % k, g)).alias(f"{k.lower()}_{name}")

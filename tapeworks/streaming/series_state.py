@@ -1,0 +1,49 @@
+"""State of a capped series: a list of its last points."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+POINTS = "step bigint, pos bigint, value double"
+SERIES = "run string, key string, step bigint, pos bigint, value double"
+COLUMNS = ["step", "pos", "value"]
+
+
+class SeriesTail(StatefulProcessor):
+    """Keeps the ``most`` points of highest position per key and returns them whenever they change.
+
+    Points are folded in one Arrow batch at a time, so memory holds one batch and the
+    kept points, however many points a series has in a micro-batch.  Of points with one
+    position the last to arrive counts.
+    """
+
+    def __init__(self, most: int, idle: int | None = None):
+        self.most, self.idle = most, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.points = handle.getListState("points", POINTS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kept = pd.DataFrame(list(self.points.get()), columns=COLUMNS) if self.points.exists() else None
+        for batch in rows:
+            both = batch[COLUMNS] if kept is None else pd.concat([kept, batch[COLUMNS]])
+            kept = both.drop_duplicates("pos", keep="last").nlargest(self.most, "pos")
+        if self.idle is not None:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        if kept is None:
+            return
+        self.points.put([(int(s), int(p), float(v)) for s, p, v in kept.itertuples(index=False)])
+        yield kept.assign(run=key[0], key=key[1])[["run", "key", *COLUMNS]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.points.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass

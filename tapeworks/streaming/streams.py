@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState
 
 from tapeworks.functions.numeric import not_nan
 from tapeworks.operators.telemetry import MAX_POINTS
+from tapeworks.plans.series import top_k
+from tapeworks.plans.workers import reach
 from tapeworks.sources.documents import RUN_STATE
+from tapeworks.streaming.changes import COMPACT_EVERY, keep_changes, read_changes
+from tapeworks.streaming.series_state import SERIES, SeriesTail
+
+#: List states and timers need this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+POINT = ["run", "key", "pos"]
 
 
 def stream_run_files(
@@ -85,23 +91,6 @@ def stream_trade_rate(
     )
 
 
-def keep_changes(frame: DataFrame, root: str) -> DataStreamWriter:
-    """Write what each micro-batch changes under its batch id; a repeated batch replaces its own rows."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
-
-    return frame.writeStream.outputMode("update").foreachBatch(write)
-
-
-def read_changes(spark: SparkSession, root: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """The rows of each key's newest batch."""
-    fields = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(fields).parquet(root)
-    newest = rows.groupBy(keys).agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, [*keys, "batch_id"]).select(*schema.names)
-
-
 def latest_per_run(states: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
     """Newest document of every run (``run`` is the run id) by the columns of ``order``."""
     rest = [c for c in states.columns if c != "run"]
@@ -109,35 +98,44 @@ def latest_per_run(states: DataFrame, order: Sequence[str] = ("ts",)) -> DataFra
     return newest.select("run", "_s.*")
 
 
-def stream_latest_state(states: DataFrame, root: str, order: Sequence[str] = ("ts",)) -> DataStreamWriter:
+def stream_latest_state(
+    states: DataFrame, root: str, order: Sequence[str] = ("ts",), compact_every: int = COMPACT_EVERY
+) -> DataStreamWriter:
     """Keep the newest document per run in the stream's state and write the runs that change.
 
     Time stamps have whole seconds, so ``order`` should name what decides between
     documents of one second, such as the step and the file.
     """
-    return keep_changes(latest_per_run(states.where(F.col("run").isNotNull()), order), root)
+    return keep_changes(latest_per_run(states.where(F.col("run").isNotNull()), order), root, ["run"], compact_every)
 
 
-def stream_series_cap(points: DataFrame, root: str, most: int = MAX_POINTS) -> DataStreamWriter:
+def stream_series_cap(
+    points: DataFrame, root: str, most: int = MAX_POINTS, idle: int | None = None, compact_every: int = COMPACT_EVERY
+) -> DataStreamWriter:
     """Keep the last points of every series in the stream's state and write the series that change.
 
-    The state of a series is a list of at most ``most`` points.
+    The state of a series is a list of at most ``most`` points; new ones are folded in as
+    they arrive.  With ``idle`` the state of a series that had no points for so many
+    milliseconds is dropped; :func:`read_series` still finds what it wrote before.  Such a
+    stream needs a trigger that goes on, for its timers run without new points.
     """
-    schema = "run string, key string, step bigint, pos bigint, value double"
-
-    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["step", "pos", "value"]
-        held = [pd.DataFrame(dict(zip(columns, state.get)))] if state.exists else []
-        rows = pd.concat([*held, *[b[columns] for b in batches]])
-        last = rows.drop_duplicates("pos", keep="last").nlargest(most, "pos")
-        state.update(tuple(last[c].tolist() for c in columns))
-        yield last.assign(run=key[0], key=key[1])[["run", "key", *columns]]
-
+    spark = points.sparkSession
+    reach(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     known = points.where("value IS NOT NULL AND run IS NOT NULL AND key IS NOT NULL").select("run", "key", "step", "pos", "value")
-    capped = known.groupBy("run", "key").applyInPandasWithState(
-        merge, schema, "step array<bigint>, pos array<bigint>, value array<double>", "update", "NoTimeout"
+    capped = known.groupBy("run", "key").transformWithStateInPandas(
+        SeriesTail(most, idle), SERIES, "Update", "None" if idle is None else "ProcessingTime"
     )
-    return keep_changes(capped, root)
+    return keep_changes(capped, root, POINT, compact_every, lambda rows: _last_points(rows, most))
+
+
+def _last_points(rows: DataFrame, most: int) -> DataFrame:
+    return top_k(rows, POINT[:2], [F.col("pos").desc()], most, ["pos"])
+
+
+def read_series(spark: SparkSession, root: str, most: int = MAX_POINTS) -> DataFrame:
+    """The last points of every series that :func:`stream_series_cap` wrote, whatever became of its state."""
+    return _last_points(read_changes(spark, root, T.StructType.fromDDL(SERIES), POINT), most)
 
 
 def replay(frame: DataFrame, out: str, checkpoint: str) -> DataFrame:
