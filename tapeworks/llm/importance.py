@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tapeworks.llm.common import query, store, table
+from tapeworks.llm.common import lean, query, store, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 20
@@ -108,7 +108,7 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, once: bool = False) -
             yield from rows(raw, target, part)
 
     kind = "part long, raw binary, target binary"
-    return docs.select("text", "target").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind)
+    return docs.select("text", "target").mapInArrow(lean(count), kind).repartition("part").mapInArrow(lean(add), kind)
 
 
 def _gather(counts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def with_keys(docs: DataFrame, ratios: np.ndarray, seed: int, text: str = "text"
 
     draw = F.xxhash64(F.lit(seed), F.col(ident), F.xxhash64(text))
     kinds = [StructField(n, IntegerType() if n == "_class" else DoubleType()) for n in names]
-    return docs.withColumn("_draw", draw).mapInArrow(score, StructType([*docs.schema.fields, *kinds]))
+    return docs.withColumn("_draw", draw).mapInArrow(lean(score), StructType([*docs.schema.fields, *kinds]))
 
 
 def top_k_threshold(scored: DataFrame, k: int, key: str) -> float:

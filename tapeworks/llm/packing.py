@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import query, store, table
+from tapeworks.llm.common import lean, query, store, table
 
 WIDTH, STEP, END = 2048, 8, 1
 BUCKET = 65_536
@@ -36,18 +36,24 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG_BLANK = re.compile(r"\s{512}")
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str):
     """Text to ids by the tokenizer file at ``path``.
 
     Texts in Latin-1 letters go through a faster library built from the same
     vocabulary; it gives the same ids, which the tests verify.  Texts with other
-    letters, special tokens or very long blanks go through the tokenizer itself.
+    letters, special tokens or very long blanks go through the tokenizer itself, which
+    is loaded by the tasks that meet one.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec["added_tokens"]]
@@ -63,7 +69,7 @@ def encoder(path: str):
             usual = False
         else:
             usual = not any(s in text for s in special) and not LONG_BLANK.search(text)
-        ids = fast.encode_ordinary(text) if usual else plain.encode(text, add_special_tokens=False).ids
+        ids = fast.encode_ordinary(text) if usual else tokenizer(path).encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4")
 
     return encode
@@ -88,7 +94,7 @@ def cut_documents(docs: DataFrame, path: str, ident: str = "doc_id", text: str =
                     rows, held = [], 0
 
     given = docs.select(F.col(ident).cast("long"), F.col(text).cast("string"))
-    return given.mapInArrow(cut, "id long, start long, length long, doc_tokens long, ids binary").withColumnRenamed("id", ident)
+    return given.mapInArrow(lean(cut), "id long, start long, length long, doc_tokens long, ids binary").withColumnRenamed("id", ident)
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import query, store, table
+from tapeworks.llm.common import lean, query, store, table
 from tapeworks.llm.components import components
 
 WORD_BREAKS = b" \t\n\x0b\x0c\r"
@@ -62,7 +62,7 @@ def with_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text"
 
     key = F.xxhash64(F.col(ident), F.xxhash64(text))
     given = docs.select(F.col(ident).cast("long").alias("id"), key.alias("key"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(hashed, "id long, key long, fp long")
+    return given.mapInArrow(lean(hashed), "id long, key long, fp long")
 
 
 class BKTree:
@@ -182,7 +182,7 @@ def link_fingerprints(fps: DataFrame, shard: int = SHARD) -> DataFrame:
         large = sizes.where(F.col("n") > shard).select("shard")
         over = not last and not large.isEmpty()
         small = rows.join(large, "shard", "left_anti") if over else rows
-        found = small.select("shard", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards, "a long, b long")
+        found = small.select("shard", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_shards), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if not over:
             return links
@@ -223,19 +223,3 @@ def op10(spark, d):
     return near_duplicates(table(spark, d, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
     )
-
-
-def keep_one(spark, docs: DataFrame, d: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest id, with its columns.
-
-    Of several rows with that id the one with the smallest hash stays, and of equal ones one.
-    """
-    found = store(groups(docs), "groups")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).getField("key")
-    kept = store(found.groupBy("root").agg(first.alias("_key")).select("_key").distinct(), "kept")
-    key = F.xxhash64(F.col("doc_id"), F.xxhash64(F.col("text")))
-    stay = docs.withColumn("_key", key).join(kept, "_key", "left_semi")
-    if found.groupBy("key").count().where("count > 1").take(1):
-        each = Window.partitionBy("_key").orderBy(F.lit(0))
-        stay = stay.withColumn("_copy", F.row_number().over(each)).where("_copy = 1").drop("_copy")
-    return stay.drop("_key")

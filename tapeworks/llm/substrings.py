@@ -394,4 +394,5 @@ def op6(spark, d):
     return remove_repeats(table(spark, d, "documents")).select(
         "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"), "removed",
     )

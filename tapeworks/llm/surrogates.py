@@ -7,7 +7,9 @@ canonical value, so one entity has one surrogate wherever and however it is
 written, and takes the shape of the original: punctuation, length and case,
 check digits, the script of a name and the gender its form of address tells.
 Given and family names are mapped each on their own, so ``Ms Ada Long`` and
-``Ms Long`` stay the same person.
+``Ms Long`` stay the same person, and a name found once is replaced wherever its text
+mentions it.  The gender of a given name is the one that most forms of address in all
+texts tell, so ``Dr Ada Long`` is the same person too.
 
 Draws may meet.  The distinct values are compared with each other's surrogates
 and with all originals; all but one of the values that share a surrogate, and
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tapeworks.llm.common import query, store, table
+from tapeworks.llm.common import lean, query, store, table
 
 # Forms of address by gender.
 MALE = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor", "г-н", "господин")
@@ -45,6 +47,12 @@ NUMBER = re.compile(r"(?<![\w.])(?:\+ ?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[ .()/-]{0,2
 QUAD = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)")
 SOLID = re.compile(r"(?<![\w.+])\d{13,19}(?!\w)")
 PHONE = re.compile(r"\d{3}[ .-]\d{3}[ .-]\d{4}")
+#: Numbers that are no telephone numbers: dates, and decimals without grouping.
+DATE = re.compile(r"\d{1,2}([./-])\d{1,2}\1\d{2,4}|\d{4}([./-])\d{1,2}\2\d{1,2}")
+DECIMAL = re.compile(r"(?:0|[1-9]\d*)\.\d+")
+#: Words before a number in groups that make it a telephone number.
+CALLED = re.compile(r"(?i)\b(?:tele?(?:phone|fon|fono|fonnummer)?|phone|cell|mobile?|handy|fax|call|ring|dial|ruf(?:en)?|rufnummer|appele[rz]|tél(?:éphone)?|llam(?:e|ar|a))\b[^\w\n]{0,6}(?:\w{1,6}[^\w\n]{1,3}){0,2}$")
+GROUPS = re.compile(r"\d{2,4}(?:[ .-]\d{2,4}){2,4}")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 SECRETS = [
@@ -101,6 +109,26 @@ def _script(word: str) -> str | None:
     return next((s for s in SCRIPTS if name.startswith(s)), None)
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names behind a form of address, and every later or earlier mention of them in the text."""
+    called: list[tuple[str, str, bool]] = []
+    for m in NAME.finditer(text):
+        words = m[2].split()
+        words = words[: next((i for i, w in enumerate(words) if not w[0].isupper() or not _script(w)), len(words))]
+        called += [(w, GENDER[m[1]], i < len(words) - 1) for i, w in enumerate(words)]
+    kinds: dict[str, str] = {}
+    for w, gender, given in called:  # a name that is a given one once is one; the first telling gender counts
+        if given and kinds.get(w.casefold(), "given_n") == "given_n":
+            kinds[w.casefold()] = f"given_{gender}"
+    for w, _, _ in called:
+        kinds.setdefault(w.casefold(), "family")
+    if not kinds:
+        return []
+    forms = {x for w, _, _ in called for x in (w, w.upper())}
+    mention = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, forms), key=len, reverse=True))})(?!\w)")
+    return [(m.start(), m.end(), kinds[m[0].casefold()], m[0].casefold()) for m in mention.finditer(text)]
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """Entities of a text as (start, end, kind, canonical value), in order and disjoint."""
     found = []
@@ -124,8 +152,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             kind = "ssn"
         elif m[0][0] != "+" and 13 <= len(digits) <= 19 and luhn(digits):
             kind = "card"
+        elif DATE.fullmatch(m[0]) or DECIMAL.fullmatch(m[0]):
+            continue
         elif m[0][0] in "+(" or m[0][0] == "0" or PHONE.search(m[0]):
             kind = "phone"
+        elif GROUPS.fullmatch(m[0]) and CALLED.search(rest[max(0, m.start() - 40) : m.start()]):
+            kind = "phone"
         elif len(digits) >= 9 and digits == m[0]:
             kind = "number"
         else:
@@ -135,12 +167,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if _iban_rest(m[0].replace(" ", "")) == 1:
             found.append((m.start(), m.end(), "iban", m[0].replace(" ", "")))
     if any(t in text for t in GENDER):
-        for m in NAME.finditer(text):
-            words = [(m.start(2) + w.start(), w[0]) for w in re.finditer(r"\S+", m[2])]
-            words = words[: next((i for i, (_, w) in enumerate(words) if not w[0].isupper() or not _script(w)), len(words))]
-            for i, (at, w) in enumerate(words):
-                kind = "family" if i == len(words) - 1 else f"given_{GENDER[m[1]]}"
-                found.append((at, at + len(w), kind, w.casefold()))
+        found += _names(text)
     rank = {"email": 0, "secret": 1, "iban": 2, "ip": 3, "card": 4}
     taken: list[tuple[int, int, str, str]] = []
     for e in sorted(found, key=lambda e: (e[0], rank.get(e[2], 5), -e[1])):
@@ -218,7 +245,15 @@ def entities(docs: DataFrame, text: str = "text", keys: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*kept, pa.array(kinds, pa.string()), pa.array(values, pa.string())], [*b.schema.names[:-1], "kind", "value"])
 
     given = docs.select(*keys, F.col(text).cast("string").alias("_text"))
-    return given.mapInArrow(rows, StructType([*given.schema.fields[:-1], StructField("kind", StringType()), StructField("value", StringType())]))
+    return given.mapInArrow(lean(rows), StructType([*given.schema.fields[:-1], StructField("kind", StringType()), StructField("value", StringType())]))
+
+
+def with_gender(found: DataFrame) -> DataFrame:
+    """``kind, value, as_kind`` of counted entities: a given name takes the gender that most texts tell, if any does."""
+    told = found.where(F.col("kind").isin("given_f", "given_m"))
+    most = told.groupBy("value").agg(F.max_by("kind", F.struct("count", "kind")).alias("most"))
+    given = F.col("kind").startswith("given_")
+    return found.join(most, "value", "left").select("kind", "value", F.when(given, F.coalesce("most", "kind")).otherwise(F.col("kind")).alias("as_kind"))
 
 
 def settled(values: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -230,7 +265,7 @@ def settled(values: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(drawn, pa.string())], ["kind", "value", "attempt", "drawn"])
 
     def drawing(df: DataFrame) -> DataFrame:
-        return df.select("kind", "value", "attempt").mapInArrow(rows, "kind string, value string, attempt int, drawn string")
+        return df.select("kind", "value", "attempt").mapInArrow(lean(rows), "kind string, value string, attempt int, drawn string")
 
     known = values.select("kind", F.col("value").alias("drawn"), F.lit(True).alias("real"))
     now = store(drawing(values.withColumn("attempt", F.lit(0))), "drawn")
@@ -253,21 +288,24 @@ def replace_private(docs: DataFrame, text: str = "text", key: bytes = KEY, small
 
     Null and empty texts stay as they are with 0 entities; equal rows stay equal; all
     other columns are kept, but an ``n_entities`` column is replaced.  At most ``small``
-    values that drew again are broadcast; more are joined to the documents.
+    values that drew again, or names that take another gender, are broadcast; more are
+    joined to the documents.
     """
     docs = docs.drop("n_entities")
-    found = store(entities(docs, text).groupBy("kind", "value").count().drop("count"), "entities")
-    again = settled(found, key).where("attempt > 0").select("kind", "value", "attempt")
-    again = store(again, "again")
+    found = store(with_gender(entities(docs, text).groupBy("kind", "value").count()), "entities")
+    values = store(found.select(F.col("as_kind").alias("kind"), "value").distinct(), "values")
+    drawn = settled(values, key).where("attempt > 0").select(F.col("kind").alias("as_kind"), "value", "attempt")
+    again = found.join(drawn, ["as_kind", "value"], "left").where("attempt > 0 or kind <> as_kind")
+    again = store(again.select("kind", "value", "as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt")), "again")
     few = again.count() <= small
-    sent = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in again.collect()} if few else {})
+    sent = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): (r.as_kind, r.attempt) for r in again.collect()} if few else {})
     given = docs.withColumn("_text", F.col(text).cast("string"))
     if few:
-        given = given.withColumn("_again", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        given = given.withColumn("_again", F.lit(None).cast("array<struct<kind:string,value:string,as_kind:string,attempt:int>>"))
     else:
         own = F.xxhash64(F.col(text))
         rows = entities(docs.where(F.col(text).isNotNull()).withColumn("_h", own), text, ["_h"]).distinct()
-        lists = rows.join(again, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again"))
+        lists = rows.join(again, ["kind", "value"]).groupBy("_h").agg(F.collect_list(F.struct("kind", "value", "as_kind", "attempt")).alias("_again"))
         given = given.withColumn("_h", own).join(lists, "_h", "left").drop("_h")
     names, at = [*docs.columns, "n_entities"], docs.columns.index(text)
 
@@ -279,10 +317,11 @@ def replace_private(docs: DataFrame, text: str = "text", key: bytes = KEY, small
                 t = t.as_py()
                 spans = find(t) if t else []
                 if spans:
-                    attempts = {(x["kind"], x["value"]): x["attempt"] for x in more.as_py() or ()} or sent.value
+                    attempts = {(x["kind"], x["value"]): (x["as_kind"], x["attempt"]) for x in more.as_py() or ()} or sent.value
                     parts, end = [], 0
                     for start, stop, kind, value in spans:
-                        name = (kind, value, attempts.get((kind, value), 0))
+                        as_kind, attempt = attempts.get((kind, value), (kind, 0))
+                        name = (as_kind, value, attempt)
                         if name not in drawn:
                             if len(drawn) > 100_000:
                                 drawn.clear()
@@ -297,7 +336,7 @@ def replace_private(docs: DataFrame, text: str = "text", key: bytes = KEY, small
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names)
 
     fields = [StructField(f.name, StringType()) if f.name == text else f for f in docs.schema.fields]
-    return given.select(*docs.columns, "_text", "_again").mapInArrow(rewrite, StructType([*fields, StructField("n_entities", LongType())]))
+    return given.select(*docs.columns, "_text", "_again").mapInArrow(lean(rewrite), StructType([*fields, StructField("n_entities", LongType())]))
 
 
 @query("op3_surrogates")

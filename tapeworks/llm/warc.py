@@ -3,7 +3,8 @@
 A payload travels as rows of record identifier, chunk number and at most
 ``CHUNK`` bytes.  The writer appends chunks to the open record, the reader
 returns them while it inflates the archive; each chunk row carries the digest
-and the length of the payload up to its end.  Neither side holds a record.
+and the length of the payload up to its end.  The reader holds a chunk; the writer's plan
+holds the payload of a row, which is one value of the input, while it is cut.
 
 Records of equal payload become one response and revisits that name it.
 Archives are written below the folder the cluster shares, under a name of their
@@ -25,7 +26,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import folder, query, store, table
@@ -173,6 +174,13 @@ def read_archives(archives: DataFrame, to: str, chunk: int = CHUNK, batch: int =
     return archives.select("file").repartition(min(n, 100_000), "file").mapInArrow(read, CHUNK_SCHEMA)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and host of the file system it lies on: without a scheme, the cluster's default one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri
+
+
 def archive(pages: DataFrame, ident: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Write a WARC record per row and read the archives back as chunk rows.
 
@@ -182,9 +190,7 @@ def archive(pages: DataFrame, ident: str = "page_id", url: str = "url", payload:
     record with an id.  A null url leaves the target out; blanks, control and non-ASCII
     characters of others are percent-encoded.  Equal rows give a record each.
     """
-    to = folder(pages.sparkSession, "warc")
-    if "://" not in to and not to.startswith("file:"):
-        to = f"file://{to}" if to.startswith("/") else pages.sparkSession._jvm.java.io.File(to).getAbsoluteFile().toURI().toString().replace("file:/", "file:///", 1)
+    to = qualified(pages.sparkSession, folder(pages.sparkSession, "warc"))
     files = write_archives(planned_chunks(pages, ident, url, payload, least_bytes, chunk), to)
     return read_archives(files, to, chunk)
 

@@ -93,3 +93,20 @@ def test_pools_grow_and_keep_the_format():
         assert len(set(drawn)) == 4 and (kind == "ip" or len(drawn[3]) > len(value))
         assert all(dress(value, x) == x for x in drawn)  # nothing of the longer ones is lost
     assert dress("+49 12 345", "+49678901") == "+49 67 8901" and luhn(draw("card", long["card"], 80, KEY))
+
+
+def test_one_person_has_one_name(make):
+    docs = [(1, "Dr Ada Long met Ms Ada Long and Ms Ada. Long said so, ADA LONG too, but long days passed."), (2, "Prof Ada Kern"), (3, "Ms Ada Kern"), (4, "Long ago Ada slept.")]
+    got = {r.doc_id: r.text for r in replace_private(make(docs)).collect()}
+    first, family = re.match(r"Dr (\w+) (\w+) met", got[1]).groups()
+    assert got[1] == f"Dr {first} {family} met Ms {first} {family} and Ms {first}. {family} said so, {first.upper()} {family.upper()} too, but long days passed."
+    assert first.endswith("a") and got[2] == "Prof " + got[3][3:] and got[3].split()[1] == first and got[4] == docs[3][1]
+    joined = {r.doc_id: r.text for r in replace_private(make(docs), small=-1).collect()}
+    assert joined == got
+
+
+def test_dates_and_decimals_stay_and_grouped_numbers_go():
+    clean = "On 01.02.2024, 05/06/2023, 2023-11-30 and 1-2-1999 it was 0.1234567 or 12.3456789; sizes 612 345 678 and 91 234 56 78."
+    assert find(clean) == []
+    for text, number in (("Call me at 612 345 678.", "612345678"), ("Tel.: 91 234 56 78", "912345678"), ("Fax 030.1234567", "0301234567"), ("mobile: 01 02 03 04 05", "0102030405")):
+        assert [(k, v) for _, _, k, v in find(text)] == [("phone", number)], text
