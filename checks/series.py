@@ -463,11 +463,11 @@ LEADERS = ["click", "view"]
 
 @query("market_proxy", f"""
     WITH r AS (SELECT symbol, bucket, close, CASE WHEN close > 0 AND {PREV} > 0 THEN ln(close / {PREV}) ELSE 0 END AS log_return_1 FROM bars),
-         m AS (SELECT bucket AS at, avg(log_return_1) AS market_value, count(*) AS market_members FROM r WHERE symbol IN ('click', 'view') GROUP BY bucket)
-    SELECT symbol, bucket, close, log_return_1, CASE WHEN bucket - at <= 3 * {HOUR} THEN market_value END AS market_value,
-           CASE WHEN bucket - at <= 3 * {HOUR} THEN market_members END AS market_members,
-           CASE WHEN bucket - at <= 3 * {HOUR} THEN log_return_1 - market_value END AS market_excess
-    FROM r ASOF LEFT JOIN m ON r.bucket >= m.at""", "close log_return_1 market_value market_excess")
+         m AS (SELECT bucket AS told, avg(log_return_1) AS market_value, count(*) AS market_members FROM r WHERE symbol IN ('click', 'view') GROUP BY bucket)
+    SELECT symbol, bucket, close, log_return_1, CASE WHEN bucket - told <= 3 * {HOUR} THEN market_value END AS market_value,
+           CASE WHEN bucket - told <= 3 * {HOUR} THEN market_members END AS market_members,
+           CASE WHEN bucket - told <= 3 * {HOUR} THEN log_return_1 - market_value END AS market_excess
+    FROM r ASOF LEFT JOIN m ON r.bucket >= m.told""", "close log_return_1 market_value market_excess")
 def _(spark, d):
     rows = fe.add_features(t.bars(spark, d)).select("symbol", "bucket", "close", "log_return_1")
     return mk.market_proxy(rows, LEADERS, tolerance=3 * HOUR)
