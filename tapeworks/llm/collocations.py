@@ -104,8 +104,8 @@ def block_words(blocks: DataFrame) -> DataFrame:
 
 def numbered_tokens(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Blocks with the numbers of the ``dictionary`` (lang, word, number) for words; 0 is a break or any other word."""
-    known = block_words(blocks).join(dictionary.select("lang", "word", "number"), ["lang", "word"])
-    named = known.groupBy("block").agg(F.collect_list(F.struct("place", "number")).alias("names"))
+    known = block_words(blocks).join(dictionary.select("lang", "word", "number"), ["lang", "word"], "left")
+    named = known.groupBy("block").agg(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("place", "number"))).alias("names"))
 
     def rows(batches):
         for b in batches:
