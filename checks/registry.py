@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.views import VIEWS
+from tapeworks.plans.workers import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,6 +62,5 @@ def query(name: str, sql: str | None = None, doubles: str = "", recursive: str =
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder, or else its warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the one the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numeric import floor_div
+from tapeworks.plans.workers import shared_folder
 
 CHUNK = 65_536
 UNBOUNDED = Window.unboundedPreceding
@@ -198,13 +199,15 @@ def top_k(
     k: int,
     salt_on: list[str],
     rank: str | None = None,
-    salts: int = 32,
+    salts: int | None = None,
 ) -> DataFrame:
     """First ``k`` rows per key in a total order.
 
     The rows of a key are first cut to ``k`` within each of ``salts`` shares, so
-    the last step sees at most ``salts * k`` rows of any key.
+    the last step sees at most ``salts * k`` rows of any key.  There are as many shares
+    as shuffle partitions, at least 32, if not given.
     """
+    salts = salts or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     name = rank or "_rank"
     shares = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
@@ -220,7 +223,7 @@ def settle(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``, or else the warehouse.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work")
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -1,4 +1,4 @@
-"""What Python workers need to run functions of this package."""
+"""Places that a cluster shares, and what Python workers need to run functions of this package."""
 
 from __future__ import annotations
 
@@ -17,3 +17,20 @@ def reach(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or else one in the warehouse.
+
+    Without that setting a warehouse on plain disk is refused on a cluster: it would be
+    another folder on every machine.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(warehouse)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{warehouse}/_work"
