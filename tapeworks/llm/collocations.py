@@ -409,9 +409,20 @@ WITH pieces AS (
 ), listed AS (
   SELECT piece, lang, regexp_extract_all(text, '[^\x20\x09]+') AS w FROM pieces
 ), placed AS (
-  SELECT piece, lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed
+  SELECT piece, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM listed
+), often AS (
+  SELECT lang, word FROM placed GROUP BY ALL HAVING count(*) >= 100
+), marked AS (
+  SELECT piece, lang, i, o.word FROM placed p LEFT JOIN often o USING (lang, word)
+), led AS (
+  SELECT lang, word AS a, lead(word, 1) OVER q AS b, lead(word, 2) OVER q AS c, lead(word, 3) OVER q AS d, lead(word, 4) OVER q AS e
+  FROM marked WINDOW q AS (PARTITION BY piece ORDER BY i)
 ), grams AS (
-  SELECT lang, w[i : i + m - 1] AS words FROM placed, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)
+  SELECT lang, [a] AS words FROM led WHERE a IS NOT NULL
+  UNION ALL SELECT lang, [a, b] FROM led WHERE a || b IS NOT NULL
+  UNION ALL SELECT lang, [a, b, c] FROM led WHERE a || b || c IS NOT NULL
+  UNION ALL SELECT lang, [a, b, c, d] FROM led WHERE a || b || c || d IS NOT NULL
+  UNION ALL SELECT lang, [a, b, c, d, e] FROM led WHERE a || b || c || d || e IS NOT NULL
 ), counts AS (
   SELECT lang, words, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
 ), totals AS (
