@@ -84,7 +84,7 @@ def _(spark, d):
                              ELSE make_timestamp(open_time) END AS ts FROM ticks""")
 def _(spark, d):
     rows = t.ticks_epoch(spark, d)
-    rows = ca.with_unit(rows, ca.infer_time_unit(rows))
+    rows = ca.with_unit(rows, ca.epoch_units(rows))
     ts = ca.epoch_to_ts(F.col("open_time"), F.col("unit")).cast("timestamp_ntz")
     return rows.select("symbol", "seq", ts.alias("ts"))
 

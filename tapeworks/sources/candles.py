@@ -25,6 +25,10 @@ US_STEP = 10_000_000
 DEFAULT_STEP = 60_000
 STEP_ROWS = 5000
 
+# Seconds from 1973 to 2072.  Times of these years tell their unit by
+# themselves, for the ranges of the three units do not meet.
+DATED = (100_000_000, 3_250_000_000)
+
 
 def scan_candles(
     spark: SparkSession,
@@ -75,6 +79,11 @@ def _per_symbol(df: DataFrame, small: DataFrame, symbols: Sequence[str] | None)
     return df.join(F.broadcast(small) if symbols is not None else small, "symbol")
 
 
+def _only(df: DataFrame, few: DataFrame, symbols: Sequence[str] | None) -> DataFrame:
+    """Rows of the symbols in ``few``; broadcast only if a symbol list bounds its size."""
+    return df.join(F.broadcast(few) if symbols is not None else few, "symbol", "left_semi")
+
+
 def infer_time_unit(df: DataFrame, symbols: Sequence[str] | None = None, bins: int = 4096) -> DataFrame:
     """``symbol, step, unit``: the epoch unit from the median positive step of the last rows.
 
@@ -114,6 +123,30 @@ def unit_of(step: Column, rows: Column) -> Column:
     )
 
 
+def epoch_units(df: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+    """``symbol, unit``: the epoch unit from the size of a symbol's last time, whatever the distance of its rows.
+
+    Where no unit puts that time between 1973 and 2072, the step decides, as in
+    :func:`infer_time_unit`; a step alone takes dense series for a smaller unit
+    and sparse ones for a larger one.
+    """
+    rows = df if symbols is None else only_symbols(df, symbols)
+    units = rows.groupBy("symbol").agg(dated_unit(F.max("open_time")).alias("unit"))
+    unknown = units.where(F.col("unit").isNull()).select("symbol")
+    stepped = infer_time_unit(_only(rows, unknown, symbols), symbols).select("symbol", "unit")
+    return units.where(F.col("unit").isNotNull()).unionByName(stepped)
+
+
+def dated_unit(t: Column) -> Column:
+    """The unit in which an epoch is of the years :data:`DATED`, or null."""
+    lo, hi = DATED
+
+    def within(scale: int) -> Column:
+        return t.between(lo * scale, hi * scale - 1)
+
+    return F.when(within(10**3), "ms").when(within(10**6), "us").when(within(10**9), "ns")
+
+
 def minute_in(unit: Column) -> Column:
     """Length of a minute in the unit."""
     return (

@@ -64,6 +64,23 @@ def test_time_units(spark, times, unit, step):
     assert (r["unit"], r["step"]) == (unit, step)
 
 
+@pytest.mark.parametrize(("scale", "unit"), [(10**3, "ms"), (10**6, "us"), (10**9, "ns")])
+@pytest.mark.parametrize("every", [0.001, 1, 60, 86_400])
+def test_units_of_dense_and_sparse_series(spark, scale, unit, every):
+    """The size of the times tells the unit, not the distance of the rows."""
+    times = [1_704_067_200 * scale + int(i * every * scale) for i in range(20)]
+    df = spark.createDataFrame([("A", t) for t in times], "symbol string, open_time bigint")
+    for symbols in (None, ["A"]):
+        assert [tuple(r) for r in candles.epoch_units(df, symbols).collect()] == [("A", unit)]
+
+
+def test_units_of_times_without_a_date(spark):
+    """Times that are no date of these years are left to their step."""
+    rows = [(s, i * step) for s, step in (("A", 60_000), ("B", 60_000_000_000)) for i in range(60)] + [("C", 1_704_067_200_000)]
+    df = spark.createDataFrame(rows, "symbol string, open_time bigint")
+    assert {tuple(r) for r in candles.epoch_units(df).collect()} == {("A", "ms"), ("B", "ns"), ("C", "ms")}
+
+
 def test_time_unit_looks_at_the_last_rows_only(spark):
     old = spark.range(6000).select((F.col("id") * 60_000_000_000).alias("t"))
     new = spark.range(5000).select((F.lit(6000 * 60_000_000_000) + F.col("id") * 1000).alias("t"))
