@@ -12,7 +12,7 @@ from tapeworks.operators.features import (
     EMA_FAST, EMA_SIGNAL, EMA_SLOW, FEATURES, RSI_PERIOD, VOLUME_WINDOW, add_features, reach, span_alpha,
 )
 from tapeworks.sources.appended import appended
-from tapeworks.sources.candles import epoch_micros, infer_time_unit, recent_window, require_rows, scan_candles, with_unit
+from tapeworks.sources.candles import epoch_micros, epoch_units, recent_window, require_rows, scan_candles, with_unit
 from tapeworks.sources.prepared import prepared, source_version
 
 #: Weights of the averages that features are made of; the signal line averages an average.
@@ -23,7 +23,7 @@ def load_bars(
     candles: DataFrame, days: float, minutes: int, symbols: Sequence[str] | None = None, features: Sequence[str] = FEATURES, tie: str | None = None
 ) -> DataFrame:
     """Recent rows of each symbol in its own time unit, as bars in epoch microseconds with features; gaps filled, numbers finite."""
-    units = infer_time_unit(candles, symbols)
+    units = epoch_units(candles, symbols)
     rows = with_unit(recent_window(candles, days, symbols, units), units, symbols)
     rows = rows.withColumn("open_time", epoch_micros(F.col("open_time"), F.col("unit"))).drop("unit")
     return sanitize(add_features(ffill(resample(rows, minutes, tie)), features))

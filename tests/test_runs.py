@@ -81,6 +81,14 @@ def test_units_of_times_without_a_date(spark):
     assert {tuple(r) for r in candles.epoch_units(df).collect()} == {("A", "ms"), ("B", "ns"), ("C", "ms")}
 
 
+def test_load_bars_of_dense_ticks(spark):
+    from tapeworks.operators.load import load_bars
+
+    start = 1_704_067_200_000_000
+    df = spark.range(1200).select(F.lit("A").alias("symbol"), (F.col("id") * 1_000_000 + start).alias("open_time"), *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")])
+    assert [r["bucket"] for r in load_bars(df, 1, 10).orderBy("bucket").collect()] == [start, start + 600_000_000]
+
+
 def test_time_unit_looks_at_the_last_rows_only(spark):
     old = spark.range(6000).select((F.col("id") * 60_000_000_000).alias("t"))
     new = spark.range(5000).select((F.lit(6000 * 60_000_000_000) + F.col("id") * 1000).alias("t"))
