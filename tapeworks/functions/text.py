@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Formats of run ids and dashboard time stamps.
-RUN_ID = r"^run-(\d{4})(\d{2})(\d{2})-(\d{2})(\d{2})(\d{2})-[a-zA-Z0-9]+$"
-STAMP = r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2}) UTC$"
+RUN_ID = r"^run-(\d{8}-\d{6})-[a-zA-Z0-9]+$"
+RUN_TIME = r"(\d{4})(\d{2})(\d{2})-(\d{2})(\d{2})(\d{2})"
+STAMP = r"^(\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}) UTC$"
 
 
 def lines(text: Column) -> Column:
@@ -19,28 +20,24 @@ def last_line(text: Column, wanted) -> Column:
     return F.trim(F.try_element_at(F.filter(lines(text), wanted), F.lit(-1)))
 
 
-def utc_seconds(text: Column, pattern: str) -> Column:
-    """Epoch seconds of a UTC time whose six fields are the groups of ``pattern``.
+def utc_seconds(time: Column) -> Column:
+    """Epoch seconds of ``YYYY-MM-DD HH:MM:SS`` in UTC, null where that is no valid time.
 
-    Null where the text does not match or is no valid time.  The time is built
-    without a zone and taken apart by date and clock, so the session's zone and
-    its daylight saving play no part.
+    The cast reads the zone from the text, so the session's zone plays no part.  The text is
+    used once: an expression used many times in a column is computed as many times.
     """
-    found = text.rlike(pattern)
-    fields = [F.when(found, F.regexp_extract(text, pattern, i)).cast("int") for i in range(1, 7)]
-    at = F.when(fields[5] < 60, F.try_make_timestamp_ntz(*fields[:5], fields[5].cast("decimal(16,6)")))
-    days = F.date_diff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    return days * 86_400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return F.unix_seconds(F.concat(time, F.lit("Z")).try_cast("timestamp"))
 
 
 def run_epoch(run_id: Column) -> Column:
     """Start time in a run id as epoch seconds, 0 when the id does not hold one."""
-    return F.coalesce(utc_seconds(run_id, RUN_ID), F.lit(0).cast("bigint"))
+    digits = F.regexp_extract(run_id, RUN_ID, 1)
+    return F.coalesce(utc_seconds(F.regexp_replace(digits, RUN_TIME, "$1-$2-$3 $4:$5:$6")), F.lit(0).cast("bigint"))
 
 
 def parse_stamp(text: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS UTC`` as epoch seconds, else null."""
-    return utc_seconds(text, STAMP)
+    return utc_seconds(F.regexp_extract(text, STAMP, 1))
 
 
 def format_elapsed(seconds: Column) -> Column:

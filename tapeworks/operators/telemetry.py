@@ -119,14 +119,17 @@ def y_domain(points: DataFrame, keys: Sequence[str] = (), pad: float = 0.08) ->
 def elapsed(index: DataFrame, now: Column) -> DataFrame:
     """``elapsed`` in seconds: running runs up to ``now`` (epoch seconds), finished ones to
     their end, others as stored; never below 0."""
-    start, end = parse_stamp(F.col("started_at")), parse_stamp(F.col("finished_at"))
+    start, end, seconds = F.col("_start"), F.col("_end"), F.col("_seconds")
+    # Each step is a projection of its own, so that no time is parsed twice.
+    rows = index.withColumns({"_start": parse_stamp(F.col("started_at")), "_end": parse_stamp(F.col("finished_at"))})
     live = F.lower(F.col("status")).isin(RUNNING) & start.isNotNull()
-    seconds = (
+    found = (
         F.when(live, now - start)
         .when(start.isNotNull() & end.isNotNull(), end - start)
         .otherwise(F.col("elapsed_seconds").cast("bigint"))
     )
-    return index.withColumn("elapsed", F.when(seconds.isNotNull(), F.greatest(F.lit(0), seconds)))
+    rows = rows.withColumn("_seconds", found)
+    return rows.withColumn("elapsed", F.when(seconds.isNotNull(), F.greatest(F.lit(0), seconds))).drop("_start", "_end", "_seconds")
 
 
 def run_label(index: DataFrame, now: Column) -> DataFrame:

@@ -158,6 +158,31 @@ def test_times(spark):
     assert [r[0] for r in secs.select(format_elapsed(F.col("s"))).collect()] == ["2h 03m 04s", "3m 04s", "4s", "-", "0s"]
 
 
+@pytest.mark.parametrize("made", [
+    lambda df: telemetry.elapsed(df, F.lit(1_704_200_000)).select("elapsed"),
+    lambda df: telemetry.elapsed(df, F.lit(1_704_200_000)).select(format_elapsed(F.col("elapsed"))),
+    lambda df: telemetry.run_label(df, F.lit(1_704_200_000)).select("label"),
+], ids=["elapsed", "format_elapsed", "run_label"])
+def test_times_are_parsed_once(spark, tmp_path, made):
+    """An expression that a column repeats is computed as often; each time stamp is matched once."""
+    row = ("run-20240102-030405-a", "train", "completed", "2024-01-02 03:04:05 UTC", "2024-01-02 05:07:09 UTC", 1)
+    df = spark.createDataFrame([row], "run_id string, mode string, status string, started_at string, finished_at string, elapsed_seconds long")
+    df.write.parquet(f"{tmp_path}/index")
+    rows = made(spark.read.parquet(f"{tmp_path}/index"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("regexp_extract(") == 2 and "rlike" not in plan
+    assert str(rows.first()[0]) in ("7384", "2h 03m 04s", "run-20240102-030405-a | train | completed | 2h 03m 04s")
+
+
+def test_odd_times(spark):
+    stamps = ["2024-1-2 3:4:5 UTC", "2024-03-10 02:30:00 UTC", "2024-02-30 00:00:00 UTC", "2024-01-01 00:00:60 UTC", "2024-01-01 24:00:00 UTC", "1969-12-31 23:59:58 UTC", "Z", "", " 2024-01-02 03:04:05 UTC"]
+    got = spark.createDataFrame([(t,) for t in stamps], "t string").select(parse_stamp(F.col("t")).alias("p")).collect()
+    assert [r["p"] for r in got] == [1704164645, 1710037800, None, None, None, -2, None, None, None]
+    ids = ["run-20240310-023000-a", "run-20240230-000000-a", "run-20240101-000060-a", "run-20240101-000000-", "2024-01-01 00:00:00"]
+    got = spark.createDataFrame([(t,) for t in ids], "t string").select(run_epoch(F.col("t")).alias("p")).collect()
+    assert [r["p"] for r in got] == [1710037800, 0, 0, 0, 0]
+
+
 def test_times_do_not_depend_on_the_session_zone(spark):
     df = spark.createDataFrame([("run-20240702-030405-ab", "2024-07-02 03:04:05 UTC")], "id string, ts string")
     zone = spark.conf.get("spark.sql.session.timeZone")
