@@ -77,16 +77,17 @@ def compact(spark: SparkSession, root: str, schema: T.StructType, keys: list[str
 
 
 def keep_changes(
-    frame: DataFrame, root: str, keys: list[str], compact_every: int = COMPACT_EVERY, cut: Cut | None = None
+    frame: DataFrame, root: str, keys: list[str], compact_every: int = COMPACT_EVERY, cut: Cut | None = None, change: Cut | None = None
 ) -> DataStreamWriter:
     """Write what each micro-batch changes under its batch id; a repeated batch replaces its own rows.
 
-    Every ``compact_every`` batches the finished ones are compacted by ``keys``.
+    Every ``compact_every`` batches the finished ones are compacted by ``keys``.  ``change``
+    makes the rows to write, of the same columns, out of those of a micro-batch.
     """
     schema = frame.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/{BATCH}{batch_id}")
+        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{root}/{BATCH}{batch_id}")
         if batch_id and batch_id % compact_every == 0:
             compact(batch.sparkSession, root, schema, keys, batch_id - 1, cut)
 
