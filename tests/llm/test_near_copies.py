@@ -4,7 +4,9 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tapeworks.llm import near_copies as nc
 
@@ -44,6 +46,18 @@ def test_jaccard():
     assert nc.jaccard("a b", "A  B") == 1 and nc.jaccard(None, "") == 0 and nc.jaccard("a b", "a b c") == 0
 
 
+def test_counts_bound_the_similarity_from_above():
+    rnd = random.Random(5)
+    base = [f"w{rnd.randint(0, 3000)}" for _ in range(250)]
+    texts = [variants(rnd, base, k) for k in (0, 1, 3, 5, 8, 12, 40)] + ["a", "", " ".join(f"z{i % 70000}" for i in range(90000))]
+    counts = nc.counted(pa.array([nc.sketch(t)[3] for t in texts], pa.binary()))
+    assert counts.sum(axis=1).tolist() == [len(shingles(t)) for t in texts]
+    i, j = np.triu_indices(len(texts), 1)
+    real = np.array([similarity(texts[a], texts[b]) for a, b in zip(i, j)])
+    able = nc._possible(counts, i, j, 0.8)
+    assert able[real >= 0.8].all() and (real >= 0.8).any() and not able[real < 0.5].any()
+
+
 def test_forest_joins_what_the_radius_connects():
     rnd = np.random.default_rng(4)
     seeds = rnd.integers(0, 1 << 63, 12, dtype=np.uint64)
@@ -80,6 +94,44 @@ def test_planted_copies(spark, make, large):
     assert len(truth & got) >= 0.99 * len(truth) and got <= truth
 
 
+def crowd(bits):
+    """More points than a chunk keeps open, far from each other, and of each one more that only the first bit tells apart."""
+    rnd, far = np.random.default_rng(7), []
+    for p in rnd.integers(0, 1 << 63, 4000, dtype=np.uint64):
+        if not far or np.bitwise_count(np.array(far) ^ p).min() > bits:
+            far.append(p)
+    points = np.array(far[: nc.CHUNK + 500], np.uint64)
+    assert len(points) == nc.CHUNK + 500
+    return points, points | np.uint64(1 << 63)
+
+
+@pytest.mark.parametrize("block", [nc.BLOCK, 400])
+def test_no_pair_of_a_crowded_shard_is_lost(spark, block):
+    """Groups beyond those that the first round keeps open still meet their partners."""
+    points = np.concatenate(crowd(8))
+    rows = [(bytes([1]) + i.to_bytes(4, "big"), int(p), 5) for i, p in enumerate(points.view(np.int64).tolist())]
+    shards = spark.createDataFrame(rows, "words binary, fp long, shard long").select("shard", "fp", "words")
+    close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 8
+    truth = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(close)) if i < j}
+    ranges = shards.select("words", F.lit(bytes(nc.RANGES)).alias("ranges"))
+    no_roots = spark.createDataFrame([], "node binary, root binary")
+    found = nc.other_links(shards, no_roots, ranges, 0.0, 8, block).collect()
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in found} == truth and len(truth) >= nc.CHUNK + 500
+    root = spark.createDataFrame([(rows[i][0], b"one") for i in range(0, len(rows), 2)], "node binary, root binary")
+    found = nc.other_links(shards, root, ranges, 0.0, 8, block).collect()
+    same = {rows[i][0] for i in range(0, len(rows), 2)}
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in found} == {(a, b) for a, b in truth if not (a in same and b in same)}
+
+
+def test_a_refuted_link_does_not_hide_another(spark, make, monkeypatch):
+    """All partners are found when the links that the first round tries are none."""
+    rnd = random.Random(3)
+    base = [f"v{rnd.randint(0, 5000)}" for _ in range(300)]
+    docs = make([(i, variants(rnd, base, 2)) for i in range(12)])
+    monkeypatch.setattr(nc, "candidate_links", lambda shards, *_: spark.createDataFrame([], "a binary, b binary"))
+    assert partition(nc.similar_groups(docs)) == [list(range(12))]
+
+
 def test_recall_on_documents(spark):
     """At least 0.9 of the pairs of different texts that all pairs of the sample find at 0.8, and nothing unlike."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
