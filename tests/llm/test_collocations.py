@@ -4,6 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pytest
+
+from tapeworks.llm import collocations as module
 from tapeworks.llm.collocations import collocations
 
 SCHEMA = "doc_id long, text string, lang string, words string, w1 string, f string, n string"
@@ -66,3 +70,51 @@ def test_awkward(spark, awkward):
 def test_one_phrase_holds_most(spark):
     rows = [("of the same old story told", "en")] * 400 + [("of the day", "en")] * 50 + [("of the", None)] * 120
     assert check(spark, rows, 20, budget=60, parts=7)
+
+
+def test_python_gets_few_blocks_at_a_time(spark, monkeypatch):
+    batches, store = {}, module.store
+
+    def sizes(given):
+        for b in given:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    def spy(df, name, *codec):
+        out = store(df, name, *codec)
+        if name in ("blocks", "coded"):
+            batches[name] = out.coalesce(1).mapInArrow(sizes, "rows long, bytes long").collect()
+        return out
+
+    monkeypatch.setattr(module, "store", spy)
+    rows = [("to be or not. " * 75_000, "en")] * 16
+    df = spark.createDataFrame([(i, t, lang, *"abcd") for i, (t, lang) in enumerate(rows)], SCHEMA)
+    got = collocations(df, block=1 << 20).collect()
+    assert [r["a"] for r in got] == [16 * 75_000]
+    for name in ("blocks", "coded"):
+        assert sum(r["rows"] for r in batches[name]) == 16
+        assert sum(r["bytes"] for r in batches[name]) > 3 * module.BATCH
+        assert max(r["bytes"] for r in batches[name]) < 2 * module.BATCH
+
+
+@pytest.mark.parametrize("own", [None, "1048576"])
+def test_the_session_keeps_its_batches(spark, own):
+    def held():
+        return spark.conf.get(module.BATCH_BYTES, None)
+
+    def work(docs, fails):
+        assert held() == str(module.BATCH)
+        if fails:
+            raise ValueError("no")
+        return "done"
+
+    if own:
+        spark.conf.set(module.BATCH_BYTES, own)
+    try:
+        run = module.in_small_batches(work)
+        assert run(spark.range(1), False) == "done"
+        assert held() == own
+        with pytest.raises(ValueError):
+            run(spark.range(1), fails=True)
+        assert held() == own
+    finally:
+        spark.conf.unset(module.BATCH_BYTES)
